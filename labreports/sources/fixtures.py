@@ -7,7 +7,8 @@ they decide which branch of a report each row reaches.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
+from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -257,9 +258,33 @@ FIXTURE_SQL = {
 }
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    sources = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
-    return {name: spark.sql(query, **sources) for name, query in FIXTURE_SQL.items()}
+class FixtureTables(Mapping):
+    """The derived tables of one directory; each is planned when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark = spark
+        self._sf_dir = sf_dir
+        self._sources: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame] = {}
+
+    def query(self, sql: str) -> DataFrame:
+        """Run a query with source tables in braces."""
+        used = [name for _, name, _, _ in Formatter().parse(sql) if name]
+        for name in used:
+            if name not in self._sources:
+                self._sources[name] = self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+        return self._spark.sql(sql, **{name: self._sources[name] for name in used})
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.query(FIXTURE_SQL[name])
+        return self._tables[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(FIXTURE_SQL)
+
+    def __len__(self) -> int:
+        return len(FIXTURE_SQL)
 
 
 def fixture_ctes(names: Iterable[str]) -> str:
