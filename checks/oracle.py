@@ -175,7 +175,7 @@ _DETAIL_TABLES = [
     "lov_report_grouping",
 ]
 _TIES = """lab_order_details_pk nulls last, result_sequence nulls last,
-    result_test_code nulls last, textual_result nulls last"""
+    result_test_code nulls last, textual_result nulls last, textual_result_full nulls last"""
 
 
 def _details(micro: str, categories: str, columns: str, joins: str) -> str:

@@ -66,24 +66,23 @@ def status_rank(status_text: Column) -> Column:
     return F.coalesce(*ranks, F.lit(len(STATUS_RANK) + 1))
 
 
-def history_line(order: Column, event: Column) -> Column:
+def history_line() -> Column:
     """One line of a test's history message.
 
-    ``order`` has ``test_name``, ``priority`` and ``zone``; ``event`` has
-    ``code``, ``entered_by`` and ``time_text``.
+    Columns used: ``test_name``, ``priority`` and ``zone`` of the order;
+    ``event``, ``entered_by`` and ``time_text`` of the event.
     """
-    user = event["entered_by"]
+    event, priority, user = F.col("event"), F.col("priority"), F.col("entered_by")
     by_interface = user == INTERFACE_USER
     by_person = user != INTERFACE_USER
     texts = []
     for code, done in (("S", "Order Received"), ("A", "Tube Scanned")):
-        for priority, kind in (("RTN", ""), ("Q", "Add-On ")):
-            here = (order["priority"] == priority) & (event["code"] == code)
+        for urgency, kind in (("RTN", ""), ("Q", "Add-On ")):
+            here = (priority == urgency) & (event == code)
             texts.append(F.when(here & by_interface, f"Interface {kind}{done}"))
             texts.append(F.when(here & by_person, F.concat(F.lit(f"Manual {kind}{done} - "), user)))
-    texts.append(F.when(event["code"] == "D", "Result Finalized"))
-    texts.append(F.when((event["code"] == "X") & by_person, F.concat(F.lit("Cancelled - "), user)))
-    texts.append(F.when((event["code"] == "X") & by_interface, "Cancelled"))
-    prefix = joined_text(order["test_name"], "|", event["time_text"], " ", order["zone"], "|")
-    return F.coalesce(F.concat(prefix, F.coalesce(*texts)), F.lit("*"))
-
+    texts.append(F.when(event == "D", "Result Finalized"))
+    texts.append(F.when((event == "X") & by_person, F.concat(F.lit("Cancelled - "), user)))
+    texts.append(F.when((event == "X") & by_interface, "Cancelled"))
+    start = joined_text(F.col("test_name"), "|", F.col("time_text"), " ", F.col("zone"), "|")
+    return F.coalesce(F.concat(start, F.coalesce(*texts)), F.lit("*"))

@@ -9,11 +9,24 @@ from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.history import history_messages
 from labreports.plans.scope import Related, keep_keys, requisition_keys
-from labreports.plans.skew import LargeGroups, group_total, left_join_many, number_rows, sampled
+from labreports.plans.skew import (
+    LargeGroups,
+    group_total,
+    large_values,
+    left_join_many,
+    number_rows,
+    sampled,
+)
 from labreports.sources.warehouse import Tables
 
 #: Rows with equal sort keys follow in this order.
-_TIES = ascending("lab_order_details_pk", "result_sequence", "result_test_code", "textual_result")
+_TIES = ascending(
+    "lab_order_details_pk",
+    "result_sequence",
+    "result_test_code",
+    "textual_result",
+    "textual_result_full",
+)
 
 
 class _Report:
@@ -37,6 +50,7 @@ class _Report:
         )
         results = self.related.narrow(results, "lab_order_details_fk", "lab_order_details_pk")
         self.large = _large_requisitions(
+            t,
             scoped,
             self.related.narrow(t["results"], "lab_order_details_fk", "lab_order_details_pk"),
         )
@@ -106,12 +120,12 @@ class _Report:
         """Add the history message, the number of sibling rows and the position."""
         test = ["requisition_id", "accession_number", "order_test_code"]
         messages = history_messages(self.t, self._scoped, self.related)
-        names = list(dict.fromkeys([k.column for k in keys] + [k.column for k in _TIES]))
-        rows = self.rows.select(
-            *dict.fromkeys([*test, *columns, *names]),
-        ).join(messages, test, "left")
+        used = [key.column for key in keys]
+        keys = keys + [tie for tie in _TIES if tie.column not in used]
+        kept = dict.fromkeys([*test, *columns, *[key.column for key in keys]])
+        rows = self.rows.select(*kept).join(messages, test, "left")
         rows = rows.withColumn("sh_msg", F.coalesce("sh_msg", F.lit("-")))
-        rows = number_rows(rows, "requisition_id", keys + _TIES, "sort_position", self.large)
+        rows = number_rows(rows, "requisition_id", keys, "sort_position", self.large)
         rows = group_total(
             rows,
             ["requisition_id", "order_test_name"],
@@ -124,19 +138,30 @@ class _Report:
         )
 
 
-def _large_requisitions(details: DataFrame, results: DataFrame) -> LargeGroups:
+def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> LargeGroups:
     """Requisitions that many details or many results belong to.
 
-    Results are counted under null when no detail is theirs; they never reach
-    the report, but they do reach the join.
+    Results are counted by order, and only the large orders are looked up. An
+    order that is not found still has to pass the join.
     """
-    keys = details.select("requisition_id", "lab_order_details_pk")
-    drawn = sampled(
-        results.select(F.col("lab_order_details_fk").alias("lab_order_details_pk"))
-    ).filter(F.col("lab_order_details_pk").isNotNull())
-    by_result = drawn.join(keys, "lab_order_details_pk", "left").select("requisition_id")
-    by_detail = sampled(details.select("requisition_id"))
-    return LargeGroups(by_detail.unionByName(by_result), "requisition_id")
+    by_detail = sampled(details.select("requisition_id", F.lit(None).cast("bigint").alias("order")))
+    by_result = sampled(
+        results.select(
+            F.lit(None).cast("string").alias("requisition_id"),
+            F.col("lab_order_fk").alias("order"),
+        )
+    )
+    found = large_values(by_detail.unionByName(by_result), "requisition_id", "order")
+    requisition_of = {}
+    orders = [order for _, order, _ in found if order is not None]
+    if orders:
+        named = t["dim_lab_order"].filter(F.col("lab_order_pk").isin(orders))
+        requisition_of = dict(named.select("lab_order_pk", "requisition_id").collect())
+    return LargeGroups(
+        details.sparkSession,
+        "requisition_id",
+        [(key or requisition_of.get(order), rows) for key, order, rows in found],
+    )
 
 
 _DETAIL_COLUMNS = [

@@ -68,6 +68,8 @@ def order_indicators(t: Tables, related: Related, collected_by: bool = False) ->
         aggregates["collb"] = F.max(F.when(names_collector, F.col("textual_result")))
     results = results_per_detail(t, related, kept, aggregates)
     details = with_reportable_cancellation(t, counted_details(t, related))
+    # One row per detail on both sides: copies of a detail count once.
+    details = details.groupBy(*_RESULT_OF).agg(F.max("cancelled").alias("cancelled"))
     totals = [
         F.count("lab_order_details_pk").alias("test_count"),
         F.max("cancelled").alias("cancelled_test_ind"),
@@ -226,17 +228,24 @@ def requisition_demographics(t: Tables, requisitions: DataFrame | None = None) -
             "abnormal_count": F.sum(F.when(is_abnormal("abnormal_flag"), 1).otherwise(0)),
         },
     )
+    details = (
+        counted_details(t, related)
+        .groupBy(*_RESULT_OF)
+        .agg(
+            F.count("*").alias("copies"),
+            F.sum(F.when(F.col("order_detail_status") == "X", 1).otherwise(0)).alias("cancelled"),
+        )
+    )
     pairs = F.coalesce("result_count", F.lit(1))
     totals = (
-        counted_details(t, related)
-        .join(results, _RESULT_OF, "left")
+        details.join(results, _RESULT_OF, "left")
         .groupBy(F.col("lab_order_fk").alias("lab_order_pk"))
         .agg(
             F.count("lab_order_details_pk").alias("test_count"),
-            F.sum(F.when(F.col("order_detail_status") == "X", pairs).otherwise(0)).alias(
-                "cancelled_test_ind"
+            F.sum(F.col("cancelled") * pairs).alias("cancelled_test_ind"),
+            F.sum(F.col("copies") * F.coalesce("abnormal_count", F.lit(0))).alias(
+                "alert_exception_ind"
             ),
-            F.sum(F.coalesce("abnormal_count", F.lit(0))).alias("alert_exception_ind"),
         )
     )
     rows = _header_rows(t, orders).withColumn("facility_name", F.col("full_facility_name"))

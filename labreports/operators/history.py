@@ -15,49 +15,48 @@ _TEST = ["accession_number", "order_test_code"]
 def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFrame:
     """One message per requisition, accession and test of ``details``.
 
-    Orders and events each shrink to their distinct values per accession and
-    test before they meet, so repeated events are never paired with repeated
-    orders, and the message is put together without another shuffle.
+    Orders and events each shrink to what a line shows before they meet, so
+    repeated events are never paired with repeated orders. The lines stay where
+    the join put them; collecting a message needs no further shuffle.
     """
-    labs = t["dim_lab"].select(F.col("lab_pk").alias("lab_fk"), "lab_id")
-    order_labs = related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk").select(
-        F.col("lab_order_pk").alias("lab_order_fk"), "lab_fk"
+    zones = t["dim_lab"].select(
+        F.col("lab_pk").alias("lab_fk"), rules.label(F.col("lab_id"), rules.LAB_ZONE).alias("zone")
     )
-    order = F.struct(
-        "requisition_id",
-        F.replace("order_test_name", F.lit(","), F.lit("-")).alias("test_name"),
-        F.when(F.col("priority").isin("RTN", "Q"), F.col("priority")).alias("priority"),
-        rules.label(F.col("lab_id"), rules.LAB_ZONE).alias("zone"),
+    order_zones = (
+        related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk")
+        .select(F.col("lab_order_pk").alias("lab_order_fk"), "lab_fk")
+        .join(zones, "lab_fk")
+        .drop("lab_fk")
     )
     orders = (
-        details.select(*_TEST, "requisition_id", "lab_order_fk", "order_test_name", "priority")
-        .join(order_labs, "lab_order_fk")
-        .join(labs, "lab_fk")
-        .groupBy(*_TEST)
-        .agg(F.collect_set(order).alias("orders"))
-    )
-    event = F.struct(
-        F.col("event_status_code").alias("code"),
-        "entered_by",
-        F.date_format("status_date_time", rules.HISTORY_TIME_FORMAT).alias("time_text"),
+        details.select(
+            *_TEST,
+            "requisition_id",
+            "lab_order_fk",
+            F.replace("order_test_name", F.lit(","), F.lit("-")).alias("test_name"),
+            F.when(F.col("priority").isin("RTN", "Q"), F.col("priority")).alias("priority"),
+        )
+        .distinct()
+        .join(order_zones, "lab_order_fk")
     )
     events = (
         related.narrow(t["status_history"], "accession_number", "accession_number")
         .filter(F.col("event_status_code").isin(rules.HISTORY_EVENTS))
-        .groupBy(*_TEST)
-        .agg(F.collect_set(event).alias("events"))
-    )
-    return (
-        orders.join(events, _TEST)
-        .select(*_TEST, "events", F.explode("orders").alias("order"))
         .select(
-            F.col("order.requisition_id").alias("requisition_id"),
             *_TEST,
-            F.transform("events", lambda e: rules.history_line(F.col("order"), e)).alias("lines"),
+            F.col("event_status_code").alias("event"),
+            "entered_by",
+            F.date_format("status_date_time", rules.HISTORY_TIME_FORMAT).alias("time_text"),
         )
+        .distinct()
+    )
+    message = F.array_join(F.array_sort(F.collect_list("line")), ",")
+    return (
+        orders.join(events, _TEST)
+        .select("requisition_id", *_TEST, rules.history_line().alias("line"))
+        .distinct()
         .groupBy("requisition_id", *_TEST)
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
-        .select("requisition_id", *_TEST, F.array_join("lines", ",").alias("sh_msg"))
+        .agg(message.alias("sh_msg"))
     )
 
 

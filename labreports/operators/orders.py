@@ -103,7 +103,7 @@ def order_summary(
             F.max("alert_exception_ind").alias("alert_exception_ind"),
         )
     )
-    large = LargeGroups(
+    large = LargeGroups.of(
         sampled(drawn.select("spectra_mrn_assc_fk")).join(patients, "spectra_mrn_assc_fk"),
         "spectra_mrn",
     )

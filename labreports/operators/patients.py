@@ -83,7 +83,7 @@ def patient_search(
             "mrn_number": F.col("spectra_mrn").cast("bigint"),
         }
     )
-    large = LargeGroups(_matches(sampled(t["dim_patient"]), searches), "search_id")
+    large = LargeGroups.of(_matches(sampled(t["dim_patient"]), searches), "search_id")
     rows, keys = _with_sort_keys(rows, sort_field, descending)
     rows = number_rows(rows, "search_id", keys, "sl_no", large)
     rows = group_total(rows, ["search_id"], F.count("spectra_mrn"), "total_entity_cnt", large)

@@ -57,7 +57,7 @@ def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     )
     rows = accessions.join(containers, _ACCESSION, "left").join(conditions, _ACCESSION, "left")
     order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")
-    large = LargeGroups(sampled(details.select("requisition_id")), "requisition_id")
+    large = LargeGroups.of(sampled(details.select("requisition_id")), "requisition_id")
     return number_rows(rows, "requisition_id", order, "sort_position", large).select(
         "requisition_id",
         "sort_position",

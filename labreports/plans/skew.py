@@ -16,6 +16,8 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,26 +43,40 @@ def sampled(rows: DataFrame) -> DataFrame:
     return rows if every == 1 else rows.sample(1.0 / every, seed=every)
 
 
+def large_values(sample: DataFrame, *keys: str) -> list[tuple]:
+    """Key values seen often in a sample, each followed by its estimated row count.
+
+    At most one in ``SEEN * sampleEvery`` rows can be listed, so the list stays
+    small however large the tables are.
+    """
+    every = _sample_every(sample.sparkSession)
+    found = sample.groupBy(*keys).count().filter(F.col("count") >= SEEN).collect()
+    return [(*row[:-1], row["count"] * every) for row in found]
+
+
 class LargeGroups:
-    """Groups too large for one task, with their estimated row counts.
+    """Groups of ``key`` too large for one task, with their estimated row counts.
 
-    At most one group in ``SEEN * sampleEvery`` rows can be listed, so the list
-    stays small however large the tables are.
+    ``any`` may also be set for a large key of a joined table that belongs to
+    no group.
     """
 
-    def __init__(self, sample: DataFrame, key: str):
-        spark = sample.sparkSession
-        every = _sample_every(spark)
-        found = sample.groupBy(key).count().filter(F.col("count") >= SEEN).collect()
-        self.any = bool(found)
-        named = [row for row in found if row[key] is not None]
-        self.key = key
-        self.count = len(named)
+    def __init__(self, spark: SparkSession, key: str, found: list[tuple]):
+        rows = Counter()
+        for value, count in found:
+            rows[value] += count
+        self.any = bool(rows)
+        rows.pop(None, None)
+        self.count = len(rows)
         self._table = pa.table(
-            {key: [r[key] for r in named], "_rows": pa.array([r["count"] * every for r in named], pa.int64())}
+            {key: list(rows), "_rows": pa.array(rows.values(), pa.int64())}
         )
         self._spark = spark
 
+    @classmethod
+    def of(cls, sample: DataFrame, key: str) -> LargeGroups:
+        return cls(sample.sparkSession, key, large_values(sample, key))
+
     def frame(self) -> DataFrame:
         return self._spark.createDataFrame(self._table)
 

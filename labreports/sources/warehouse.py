@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 Tables = Mapping[str, DataFrame]
 
-_DDL = {
+#: Columns of each table, as Spark reads them.
+SCHEMAS = {
     "dim_lab_order": """
         lab_order_pk bigint, requisition_id string, requisition_status string,
         collection_date date, collection_date_time timestamp_ntz, draw_frequency string,
@@ -80,8 +80,6 @@ _DDL = {
     "dir_attribute_value": "group_cn string, attribute_id string, value string",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-
 
 def parquet_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """One parquet table per name under ``root``, read with its fixed schema."""

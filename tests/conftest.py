@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from labreports.plans.skew import SAMPLE_EVERY_CONF  # noqa: E402
+from labreports.sources.fixtures import FixtureTables  # noqa: E402
+from labreports.sources.warehouse import SCHEMAS  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("labreports-tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def every_group_is_large(spark):
+    """Look at every row, so that each group of three rows or more is split."""
+    spark.conf.set(SAMPLE_EVERY_CONF, "1")
+    yield
+    spark.conf.unset(SAMPLE_EVERY_CONF)
+
+
+@pytest.fixture(scope="session")
+def small_tables(spark):
+    return FixtureTables(spark, SMALL)
+
+
+@pytest.fixture
+def make_tables(spark):
+    """Warehouse tables from rows given as dicts; what is not given is null or empty."""
+
+    def build(**rows):
+        tables = {}
+        for name, schema in SCHEMAS.items():
+            columns = spark.createDataFrame([], schema).schema
+            data = [tuple(r.get(f.name) for f in columns) for r in rows.get(name, [])]
+            tables[name] = spark.createDataFrame(data, columns)
+        return tables
+
+    return build
+
+
+def as_dicts(frame):
+    return [row.asDict() for row in frame.collect()]

@@ -1,0 +1,176 @@
+from __future__ import annotations
+
+import datetime as dt
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from labreports.functions import rules
+from labreports.functions.ordering import SortKey, orderings
+from labreports.functions.sid import in_same_domain, sid_text
+from labreports.operators.patients import name_pattern
+
+
+def values(frame):
+    return [row[0] for row in frame.collect()]
+
+
+def test_label_keeps_unlisted_codes_and_nulls(spark):
+    codes = spark.createDataFrame([("SW",), ("HE",), ("ZZ",), (None,)], "c string")
+    assert values(codes.select(rules.label(F.col("c"), rules.LAB_CITY))) == [
+        "Milpitas",
+        "Rockleigh",
+        "ZZ",
+        None,
+    ]
+
+
+def test_joined_text_ignores_nulls(spark):
+    row = spark.createDataFrame([("a", None)], "x string, y string")
+    assert values(row.select(rules.joined_text(F.col("x"), "|", F.col("y"), "."))) == ["a|."]
+
+
+def test_not_in_keeping_null_and_plain_not_in_differ(spark):
+    rows = spark.createDataFrame([("A",), ("B",), (None,)], "c string")
+    assert values(rows.filter(rules.not_in_keeping_null(F.col("c"), ["A"]))) == ["B", None]
+    assert values(rows.filter(~F.col("c").isin("A"))) == ["B"]
+
+
+def test_nulls_sort_last_ascending_and_first_descending(spark):
+    rows = spark.createDataFrame([(2,), (None,), (1,)], "n int")
+    assert values(rows.orderBy(*orderings([SortKey("n")]))) == [1, 2, None]
+    assert values(rows.orderBy(*orderings([SortKey("n", descending=True)]))) == [None, 2, 1]
+
+
+# (in process, scheduled, cancelled, complete, done, tests, received) -> status
+TUBES = [
+    ((1, 0, 0, 0, 0, 2, None), "Intransit"),
+    ((0, 2, 0, 0, 0, 2, None), "Scheduled"),
+    ((1, 0, 0, 0, 0, 2, 1), "In Process"),
+    ((1, 1, 0, 0, 0, 1, 1), "Scheduled"),
+    ((0, 0, 2, 2, 0, 2, 1), "Cancelled"),
+    ((0, 0, 1, 2, 1, 2, 1), "Done"),
+    ((0, 1, 0, 1, 1, 2, None), "Partial Complete"),
+    ((0, 1, 1, 1, 0, 2, 1), None),
+]
+
+
+@pytest.mark.parametrize("counts, status", TUBES)
+def test_tube_status_takes_first_rule(spark, counts, status):
+    row = spark.createDataFrame(
+        [counts],
+        "in_process_count int, scheduled_count int, cancel_count int, complete_count int,"
+        " done_count int, test_count int, specimen_received_date_time int",
+    )
+    assert values(row.select(rules.tube_status())) == [status]
+
+
+def expected_line(priority, event, user):
+    """The rule table of the history message."""
+    table = {
+        ("RTN", "S", "IF"): "Interface Order Received",
+        ("RTN", "S", "U1"): "Manual Order Received - U1",
+        ("Q", "S", "IF"): "Interface Add-On Order Received",
+        ("Q", "S", "U1"): "Manual Add-On Order Received - U1",
+        ("RTN", "A", "IF"): "Interface Tube Scanned",
+        ("RTN", "A", "U1"): "Manual Tube Scanned - U1",
+        ("Q", "A", "IF"): "Interface Add-On Tube Scanned",
+        ("Q", "A", "U1"): "Manual Add-On Tube Scanned - U1",
+    }
+    text = table.get((priority, event, user))
+    if event == "D":
+        text = "Result Finalized"
+    if event == "X" and user:
+        text = "Cancelled" if user == "IF" else f"Cancelled - {user}"
+    return f"CBC-x|01/02/2024 13:05 PM ET|{text}" if text else "*"
+
+
+def test_history_line_rules(spark):
+    cases = list(
+        itertools.product(["RTN", "Q", "STAT", None], ["S", "A", "D", "X"], ["IF", "U1", None])
+    )
+    rows = spark.createDataFrame(
+        [("CBC-x", p, "ET", e, u, "01/02/2024 13:05 PM") for p, e, u in cases],
+        "test_name string, priority string, zone string, event string, entered_by string,"
+        " time_text string",
+    )
+    lines = values(rows.select(rules.history_line()))
+    assert lines == [expected_line(*case) for case in cases]
+
+
+def test_history_line_with_missing_parts(spark):
+    row = spark.createDataFrame(
+        [(None, "RTN", None, "D", None, None)],
+        "test_name string, priority string, zone string, event string, entered_by string,"
+        " time_text string",
+    )
+    assert values(row.select(rules.history_line())) == ["| |Result Finalized"]
+
+
+def test_history_time_has_both_hour_and_half_of_day(spark):
+    row = spark.createDataFrame([(dt.datetime(2024, 1, 2, 13, 5),)], "t timestamp_ntz")
+    text = values(row.select(F.date_format("t", rules.HISTORY_TIME_FORMAT)))
+    assert text == ["01/02/2024 13:05 PM"]
+
+
+def test_placeholders(spark):
+    rows = spark.createDataFrame(
+        [("7", "X"), (None, "I"), (None, "O"), (None, "P"), (None, "X"), (None, "F"), (None, None)],
+        "r string, s string",
+    )
+    shown = values(rows.select(rules.result_or_placeholder(F.col("r"), F.col("s"))))
+    assert shown == ["7", "PENDING", "PENDING", "PENDING", "CANCELLED", None, None]
+
+
+def test_status_rank(spark):
+    texts = ["Cancelled", "Scheduled", "Received", "Valued", "Done", "CM", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert values(rows.select(rules.status_rank(F.col("s")))) == [1, 2, 3, 4, 5, 6, 6]
+
+
+NAMES = [
+    ("smith", "SMITH%"),
+    ("smith,  john", "SMITH,%JOHN%"),
+    (" ohn", "%OHN%"),
+    ("smi%", "SMI%"),
+    ("smith ", "SMITH%"),
+    ("s_ith", "S_ITH%"),
+    (" ", "%"),
+    ("", None),
+    (None, None),
+]
+
+
+@pytest.mark.parametrize("typed, pattern", NAMES)
+def test_name_pattern(spark, typed, pattern):
+    row = spark.createDataFrame([(typed,)], "n string")
+    assert values(row.select(name_pattern(F.col("n")))) == [pattern]
+
+
+SIDS = [
+    ("010500000000000515000000A065CF7E784B9B5FE77C8770F4010000",
+     "S-1-5-21-2127521184-1604012920-1887927527-500"),
+    ("010100000000000100000000", "S-1-1-0"),
+    ("01020000000000052000000020020000", "S-1-5-32-544"),
+    ("0100000000000005", "S-1-5"),
+    ("010100000000000001000000", "S-1-0-1"),
+    ("0101000000000010FFFFFFFF", "S-1-10-4294967295"),
+    ("01018000000000050A000000", "S-1-800000000005-10"),
+]
+
+
+@pytest.mark.parametrize("digits, text", SIDS)
+def test_sid_text(spark, digits, text):
+    row = spark.createDataFrame([(bytearray.fromhex(digits),)], "sid binary")
+    assert values(row.select(sid_text(F.col("sid")))) == [text]
+
+
+def test_sid_of_nothing_is_null(spark):
+    row = spark.createDataFrame([(None,)], "sid binary")
+    assert values(row.select(sid_text(F.col("sid")))) == [None]
+
+
+def test_in_same_domain(spark):
+    row = spark.createDataFrame([("S-1-5-21-7-500", "513")], "s string, r string")
+    assert values(row.select(in_same_domain(F.col("s"), F.col("r")))) == ["S-1-5-21-7-513"]
