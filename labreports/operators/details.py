@@ -28,6 +28,8 @@ _TIES = ascending(
     "textual_result_full",
 )
 
+_MESSAGE_OF = ["requisition_id", "accession_number", "order_test_code"]
+
 
 class _Report:
     """The rows that all four reports share, before their own columns and order."""
@@ -39,60 +41,59 @@ class _Report:
         micro: str,
         excluded_categories: list[str],
         results: DataFrame,
+        patient_group: bool = False,
     ):
         scoped = keep_keys(
             t["dim_lab_order_details"], "requisition_id", requisition_keys(requisitions)
         )
-        self.related = Related(
+        related = Related(
             scoped,
             ["lab_order_details_pk", "lab_order_fk", "accession_number"],
             requisitions is not None,
         )
-        results = self.related.narrow(results, "lab_order_details_fk", "lab_order_details_pk")
-        self.large = _large_requisitions(
-            t,
-            scoped,
-            self.related.narrow(t["results"], "lab_order_details_fk", "lab_order_details_pk"),
-        )
+        narrowed = ["lab_order_details_fk", "lab_order_details_pk"]
+        self.large = _large_requisitions(t, scoped, related.narrow(t["results"], *narrowed))
         tests = t["dim_order_test"].filter(
             (F.col("micro_culture_format_flag") == micro)
-            & rules.not_in_keeping_null(
-                F.col("order_test_type"), rules.EXCLUDED_ORDER_TEST_TYPES
-            )
+            & rules.not_in_keeping_null(F.col("order_test_type"), rules.EXCLUDED_ORDER_TEST_TYPES)
         )
-        details = scoped.filter(
-            rules.not_in_keeping_null(F.col("test_category"), excluded_categories)
-        ).withColumnRenamed("order_test_name", "ordered_name")
-        details = details.join(
-            tests.select(
-                F.col("order_test_pk").alias("order_test_fk"),
-                "inquiry_grouping",
-                F.col("source_lab_system").alias("test_lab_system"),
-            ),
-            "order_test_fk",
+        details = (
+            scoped.filter(rules.not_in_keeping_null(F.col("test_category"), excluded_categories))
+            .withColumnRenamed("order_test_name", "ordered_name")
+            .join(
+                tests.select(
+                    F.col("order_test_pk").alias("order_test_fk"),
+                    "inquiry_grouping",
+                    F.col("source_lab_system").alias("test_lab_system"),
+                ),
+                "order_test_fk",
+            )
+            .join(t["lov_clinical_status"], "clinical_status", "left")
+            .withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
         )
-        details = details.join(
-            t["lov_clinical_status"], "clinical_status", "left"
-        ).withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
+        # All that depends on the detail alone is joined before the results
+        # multiply the rows.
+        if patient_group:
+            details = _with_patient_group(t, details, related)
+        details = details.join(history_messages(t, scoped, related), _MESSAGE_OF, "left")
         rows = left_join_many(
             details,
-            results.withColumnsRenamed(
+            related.narrow(results, *narrowed).withColumnsRenamed(
                 {"order_test_name": "result_order_name", "lab_order_fk": "result_order_fk"}
             ),
             "lab_order_details_pk",
             "lab_order_details_fk",
             self.large,
         )
-        self.t = t
         self.rows = rows.withColumns(
             {
                 "order_test_name": F.coalesce("result_order_name", "ordered_name"),
                 "result_test_name": F.coalesce("result_test_name", "ordered_name"),
                 "original_result_test_name": F.col("result_test_name"),
                 "abnormal_flag": F.col("derived_abnormal_flag"),
+                "sh_msg": F.coalesce("sh_msg", F.lit("-")),
             }
         )
-        self._scoped = scoped
 
     def drop_collected_by(self) -> None:
         """Leave out the row that only names who collected the sample."""
@@ -100,44 +101,35 @@ class _Report:
         self.rows = self.rows.filter(rules.not_in_keeping_null(code, [rules.COLLECTED_BY_CODE]))
 
     def fill_in_missing_results(self) -> None:
-        self.rows = self.rows.withColumn(
-            "textual_result_full",
-            rules.result_or_placeholder(
-                F.col("textual_result_full"), F.col("order_detail_status")
-            ),
-        )
-
-    def add_patient_group(self) -> None:
-        orders = self.related.narrow(self.t["dim_lab_order"], "lab_order_pk", "lab_order_fk")
-        groups = orders.select(F.col("lab_order_pk").alias("lab_order_fk"), "patient_type").join(
-            self.t["lov_patient_type"], "patient_type", "left"
-        )
-        self.rows = self.rows.join(
-            groups.select("lab_order_fk", "patient_type_sub_group"), "lab_order_fk", "left"
+        shown = rules.result_or_placeholder(
+            F.col("textual_result_full"), F.col("order_detail_status")
         )
+        self.rows = self.rows.withColumn("textual_result_full", shown)
 
     def finish(self, keys: list[SortKey], columns: list[str]) -> DataFrame:
-        """Add the history message, the number of sibling rows and the position."""
-        test = ["requisition_id", "accession_number", "order_test_code"]
-        messages = history_messages(self.t, self._scoped, self.related)
+        """Add the position and the number of sibling rows."""
         used = [key.column for key in keys]
         keys = keys + [tie for tie in _TIES if tie.column not in used]
-        kept = dict.fromkeys([*test, *columns, *[key.column for key in keys]])
-        rows = self.rows.select(*kept).join(messages, test, "left")
-        rows = rows.withColumn("sh_msg", F.coalesce("sh_msg", F.lit("-")))
+        kept = dict.fromkeys(["requisition_id", "sh_msg", *columns, *[k.column for k in keys]])
+        rows = self.rows.select(*kept)
         rows = number_rows(rows, "requisition_id", keys, "sort_position", self.large)
-        rows = group_total(
-            rows,
-            ["requisition_id", "order_test_name"],
-            F.count("*"),
-            "parent_test_count",
-            self.large,
-        )
+        siblings = ["requisition_id", "order_test_name"]
+        rows = group_total(rows, siblings, F.count("*"), "parent_test_count", self.large)
         return rows.select(
             "requisition_id", "sort_position", *columns, "parent_test_count", "sh_msg"
         )
 
 
+def _with_patient_group(t: Tables, details: DataFrame, related: Related) -> DataFrame:
+    orders = related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk")
+    groups = orders.select(F.col("lab_order_pk").alias("lab_order_fk"), "patient_type").join(
+        t["lov_patient_type"], "patient_type", "left"
+    )
+    return details.join(
+        groups.select("lab_order_fk", "patient_type_sub_group"), "lab_order_fk", "left"
+    )
+
+
 def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> LargeGroups:
     """Requisitions that many details or many results belong to.
 
@@ -180,10 +172,9 @@ _DETAIL_COLUMNS = [
 
 def routine_test_details(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     """Tests and results outside microbiology, by accession and test."""
-    report = _Report(t, requisitions, "N", ["PENDING"], t["results"])
+    report = _Report(t, requisitions, "N", ["PENDING"], t["results"], patient_group=True)
     report.drop_collected_by()
     report.fill_in_missing_results()
-    report.add_patient_group()
     return report.finish(
         ascending("accession_number", "ordered_name", "result_test_name"),
         [*_DETAIL_COLUMNS, "patient_type_sub_group"],
@@ -196,8 +187,7 @@ def micro_test_details(t: Tables, requisitions: DataFrame | None = None) -> Data
         F.col("result_test_pk").alias("result_test_fk"), "sequence_number"
     )
     results = t["results"].join(sequences, "result_test_fk", "left")
-    report = _Report(t, requisitions, "Y", ["MISC", "PENDING"], results)
-    report.add_patient_group()
+    report = _Report(t, requisitions, "Y", ["MISC", "PENDING"], results, patient_group=True)
     is_collection_time = F.upper("original_result_test_name") == "COLLECTION TIME"
     report.rows = report.rows.withColumn(
         "seq_num", F.when(is_collection_time, 1).otherwise(F.col("sequence_number"))

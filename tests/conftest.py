@@ -5,6 +5,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -20,7 +21,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("labreports-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
@@ -49,13 +51,18 @@ def small_tables(spark):
 def make_tables(spark):
     """Warehouse tables from rows given as dicts; what is not given is null or empty."""
 
-    def build(**rows):
-        tables = {}
-        for name, schema in SCHEMAS.items():
-            columns = spark.createDataFrame([], schema).schema
-            data = [tuple(r.get(f.name) for f in columns) for r in rows.get(name, [])]
-            tables[name] = spark.createDataFrame(data, columns)
-        return tables
+    class Given(dict):
+        def __missing__(self, name):
+            self[name] = spark.createDataFrame([], SCHEMAS[name])
+            return self[name]
+
+    def build(**tables):
+        given = Given()
+        for name, rows in tables.items():
+            columns = StructType.fromDDL(SCHEMAS[name])
+            data = [tuple(row.get(c.name) for c in columns) for row in rows]
+            given[name] = spark.createDataFrame(data, columns)
+        return given
 
     return build
 
