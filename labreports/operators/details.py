@@ -71,18 +71,18 @@ class _Report:
             .join(t["lov_clinical_status"], "clinical_status", "left")
             .withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
         )
-        # All that depends on the detail alone is joined before the results
-        # multiply the rows.
         if patient_group:
             details = _with_patient_group(t, details, related)
-        details = details.join(history_messages(t, scoped, related), _MESSAGE_OF, "left")
         rows = left_join_many(
             details,
             related.narrow(results, *narrowed).withColumnsRenamed(
-                {"order_test_name": "result_order_name", "lab_order_fk": "result_order_fk"}
+                {
+                    "lab_order_details_fk": "lab_order_details_pk",
+                    "lab_order_fk": "result_order_fk",
+                    "order_test_name": "result_order_name",
+                }
             ),
-            "lab_order_details_pk",
-            "lab_order_details_fk",
+            ["lab_order_details_pk"],
             self.large,
         )
         self.rows = rows.withColumns(
@@ -91,9 +91,10 @@ class _Report:
                 "result_test_name": F.coalesce("result_test_name", "ordered_name"),
                 "original_result_test_name": F.col("result_test_name"),
                 "abnormal_flag": F.col("derived_abnormal_flag"),
-                "sh_msg": F.coalesce("sh_msg", F.lit("-")),
             }
         )
+        # Built beside the join with the results, not ahead of it.
+        self._messages = history_messages(t, scoped, related)
 
     def drop_collected_by(self) -> None:
         """Leave out the row that only names who collected the sample."""
@@ -110,8 +111,9 @@ class _Report:
         """Add the position and the number of sibling rows."""
         used = [key.column for key in keys]
         keys = keys + [tie for tie in _TIES if tie.column not in used]
-        kept = dict.fromkeys(["requisition_id", "sh_msg", *columns, *[k.column for k in keys]])
-        rows = self.rows.select(*kept)
+        kept = dict.fromkeys([*_MESSAGE_OF, *columns, *[key.column for key in keys]])
+        rows = self.rows.select(*kept).join(self._messages, _MESSAGE_OF, "left")
+        rows = rows.withColumn("sh_msg", F.coalesce("sh_msg", F.lit("-")))
         rows = number_rows(rows, "requisition_id", keys, "sort_position", self.large)
         siblings = ["requisition_id", "order_test_name"]
         rows = group_total(rows, siblings, F.count("*"), "parent_test_count", self.large)

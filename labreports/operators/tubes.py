@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import ascending
 from labreports.plans.scope import keep_keys, requisition_keys
-from labreports.plans.skew import LargeGroups, number_rows, sampled
+from labreports.plans.skew import LargeGroups, left_join_many, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
 # Categories left out. A null category is left out as well.
@@ -55,9 +55,10 @@ def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
         .groupBy(*_ACCESSION)
         .agg(F.max("order_test_name").alias("condition"))
     )
-    rows = accessions.join(containers, _ACCESSION, "left").join(conditions, _ACCESSION, "left")
-    order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")
     large = LargeGroups.of(sampled(details.select("requisition_id")), "requisition_id")
+    rows = left_join_many(accessions, containers, _ACCESSION, large)
+    rows = rows.join(conditions, _ACCESSION, "left")
+    order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")
     return number_rows(rows, "requisition_id", order, "sort_position", large).select(
         "requisition_id",
         "sort_position",

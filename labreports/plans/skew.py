@@ -161,12 +161,11 @@ def _before(a: Column, b: Column, keys: list[SortKey]) -> Column:
 
 
 def left_join_many(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, large: LargeGroups
+    left: DataFrame, right: DataFrame, on: list[str], large: LargeGroups
 ) -> DataFrame:
     """Left outer join in which one left row may match very many right rows."""
-    matches = F.col(left_key) == F.col(right_key)
     if not large.any:
-        return left.join(right, matches, "left")
-    matched = left.join(right, matches, "inner")
-    alone = left.join(right.select(right_key).distinct(), matches, "left_anti")
+        return left.join(right, on, "left")
+    matched = left.join(right, on)
+    alone = left.join(right.select(*on).distinct(), on, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)

@@ -105,6 +105,11 @@ def jdbc_tables(
     """
     tables = {}
     for name in SCHEMAS:
-        reader = spark.read.format("jdbc").options(url=url, dbtable=f"{schema}.{name}", **properties)
+        reader = spark.read.format("jdbc").options(
+            url=url,
+            dbtable=f"{schema}.{name}",
+            customSchema=" ".join(SCHEMAS[name].split()),
+            **properties,
+        )
         tables[name] = reader.options(**splits.get(name, {})).load()
     return tables

@@ -73,8 +73,10 @@ def test_totals(spark, rows, large):
 @pytest.mark.parametrize("large", [[], [(None, 5)]])
 def test_left_join_with_many_matches(spark, large):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "d")], "k int, v string")
-    right = spark.createDataFrame([(1, "x")] * 50 + [(3, "y"), (9, "z"), (None, "w")], "r int, w string")
-    joined = left_join_many(left, right, "k", "r", LargeGroups(spark, "k", large))
+    right = spark.createDataFrame(
+        [(1, "x")] * 50 + [(3, "y"), (9, "z"), (None, "w")], "k int, w string"
+    )
+    joined = left_join_many(left, right, ["k"], LargeGroups(spark, "k", large))
     counts = {(r["k"], r["w"]): r["count"] for r in joined.groupBy("k", "w").count().collect()}
     assert counts == {(1, "x"): 50, (2, None): 1, (3, "y"): 1, (None, None): 1}
 
