@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.history import history_messages
-from labreports.plans.scope import Related, keep_keys, requisition_keys
+from labreports.plans.scope import Related, requisition_scope
 from labreports.plans.skew import (
     LargeGroups,
     group_total,
@@ -43,13 +43,10 @@ class _Report:
         results: DataFrame,
         patient_group: bool = False,
     ):
-        scoped = keep_keys(
-            t["dim_lab_order_details"], "requisition_id", requisition_keys(requisitions)
-        )
-        related = Related(
-            scoped,
-            ["lab_order_details_pk", "lab_order_fk", "accession_number"],
-            requisitions is not None,
+        scope = requisition_scope(requisitions)
+        scoped = scope.keep(t["dim_lab_order_details"], "requisition_id")
+        related = scope.related(
+            scoped, ["lab_order_details_pk", "lab_order_fk", "accession_number"]
         )
         narrowed = ["lab_order_details_fk", "lab_order_details_pk"]
         self.large = _large_requisitions(t, scoped, related.narrow(t["results"], *narrowed))

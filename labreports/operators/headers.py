@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
-from labreports.plans.scope import Related, keep_keys, requisition_keys
+from labreports.plans.scope import Related, requisition_scope
 from labreports.sources.warehouse import Tables
 
 # Categories not counted as tests. A null category is not counted either.
@@ -173,8 +173,9 @@ _INDICATORS = {"test_count": F.sum, "cancelled_test_ind": F.max, "alert_exceptio
 
 
 def _scoped_orders(t: Tables, requisitions: DataFrame | None) -> tuple[DataFrame, Related]:
-    orders = keep_keys(t["dim_lab_order"], "requisition_id", requisition_keys(requisitions))
-    return orders, Related(orders, ["lab_order_pk"], requisitions is not None)
+    scope = requisition_scope(requisitions)
+    orders = scope.keep(t["dim_lab_order"], "requisition_id")
+    return orders, scope.related(orders, ["lab_order_pk"])
 
 
 def _with_lab_and_type(t: Tables, rows: DataFrame) -> DataFrame:

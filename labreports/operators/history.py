@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
-from labreports.plans.scope import Related, keep_keys, requisition_keys
+from labreports.plans.scope import Related, requisition_scope
 from labreports.sources.warehouse import Tables
 
 _TEST = ["accession_number", "order_test_code"]
@@ -62,8 +62,7 @@ def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFra
 
 def status_history_messages(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     """History message of every requisition, accession and test that has one."""
-    details = keep_keys(
-        t["dim_lab_order_details"], "requisition_id", requisition_keys(requisitions)
-    )
-    related = Related(details, ["lab_order_fk", "accession_number"], requisitions is not None)
+    scope = requisition_scope(requisitions)
+    details = scope.keep(t["dim_lab_order_details"], "requisition_id")
+    related = scope.related(details, ["lab_order_fk", "accession_number"])
     return history_messages(t, details, related)

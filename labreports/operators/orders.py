@@ -11,7 +11,7 @@ from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.headers import order_indicators
 from labreports.operators.tubes import tubes_not_received
-from labreports.plans.scope import Related, keep_keys
+from labreports.plans.scope import Scope
 from labreports.plans.skew import LargeGroups, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
@@ -53,14 +53,12 @@ def order_summary(
     ``mrns`` limits the patients. Rows ``start`` to ``end`` of each patient are
     returned if both are given.
     """
-    scope_given = mrns is not None
+    scope = Scope(None if mrns is None else mrns.select("spectra_mrn"))
     masters = t["spectra_mrn_master"].select(
         F.col("spectra_mrn_pk").alias("spectra_mrn_fk"), "spectra_mrn"
     )
-    masters = keep_keys(
-        masters, "spectra_mrn", mrns.select("spectra_mrn") if scope_given else None
-    )
-    numbers = Related(masters, ["spectra_mrn_fk"], scope_given)
+    masters = scope.keep(masters, "spectra_mrn")
+    numbers = scope.related(masters, ["spectra_mrn_fk"])
     patients = (
         numbers.narrow(t["spectra_mrn_associations"], "spectra_mrn_fk", "spectra_mrn_fk")
         .join(masters, "spectra_mrn_fk")
@@ -68,12 +66,12 @@ def order_summary(
             F.col("spectra_mrn_assc_pk").alias("spectra_mrn_assc_fk"), "spectra_mrn", "facility_fk"
         )
     )
-    of_patients = Related(patients, ["spectra_mrn_assc_fk"], scope_given)
+    of_patients = scope.related(patients, ["spectra_mrn_assc_fk"])
     drawn_on = F.to_date("collection_date")
     drawn = of_patients.narrow(
         t["dim_lab_order"], "spectra_mrn_assc_fk", "spectra_mrn_assc_fk"
     ).filter(drawn_on.between(F.lit(from_date), F.lit(as_of)))
-    related = Related(drawn, ["lab_order_pk", "requisition_id"], scope_given)
+    related = scope.related(drawn, ["lab_order_pk", "requisition_id"])
 
     facilities = t["dim_facility"].select(
         F.col("facility_pk").alias("facility_fk"), "corporate_acronym", "display_name"

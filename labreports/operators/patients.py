@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey
-from labreports.plans.scope import keep_keys
+from labreports.plans.scope import Scope
 from labreports.plans.skew import LargeGroups, group_total, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
@@ -232,11 +232,8 @@ def patient_details(
     t: Tables, mrns: DataFrame | None = None, facility_id: int | None = None
 ) -> DataFrame:
     """Demographics, facility, client, physician and lab of each patient."""
-    patients = keep_keys(
-        t["dim_patient"],
-        "spectra_mrn",
-        None if mrns is None else mrns.select(F.col("spectra_mrn").cast("string")),
-    )
+    numbers = None if mrns is None else mrns.select(F.col("spectra_mrn").cast("string"))
+    patients = Scope(numbers).keep(t["dim_patient"], "spectra_mrn")
     if facility_id is not None and facility_id > 0:
         patients = patients.filter(F.col("facility_fk") == facility_id)
     rows = patients.join(_sites(t, F.col("name")), "facility_fk")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.functions.ordering import ascending
-from labreports.plans.scope import keep_keys, requisition_keys
+from labreports.plans.scope import requisition_scope
 from labreports.plans.skew import LargeGroups, left_join_many, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
@@ -26,9 +26,8 @@ def _count_of(*statuses: str):
 
 def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     """One row per accession and container of a requisition, in accession order."""
-    details = keep_keys(
-        t["dim_lab_order_details"], "requisition_id", requisition_keys(requisitions)
-    )
+    scope = requisition_scope(requisitions)
+    details = scope.keep(t["dim_lab_order_details"], "requisition_id")
     category = F.col("test_category")
     accessions = (
         details.filter(~category.isin(_NOT_ACCESSIONED))

@@ -30,35 +30,46 @@ def narrow(rows: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
     return rows if few is None else rows.filter(is_one_of(column, [row[0] for row in few]))
 
 
-def keep_keys(rows: DataFrame, column: str, keys: DataFrame | None) -> DataFrame:
-    """Rows whose ``column`` is in the frame ``keys`` (its first column); all non-null if no frame."""
-    if keys is None:
-        return rows.filter(F.col(column).isNotNull())
-    keys = keys.select(F.col(keys.columns[0]).alias(column))
-    few = few_rows(keys)
-    if few is not None:
-        return rows.filter(is_one_of(F.col(column), [row[0] for row in few]))
-    return rows.join(keys.distinct(), column, "left_semi")
-
-
-def requisition_keys(requisitions: DataFrame | None) -> DataFrame | None:
-    """Requisition keys are matched in upper case."""
-    if requisitions is None:
-        return None
-    return requisitions.select(F.upper("requisition_id").alias("requisition_id"))
+class Scope:
+    """The keys a report is limited to: the first column of ``keys``, or no limit if None."""
+
+    def __init__(self, keys: DataFrame | None, upper: bool = False):
+        if keys is not None:
+            key = F.col(keys.columns[0])
+            keys = keys.select((F.upper(key) if upper else key).alias("_key")).distinct()
+        self._keys = keys
+        few = None if keys is None else few_rows(keys)
+        self._few = None if few is None else [row[0] for row in few]
+
+    def keep(self, rows: DataFrame, column: str) -> DataFrame:
+        """Rows with one of the keys; without a scope, all rows that have a key."""
+        if self._keys is None:
+            return rows.filter(F.col(column).isNotNull())
+        if self._few is not None:
+            return rows.filter(is_one_of(F.col(column), self._few))
+        return rows.join(self._keys.withColumnRenamed("_key", column), column, "left_semi")
+
+    def related(self, kept: DataFrame, columns: list[str]) -> Related:
+        """Key values of the rows kept, looked up only if the scope's own keys are few."""
+        return Related(few_rows(kept.select(*columns)) if self._few is not None else None)
 
 
 class Related:
-    """Key values of a scoped frame, used to narrow the tables joined to it.
+    """Narrows the tables that are joined to a report's scope.
 
-    ``narrow`` only removes rows that the join itself would drop, so it may do
-    nothing: it does so when there is no scope or when the keys are many.
+    Only rows that the join itself would drop are removed, so nothing need be
+    done: without a scope, or when the related keys are many.
     """
 
-    def __init__(self, scoped: DataFrame, columns: list[str], scope_given: bool):
-        self._rows = few_rows(scoped.select(*columns)) if scope_given else None
+    def __init__(self, rows: list | None):
+        self._rows = rows
 
     def narrow(self, rows: DataFrame, column: str, key: str) -> DataFrame:
         if self._rows is None:
             return rows
         return rows.filter(is_one_of(F.col(column), [row[key] for row in self._rows]))
+
+
+def requisition_scope(requisitions: DataFrame | None) -> Scope:
+    """Requisition keys are matched in upper case."""
+    return Scope(None if requisitions is None else requisitions.select("requisition_id"), upper=True)
