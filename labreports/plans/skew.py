@@ -7,7 +7,8 @@ shows whether any group is too large for one task; if so:
 
 * a count is aggregated (which combines before the shuffle) and joined back,
 * numbering cuts each large group into slices along its sort order, numbers
-  within the slices, and adds the size of the earlier slices,
+  within the slices, and adds the size of the earlier slices; copies of one
+  row are counted, numbered together and written out again,
 * the outer join becomes an inner join, which adaptive execution can split on
   either side, plus the rows that have no match.
 
@@ -30,6 +31,8 @@ SAMPLE_EVERY = 1 << 18
 SEEN = 3
 #: About this many slices are cut from a large group.
 SLICES = 256
+#: Copies of one row that one task writes out.
+COPIES_PER_PIECE = 1_000_000
 #: Cuts are sent to every task while there are at most this many of them.
 BROADCAST_CUTS = 200_000
 
@@ -99,26 +102,36 @@ def number_rows(
     if not (large.any and large.count):
         window = Window.partitionBy(group).orderBy(*orderings(keys))
         return rows.withColumn(name, F.row_number().over(window).cast("bigint"))
-    sliced = _sliced(rows, group, keys, large)
-    window = Window.partitionBy(group, "_slice").orderBy(*orderings(keys))
+    # Copies of a row cannot be told apart by any slice, so they are numbered as
+    # one row that stands for many.
+    copies = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
+    sliced = _sliced(copies, group, keys, large)
+    running = Window.partitionBy(group, "_slice").orderBy(*orderings(keys))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         sliced.filter("_in_large_group")
         .groupBy(group, "_slice")
-        .count()
-        .withColumn(
-            "_earlier",
-            F.sum("count").over(
-                Window.partitionBy(group)
-                .orderBy("_slice")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(group, "_slice", "_earlier")
+        .agg(F.sum("_copies").alias("_size"))
+        .select(group, "_slice", F.sum("_size").over(before).alias("_earlier"))
+    )
+    up_to = F.sum("_copies").over(running.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = (
+        sliced.withColumn("_up_to", up_to)
+        .join(_small(earlier, large), [group, "_slice"], "left")
+        .withColumn("_last", F.col("_up_to") + F.coalesce("_earlier", F.lit(0)))
     )
-    numbered = sliced.withColumn(name, F.row_number().over(window))
-    return numbered.join(_small(earlier, large), [group, "_slice"], "left").select(
-        *rows.columns,
-        (F.col(name) + F.coalesce("_earlier", F.lit(0))).cast("bigint").alias(name),
+    return _one_row_per_copy(numbered, rows.columns, name)
+
+
+def _one_row_per_copy(numbered: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Write each copy out with its own number, pieces of many copies in different tasks."""
+    first = F.col("_last") - F.col("_copies") + 1 + F.col("_piece") * COPIES_PER_PIECE
+    last = F.least(first + (COPIES_PER_PIECE - 1), F.col("_last"))
+    pieces = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES_PER_PIECE))
+    return (
+        numbered.select(*columns, "_copies", "_last", F.explode(pieces).alias("_piece"))
+        .repartition(*columns, "_piece")
+        .select(*columns, F.explode(F.sequence(first, last)).alias(name))
     )
 
 

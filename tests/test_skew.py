@@ -48,6 +48,17 @@ def test_numbering(spark, rows, large):
     assert {r["id"]: r["n"] for r in numbered.collect()} == expected_numbers(rows)
 
 
+@pytest.mark.parametrize("per_piece", [1_000_000, 7])
+def test_copies_are_numbered_too(spark, rows, per_piece, monkeypatch):
+    monkeypatch.setattr("labreports.plans.skew.COPIES_PER_PIECE", per_piece)
+    copied = rows.unionByName(rows.filter("id = 300").crossJoin(spark.range(500).select()))
+    keys = KEYS[:2] + [SortKey("id")]
+    plain = number_rows(copied, "grp", keys, "n", LargeGroups(spark, "grp", []))
+    split = number_rows(copied, "grp", keys, "n", LargeGroups(spark, "grp", [("hot", 1500)]))
+    assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    assert split.filter("id = 300").count() == 501
+
+
 def test_large_group_is_cut_into_many_slices(spark, rows):
     from labreports.plans.skew import _sliced
 
