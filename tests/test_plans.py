@@ -10,7 +10,6 @@ import pytest
 import labreports as lab
 from labreports.sources.fixtures import FIXTURE_SQL
 from labreports.sources.warehouse import SCHEMAS, jdbc_tables, parquet_tables
-from tests.conftest import SMALL
 
 DAYS = (dt.date(1995, 1, 1), dt.date(2001, 8, 1))
 
