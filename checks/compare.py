@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import duckdb
 import pyarrow as pa
 
-from labreports.sources.fixtures import SOURCES
-
-
 
 def duckdb_rows(sql: str, sf_dir: str) -> pa.Table:
     with duckdb.connect() as con:
-        for name in SOURCES:
-            con.execute(
-                f"create view {name} as select * from read_parquet('{sf_dir}/{name}.parquet')"
-            )
+        for path in sorted(Path(sf_dir).glob("*.parquet")):
+            con.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
         return con.sql(sql).to_arrow_table()
 
 

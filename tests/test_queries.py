@@ -8,11 +8,11 @@ import __spark_entry__ as registered
 from checks.compare import difference, duckdb_rows
 from tests.conftest import SMALL
 
-NAMES = sorted(registered.queries())
+NAMES = sorted(registered.report_queries())
 
 
 def test_every_query_has_sql():
-    assert set(registered.oracle_sql()) == set(NAMES)
+    assert set(registered.oracle_sql()) >= set(NAMES)
 
 
 @pytest.mark.parametrize("name", NAMES)
