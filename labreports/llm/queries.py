@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labreports.llm.common import table
+from labreports.llm.decontaminate import benchmark_leaks
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.quality import fit_quality, fold, score_quality
 from labreports.llm.simhash import near_duplicates
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return benchmark_leaks(docs, items)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op10_quality": op10_quality,
@@ -82,6 +89,35 @@ left join (
 group by d.doc_id
 """
 
+_SHINGLES = r"""
+with source as (
+  select 'd' as kind, doc_id as id, text from documents where text is not null
+  union all select 'i', item_id, text from benchmark where text is not null
+),
+listed as (
+  select kind, id, regexp_extract_all(
+    regexp_replace(lower(text), '[\x{80}-\x{bf}\x{2000}-\x{206f}\x{3000}-\x{303f}]', ' ', 'g'),
+    '[0-9a-z\x{80}-\x{10ffff}]+') as w
+  from source
+),
+shingle as (
+  select distinct kind, id, unnest(
+    case when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_transform(generate_series(1, len(w) - 4),
+                             lambda k: array_to_string(list_slice(w, k, k + 4), ' ')) end) as s
+  from listed where len(w) > 0
+),
+item as (select id as item_id, s, count(*) over (partition by id) as n_shingles
+         from shingle where kind = 'i')
+select d.id as doc_id, item_id, count(*) as n_shared, cast(n_shingles as integer) as n_shingles,
+       count(*) / n_shingles as containment
+from shingle d join item using (s)
+where d.kind = 'd'
+group by d.id, item_id, n_shingles
+having count(*) / n_shingles >= 0.8
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _SHINGLES,
     "op5_line_dedup": _LINE_DEDUP,
 }
