@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Compute ``frame`` once and keep its rows in the shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that setting is
-    absent, as in tests on one machine, a temporary folder is taken.
-    """
-    spark = frame.sparkSession
+def _set_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the shared folder that the cluster names in ``spark.checkpoint.dir``. Only where that
+    setting is absent, as in tests on one machine, take a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Compute ``frame`` once and keep its rows in the shared checkpoint folder."""
+    _set_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint()
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write ``frame`` as Parquet to a new folder below the shared checkpoint folder; reread it."""
+    spark = frame.sparkSession
+    _set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

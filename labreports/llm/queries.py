@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from labreports.llm.common import table
 from labreports.llm.decontaminate import benchmark_leaks
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.quality import fit_quality, fold, score_quality
+from labreports.llm.sentencepieces import encode_pieces
 from labreports.llm.simhash import near_duplicates
 
 
@@ -19,6 +21,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(docs, items)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op10_quality": op10_quality,
