@@ -24,13 +24,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared checkpoint folder that nothing has been written to."""
+    _set_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Write ``frame`` as Parquet to a new folder below the shared checkpoint folder; reread it."""
-    spark = frame.sparkSession
-    _set_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    return frame.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

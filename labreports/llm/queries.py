@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labreports.llm.common import table
+from labreports.llm.blob_ledger import BASE, RULES, findings, scan_unseen
+from labreports.llm.common import new_folder, table, written
 from labreports.llm.decontaminate import benchmark_leaks
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.quality import fit_quality, fold, score_quality
 from labreports.llm.sentencepieces import encode_pieces
 from labreports.llm.simhash import near_duplicates
+from labreports.llm.warc import assemble, captured, read_records, write_archives
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,42 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = written(scan_unseen(docs, "doc_id"), "ledger")
+
+    def joined(found: Column) -> Column:
+        return F.array_join(
+            F.transform(found, lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ","
+        )
+
+    def count(rule: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["rule"] == rule)).cast("long").alias(f"n_{rule}")
+
+    base = F.filter("found", lambda x: x["rule"].isin(*BASE))
+    return findings(docs, "doc_id", ledger).select(
+        "doc_id",
+        *map(count, BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    captures = assemble(read_records(spark, path, with_blocks=False))
+    return captures.select(
+        captured("page_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        captured("refers_to_page").alias("refers_to"),
+        F.col("request").isNotNull().alias("has_request"),
+        F.col("metadata").isNotNull().alias("has_metadata"),
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -47,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
 
@@ -125,7 +165,72 @@ group by d.id, item_id, n_shingles
 having count(*) / n_shingles >= 0.8
 """
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+_WARC = f"""
+with page as (
+  select page_id, encode(coalesce(html, '')) as payload, sha1(encode(coalesce(html, ''))) as hex
+  from pages
+),
+part as (
+  select page_id, unnest([1, 2, 3, 4]) as nr,
+         unnest([cast('0x' || substr(hex, 1 + 10 * k, 10) as bigint) for k in [0, 1, 2, 3]]) as v
+  from page
+),
+digest as (
+  select page_id, string_agg(
+    array_to_string([substr('{_BASE32}', cast((v >> (35 - 5 * i)) & 31 as integer) + 1, 1)
+                     for i in [0, 1, 2, 3, 4, 5, 6, 7]], ''), '' order by nr) as payload_digest
+  from part group by page_id
+)
+select page_id, octet_length(payload) as payload_bytes, payload_digest,
+       case when page_id = max(page_id) over (partition by payload) then 'response'
+            else 'revisit' end as record_type,
+       nullif(max(page_id) over (partition by payload), page_id) as refers_to,
+       true as has_request, true as has_metadata
+from page join digest using (page_id)
+"""
+
+
+def _secrets_sql() -> str:
+    """The same rules in DuckDB, whose patterns have no possessive quantifiers or looking back."""
+    scans = []
+    for order, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("}+", "}").replace("++", "+").replace("(?<![0-9a-f])", "")
+        pattern = pattern.replace("'", "''")
+        scans.append(f"""
+  select doc_id, {order} as ord, '{rule.name}' as rule, {rule.least} as least,
+         unnest(string_split_regex(text, '{pattern}')[:-2]) as gap,
+         unnest(regexp_extract_all(text, '{pattern}')) as whole,
+         unnest(regexp_extract_all(text, '{pattern}', {rule.secret})) as secret,
+         unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')))) as nr
+  from documents where regexp_matches(text, '{pattern}')""")
+    listed = "(" + ", ".join(f"'{name}'" for name in BASE) + ")"
+    counts = ", ".join(f"count(*) filter (rule = '{name}') as n_{name}" for name in BASE)
+    span = "rule || ':' || start || ':' || stop"
+    return f"""
+with hit as ({" union all ".join(scans)}),
+placed as (
+  select *, sum(length(gap) + length(whole)) over (partition by doc_id, ord order by nr) as stop
+  from hit
+),
+span as (
+  select doc_id, ord, rule, cast(stop - length(whole) as bigint) as start,
+         cast(stop as bigint) as stop
+  from placed where length(secret) >= least
+)
+select d.doc_id, {counts},
+       sha256(coalesce(string_agg({span}, ',' order by start, ord)
+                       filter (rule in {listed}), '')) as base_sha256,
+       coalesce(string_agg({span}, ',' order by start, ord), '') as spans
+from documents d left join span s on s.doc_id = d.doc_id
+group by d.doc_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_secrets": _secrets_sql(),
+    "op9_warc": _WARC,
     "op1_decontamination": _SHINGLES,
     "op5_line_dedup": _LINE_DEDUP,
 }

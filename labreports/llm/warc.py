@@ -52,7 +52,8 @@ def capture_records(page_id: object, url: str | None, payload: str, refers_to: o
     target, size = _line(url), len(payload.encode("utf-8"))
     digest = f"sha1:{payload_digest(payload.encode('utf-8'))}"
     kind = "response" if refers_to is None else "revisit"
-    main = record_id("capture", page_id)
+    known = page_id if page_id is not None else f"{target} {digest}"
+    main = record_id("capture", known)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{_END}"
     headers = [
         ("WARC-Type", kind),
@@ -77,7 +78,7 @@ def capture_records(page_id: object, url: str | None, payload: str, refers_to: o
     def beside(kind: str, content: str, block: str) -> str:
         own = [
             ("WARC-Type", kind),
-            ("WARC-Record-ID", record_id(kind, page_id)),
+            ("WARC-Record-ID", record_id(kind, known)),
             ("WARC-Date", _DATE),
             ("WARC-Target-URI", target),
             ("WARC-Concurrent-To", main),
