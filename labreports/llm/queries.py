@@ -13,6 +13,7 @@ from labreports.llm.common import new_folder, table, written
 from labreports.llm.decontaminate import benchmark_leaks
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.quality import fit_quality, fold, score_quality
+from labreports.llm.rp_forest import nearest
 from labreports.llm.sentencepieces import encode_pieces
 from labreports.llm.simhash import near_duplicates
 from labreports.llm.warc import assemble, captured, read_records, write_archives
@@ -37,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = written(scan_unseen(docs, "doc_id"), "ledger")
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
+    "op4_neighbours": op4_neighbours,
     "op5_line_dedup": op5_line_dedup,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
