@@ -12,6 +12,7 @@ from labreports.llm.blob_ledger import BASE, RULES, findings, scan_unseen
 from labreports.llm.common import new_folder, table, written
 from labreports.llm.decontaminate import benchmark_leaks
 from labreports.llm.line_windows import dedup_lines
+from labreports.llm.pii import KINDS, joined, personal_data
 from labreports.llm.quality import fit_quality, fold, score_quality
 from labreports.llm.rp_forest import nearest
 from labreports.llm.sentencepieces import encode_pieces
@@ -42,11 +43,26 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = written(scan_unseen(docs, "doc_id"), "ledger")
 
-    def joined(found: Column) -> Column:
+    def listed(found: Column) -> Column:
         return F.array_join(
             F.transform(found, lambda x: F.concat_ws(":", x["rule"], x["start"], x["end"])), ","
         )
@@ -58,8 +74,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(docs, "doc_id", ledger).select(
         "doc_id",
         *map(count, BASE),
-        F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("found")).alias("spans"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("found")).alias("spans"),
     )
 
 
@@ -91,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_neighbours": op4_neighbours,
     "op5_line_dedup": op5_line_dedup,
+    "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
