@@ -46,7 +46,7 @@ class _Page:
 
     def block(self, tag: str, text: str, content: bool, link: bool = False) -> None:
         text = f'<a href="/{len(self.labels)}">{text}</a>' if link else text
-        self.html.append(f"<{tag}>{text}</{tag}>" if tag else text)
+        self.html.append(f"<{tag}>{text}</{tag}>" if tag else f"{text}<hr>")
         self.labels.append(content)
 
     def named(self, names: str | list[str]) -> str:
@@ -93,8 +93,6 @@ class _Page:
                 self.block(self.pick(["h2", "h3", "h1" if kind == "header" else "h4"]), self.words(1, 6), False)
             for _ in range(self.random.integers(1, 4)):
                 self.block(self.pick(["p", "p", "div", "", "li"]), self.words(1, 40), False, self.chance(0.2))
-                if self.html[-1][:1] != "<":
-                    self.html.append("<br><div></div>")
         self.html.append(f"</{tag}>")
 
     def article(self) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labreports.llm.blob_ledger import BASE, RULES, findings, scan_unseen
 from labreports.llm.common import new_folder, table, written
 from labreports.llm.decontaminate import benchmark_leaks
+from labreports.llm.html_crf import main_text
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.pii import KINDS, joined, personal_data
 from labreports.llm.quality import fit_quality, fold, score_quality
@@ -43,6 +44,11 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_neighbours": op4_neighbours,
     "op5_line_dedup": op5_line_dedup,
+    "op6_main_text": op6_main_text,
     "op7_pii": op7_pii,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
