@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _set_checkpoint_dir(spark: SparkSession) -> None:
@@ -53,3 +57,35 @@ def own_exchange(*columns: Column | str) -> Column:
     key of it; a shuffle left over from a grouping can't be split.
     """
     return F.struct(*columns)
+
+
+def add_columns(
+    frame: DataFrame,
+    source: str,
+    results: str,
+    prepare: Callable[[], Callable[[list[str]], Sequence[list]]],
+    drop_source: bool = False,
+) -> DataFrame:
+    """Add columns computed from the text in ``source`` (null counts as empty), row by row.
+
+    ``results`` is their schema, ``prepare`` makes the function from texts to one list per result
+    in each task. All other columns pass through as they are; those with the names of results are
+    replaced. Results leave in small batches, so that few of them are held at a time.
+    """
+    fields = StructType.fromDDL(results).fields
+    replaced = {field.name.lower() for field in fields} | ({source.lower()} if drop_source else set())
+    kept = [c for c in frame.columns if c.lower() not in replaced]
+    schema = StructType([*frame.select(*kept).schema.fields, *fields])
+    types = to_arrow_schema(StructType(fields)).types
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = prepare()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [text or "" for text in part.column(len(kept)).to_pylist()]
+                made = [pa.array(values, kind) for values, kind in zip(compute(texts), types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names)
+
+    return frame.select(*kept, F.col(source).alias("")).mapInArrow(run, schema)

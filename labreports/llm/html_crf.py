@@ -7,14 +7,12 @@ and the best labels of a whole page are decoded by the Viterbi algorithm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from labreports.llm.common import add_columns
 from labreports.llm.html_blocks import Block, leaf_blocks
 from labreports.llm.html_examples import labelled_page
 
@@ -131,26 +129,26 @@ def main_text(pages: DataFrame, model: BlockModel | None = None) -> DataFrame:
     with the names of the results are replaced.
     """
     model = model or default_model()
-    kept = [c for c in pages.columns if c.lower() not in ("html", "text", "n_chars")]
-    schema = pages.select(*kept, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prepare():
         weights, known = model.weights, {}
-        for batch in batches:
+
+        def score(block: Block) -> float:
+            features = block_features(block)
+            found = known.get(features)
+            if found is None:
+                if len(known) > 100_000:
+                    known.clear()
+                found = known[features] = sum(weights.get(name, 0.0) for name in features)
+            return found
+
+        def extract(pages: list[str]) -> list[list]:
             texts = []
-            for page in batch["html"]:
-                blocks = leaf_blocks(page or "")
-                scores = []
-                for block in blocks:
-                    features = block_features(block)
-                    score = known.get(features)
-                    if score is None:
-                        if len(known) > 100_000:
-                            known.clear()
-                        score = known[features] = sum(weights.get(name, 0.0) for name in features)
-                    scores.append(score)
-                labels = model.decode(scores)
+            for blocks in map(leaf_blocks, pages):
+                labels = model.decode(list(map(score, blocks)))
                 texts.append("\n".join(b.text for b, label in zip(blocks, labels) if label))
-            yield batch[kept].assign(text=texts, n_chars=list(map(len, texts)))
+            return [texts, list(map(len, texts))]
+
+        return extract
 
-    return pages.select(*kept, "html").mapInPandas(run, schema)
+    return add_columns(pages, "html", "text string, n_chars long", prepare, drop_source=True)

@@ -86,26 +86,23 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
         .join(first, "window")
         .where(F.struct("doc_id", "position") > F.col("first"))
     )
-    removed = later.groupBy(F.col("doc_id").alias("_doc_id")).agg(
-        F.array_sort(F.collect_set("position")).alias("_starts")
+    removed = later.groupBy("doc_id").agg(F.array_sort(F.collect_set("position")).alias("starts"))
+    # The row travels as one struct, so that no name of its columns can clash.
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    text, starts = F.col("row.text"), F.col("starts")
+    joined = rows.join(removed.hint("shuffle_hash"), "doc_id", "left").select("row", "starts")
+    marked = joined.withColumn("flags", _covered(starts, width)).withColumn(
+        "lines", F.when(starts.isNotNull(), F.arrays_zip(_lines(text).alias("line"), F.col("flags").alias("gone")))
     )
-    flags = _covered(F.col("_starts"), width)
     # One slot per line: lines after the last covered one have no flag and stay.
-    marked = F.arrays_zip(F.col("_lines").alias("line"), F.col("_flags").alias("gone"))
-    stays = F.filter(marked, lambda x: ~F.coalesce(x["gone"], F.lit(False)))
-    kept = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(
+    stays = F.filter("lines", lambda x: ~F.coalesce(x["gone"], F.lit(False)))
+    kept = F.when(starts.isNull(), text).otherwise(
         F.array_join(F.transform(stays, lambda x: x["line"]), "\n")
     )
-    size = F.size(_lines(text_of("text")))
-    others = [F.col(c) for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
-    joined = docs.join(removed.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc_id"), "left")
-    return (
-        joined.withColumn("_lines", F.when(F.col("_starts").isNotNull(), _lines(F.col("text"))))
-        .withColumn("_flags", flags)
-        .select(
-            *others,
-            kept.alias("text"),
-            size.alias("n_lines"),
-            F.coalesce(F.size(F.filter("_flags", lambda gone: gone)), F.lit(0)).alias("n_removed"),
-        )
+    names = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    return marked.select(
+        *[F.col("row")[name].alias(name) for name in names],
+        kept.alias("text"),
+        F.size(_lines(F.coalesce(text, F.lit("")))).alias("n_lines"),
+        F.coalesce(F.size(F.filter("flags", lambda gone: gone)), F.lit(0)).alias("n_removed"),
     )

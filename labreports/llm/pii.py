@@ -13,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labreports.llm.boosting import Boosted, fit_boosted
-from labreports.llm.common import text_of
+from labreports.llm.common import add_columns
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -269,44 +269,42 @@ def personal_data(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     repeated rows get equal spans and an empty table gives no rows. A column ``spans`` is replaced.
     """
     model = model or fit_pii()
-    kept = [c for c in docs.columns if c.lower() not in ("spans", "text")]
-    schema = docs.select(*kept, "text", F.lit(None).cast(_SPANS).alias("spans")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch["text"]:
-                base = base_spans(text or "")
-                spans = [(*span, True) for span in base]
-                spans += [(*span, False) for span in added_spans(text or "", base, model)]
-                found.append(
-                    [
-                        {"kind": KINDS[kind], "start": start, "end": end, "base": is_base}
-                        for kind, start, end, is_base in sorted(spans)
-                    ]
-                )
-            yield batch.assign(spans=found)
-
-    return docs.select(*kept, "text").mapInPandas(run, schema)
+    def find(texts: list[str]) -> list[list]:
+        found = []
+        for text in texts:
+            base = base_spans(text)
+            spans = [(*span, True) for span in base]
+            spans += [(*span, False) for span in added_spans(text, base, model)]
+            found.append(
+                [
+                    {"kind": KINDS[kind], "start": start, "end": end, "base": is_base}
+                    for kind, start, end, is_base in sorted(spans)
+                ]
+            )
+        return [found]
+
+    return add_columns(docs, "text", f"spans {_SPANS}", lambda: find)
 
 
 def redacted(found: DataFrame) -> DataFrame:
     """The rows of ``personal_data`` with each span of the text replaced by its kind in brackets;
     spans that overlap are replaced together, under the kind of the first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch["text"], batch["spans"]):
+            place = batch.schema.get_field_index("text")
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column("spans").to_pylist()):
                 out, at = [], 0
                 for span in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if span["start"] >= at:
                         out += [text[at : span["start"]], f"[{span['kind'].upper()}]"]
                     at = max(at, span["end"])
                 texts.append(None if text is None else "".join([*out, text[at:]]))
-            yield batch.assign(text=texts)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.string()))
 
-    return found.mapInPandas(run, found.schema)
+    return found.mapInArrow(run, found.schema)
 
 
 def joined(spans: Column) -> Column:

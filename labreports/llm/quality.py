@@ -10,9 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
-from labreports.llm.common import checkpointed, text_of
+from labreports.llm.common import add_columns, checkpointed
 
 STATISTICS = (
     "log_chars log_words word_length line_length log_lines upper digit punctuation symbol space "
@@ -110,16 +109,8 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def _with_statistics(docs: DataFrame, extra: list[str]) -> DataFrame:
-    schema = docs.select(*extra).schema.add("x", ArrayType(DoubleType()))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[extra].copy()
-            out["x"] = [statistics(text) for text in batch["text"]]
-            yield out
-
-    return docs.select(*extra, text_of("text").alias("text")).mapInPandas(measure, schema)
+def _measured(texts: list[str]) -> list[list]:
+    return [list(map(statistics, texts))]
 
 
 def _summed(blobs: DataFrame, size: int) -> np.ndarray:
@@ -182,8 +173,9 @@ def fit_quality(
     if count > max_labelled:
         share = int(0.98 * max_labelled / count * 2**31)
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     measured = checkpointed(
-        _with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["doc_id", "y"])
+        add_columns(labelled, "text", "x array<double>", lambda: _measured, drop_source=True)
     ).select("x", "y", fold().alias("fold"))
     width = len(STATISTICS)
     fitting, calibrating = measured.where("fold <> 4"), measured.where("fold = 4")
@@ -236,15 +228,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
     Only the text decides; null counts as empty, and columns of these names are replaced. Repeated
     rows get equal scores, an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    schema = docs.select(*kept).schema.add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.array([statistics(text) for text in batch["text"].fillna("")])
-                yield batch.assign(score=model.score(x))
+    def scored(texts: list[str]) -> list[list]:
+        return [model.score(np.array(list(map(statistics, texts)))).tolist()]
 
-    return docs.select(*kept).mapInPandas(run, schema).withColumn(
-        "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)
-    )
+    rated = add_columns(docs, "text", "score double", lambda: scored)
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    return rated.withColumn("predicted", predicted)

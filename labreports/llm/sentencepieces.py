@@ -11,20 +11,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
 from sentencepiece import SentencePieceProcessor
 
-from labreports.llm.common import text_of
+from labreports.llm.common import add_columns
 
 BLANK = "▁"
 _KEPT_WORDS = 400_000
 _SHORT = 32
-_ROWS = 512
 _NEVER = float("-inf")
 
 
@@ -159,6 +155,13 @@ class MergeVocabulary:
             data = data[1:]
         return data.decode("utf-8", "replace")
 
+    def check(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+        """Compare with the library, both ways."""
+        for text, own, back in zip(texts, ids, decoded):
+            expected = self.library.encode(text, add_eos=True, num_threads=1)
+            if own != expected or back != self.library.decode(expected):
+                raise ValueError(f"differs from the sentencepiece library: {text[:200]!r}")
+
     def digest(self, ids: list[int]) -> str:
         digits = self.digits
         return hashlib.sha256(" ".join([digits[k] for k in ids]).encode()).hexdigest()
@@ -181,40 +184,21 @@ def encode_pieces(
     a megabyte) is read on the driver and travels with the task.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    results = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-    kept = [c for c in docs.columns if c.lower() not in ("text", *results)]
-    rows = docs.select(*kept, text_of("text").alias("text"))
-    schema = rows.select(*kept).schema.add("n_tokens", "long")
-    schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
-    if with_ids:
-        schema = schema.add("ids", ArrayType(IntegerType()))
-    if with_decoded:
-        schema = schema.add("decoded", "string")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    results = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    results += ", ids array<int>" * with_ids + ", decoded string" * with_decoded
+
+    def prepare():
         vocabulary = MergeVocabulary(model.value)
-        for batch in batches:
-            # Results leave in small frames, so that few lists of ids are held at a time.
-            for at in range(0, len(batch), _ROWS):
-                yield encoded(vocabulary, batch.iloc[at : at + _ROWS])
-
-    def encoded(vocabulary: MergeVocabulary, part: pd.DataFrame) -> pd.DataFrame:
-        all_ids = list(map(vocabulary.encode, part["text"]))
-        texts = list(map(vocabulary.decode, all_ids))
-        if check_every:
-            for text, ids, decoded in list(zip(part["text"], all_ids, texts))[::check_every]:
-                expected = vocabulary.library.encode(text, add_eos=True, num_threads=1)
-                if ids != expected or decoded != vocabulary.library.decode(expected):
-                    raise ValueError(f"differs from the sentencepiece library: {text[:200]!r}")
-        out = part[kept].assign(
-            n_tokens=list(map(len, all_ids)),
-            ids_sha256=list(map(vocabulary.digest, all_ids)),
-            decoded_sha256=[hashlib.sha256(t.encode("utf-8")).hexdigest() for t in texts],
-        )
-        if with_ids:
-            out["ids"] = all_ids
-        if with_decoded:
-            out["decoded"] = texts
-        return out
 
-    return rows.mapInPandas(run, schema)
+        def encoded(texts: list[str]) -> list[list]:
+            ids = list(map(vocabulary.encode, texts))
+            decoded = list(map(vocabulary.decode, ids))
+            if check_every:
+                vocabulary.check(texts[::check_every], ids[::check_every], decoded[::check_every])
+            digests = [hashlib.sha256(text.encode("utf-8")).hexdigest() for text in decoded]
+            made = [list(map(len, ids)), list(map(vocabulary.digest, ids)), digests]
+            return [*made, *[ids] * with_ids, *[decoded] * with_decoded]
+
+        return encoded
+
+    return add_columns(docs, "text", results, prepare, drop_source=True)

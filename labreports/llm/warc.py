@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,26 +123,18 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     line breaks of the format; an archive is bounded by its number of records."""
     captures = with_revisits(pages, least_bytes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, url, payload, other in batch.itertuples(index=False):
-                records = capture_records(_plain(page), url, payload, _plain(other))
-                out.append(_END.join(records))
-            yield pd.DataFrame({"value": out})
+            for at in range(0, batch.num_rows, 512):
+                rows = zip(*(column.to_pylist() for column in batch.slice(at, 512).columns))
+                value = pa.array([_END.join(capture_records(*row)) for row in rows], pa.string())
+                yield pa.RecordBatch.from_arrays([value], ["value"])
 
-    captures.mapInPandas(run, "value string").write.option("lineSep", _END).option(
+    captures.mapInArrow(run, "value string").write.option("lineSep", _END).option(
         "maxRecordsPerFile", 4096
     ).text(path)
 
 
-def _plain(value: object) -> object:
-    """A page id as it was: pandas turns integers beside nulls into floats."""
-    if value is None or value != value:
-        return None
-    return int(value) if isinstance(value, float) and value.is_integer() else value
-
-
 _HEADER = re.compile(r"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
