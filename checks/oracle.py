@@ -175,7 +175,23 @@ _DETAIL_TABLES = [
     "lov_report_grouping",
 ]
 _TIES = """lab_order_details_pk nulls last, result_sequence nulls last,
-    result_test_code nulls last, textual_result nulls last, textual_result_full nulls last"""
+    result_test_code nulls last, textual_result nulls last, textual_result_full nulls last,
+    accession_number nulls last, order_test_name nulls last, result_test_name nulls last,
+    unit_of_measure nulls last, reference_range nulls last, abnormal_flag nulls last,
+    result_comment nulls last, clinical_status nulls last, order_control_reason nulls last"""
+_MICRO_TIES = ", ".join(
+    f"{column} nulls last"
+    for column in [
+        "patient_type_sub_group",
+        "report_notes",
+        "specimen_method_desc",
+        "specimen_source_desc",
+        "seq_num",
+        "micro_isolate",
+        "micro_organism_name",
+        "micro_sensitivity_name",
+    ]
+)
 
 
 def _details(micro: str, categories: str, columns: str, joins: str) -> str:
@@ -212,11 +228,11 @@ _PATIENT_GROUP = """
 _NOT_COLLECTED_BY = "coalesce(result_test_code, 'X') <> 'COLLB'"
 
 
-def _positions(order: str, where: str = "true") -> str:
+def _positions(order: str, where: str = "true", last: str = "null") -> str:
     return f"""
     select * exclude (ordered_name, lab_order_details_pk, result_sequence, result_test_code,
                       textual_result, sort_keys),
-        row_number() over (partition by requisition_id order by {order}, {_TIES})
+        row_number() over (partition by requisition_id order by {order}, {_TIES}, {last})
             as sort_position,
         count(*) over (partition by requisition_id, order_test_name) as parent_test_count
     from (select *, null as sort_keys from rows where {where}) kept"""
@@ -257,7 +273,8 @@ _MICRO = _query(
     ),
     _positions(
         """accession_number nulls last, ordered_name nulls last, seq_num nulls last,
-        micro_sensitivity_flag nulls last"""
+        micro_sensitivity_flag nulls last""",
+        last=_MICRO_TIES,
     ),
 )
 
@@ -457,7 +474,7 @@ _FIRST = """
         from dir_user u where object_class = 'user' group by 1)"""
 _MEMBERS = """
     members as (
-        select distinct group_cn as app, split_part(value, ',', 1) as member
+        select distinct lower(group_cn) as app, split_part(value, ',', 1) as member
         from dir_attribute_value where attribute_id in ('name', 'member'))"""
 
 _ENTRY = ", ".join(f"entry.{c.strip()} as {c.strip()}" for c in _ACCOUNT.split(","))
@@ -514,7 +531,7 @@ _APP_MEMBERSHIP = _query(
     ["dir_attribute_value"],
     _MEMBERS,
     """select distinct q.cn, q.app, case when member is null then 0 else 1 end as is_member
-    from member_requests q left join members m on m.app = q.app and member = 'CN=' || q.cn""",
+    from member_requests q left join members m on m.app = lower(q.app) and member = 'CN=' || q.cn""",
     ["member_requests"],
 )
 _ACCESS_REPORT = _query(
@@ -530,7 +547,7 @@ _ACCESS_REPORT = _query(
                   || upper(q.app) end as message
     from access_requests q
     left join firsts on account_key = lower(user_id)
-    left join members m on m.app = q.app and member = 'CN=' || entry.cn""",
+    left join members m on m.app = lower(q.app) and member = 'CN=' || entry.cn""",
     ["access_requests"],
 )
 

@@ -38,10 +38,13 @@ REQUEST_SQL = {
                       cast(1000 + n_nationkey as string)) as sid
         from {nation}""",
     "member_requests": """
-        select c_name as cn, concat('APP', cast((c_custkey + rep) % 4 as string)) as app
+        select c_name as cn,
+            concat(case when rep = 0 then 'APP' else 'app' end,
+                   cast((c_custkey + rep) % 4 as string)) as app
         from {customer} join (select 0 as rep union all select 1 as rep) reps on rep < 2""",
     "access_requests": """
-        select case when c_custkey % 50 = 0 then concat('Nobody', cast(c_custkey as string))
+        select case when c_custkey % 75 = 0 then null
+                    when c_custkey % 50 = 0 then concat('Nobody', cast(c_custkey as string))
                     else concat('USER', cast(c_custkey % 1000 as string)) end as user_id,
             concat('APP', cast(c_custkey % 4 as string)) as app
         from {customer}""",

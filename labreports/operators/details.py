@@ -19,7 +19,8 @@ from labreports.plans.skew import (
 )
 from labreports.sources.warehouse import Tables
 
-#: Rows with equal sort keys follow in this order.
+#: Rows with equal sort keys follow in this order, then by their remaining columns, so that only
+#: rows that agree in every column tie.
 _TIES = ascending(
     "lab_order_details_pk",
     "result_sequence",
@@ -31,6 +32,17 @@ _TIES = ascending(
 _MESSAGE_OF = ["requisition_id", "accession_number", "order_test_code"]
 
 
+# What tells results apart, for sampling.
+_RESULT_IDENTITY = [
+    "lab_order_details_fk",
+    "result_test_fk",
+    "result_test_code",
+    "result_sequence",
+    "micro_isolate",
+    "micro_sensitivity_name",
+]
+
+
 class _Report:
     """The rows that all four reports share, before their own columns and order."""
 
@@ -107,7 +119,10 @@ class _Report:
     def finish(self, keys: list[SortKey], columns: list[str]) -> DataFrame:
         """Add the position and the number of sibling rows."""
         used = [key.column for key in keys]
-        keys = keys + [tie for tie in _TIES if tie.column not in used]
+        for tie in [*_TIES, *ascending(*columns)]:
+            if tie.column not in used:
+                keys = [*keys, tie]
+                used.append(tie.column)
         kept = dict.fromkeys([*_MESSAGE_OF, *columns, *[key.column for key in keys]])
         rows = self.rows.select(*kept).join(self._messages, _MESSAGE_OF, "left")
         rows = rows.withColumn("sh_msg", F.coalesce("sh_msg", F.lit("-")))
@@ -135,12 +150,11 @@ def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> La
     Results are counted by order, and only the large orders are looked up. An
     order that is not found still has to pass the join.
     """
-    by_detail = sampled(details.select("requisition_id", F.lit(None).cast("bigint").alias("order")))
-    by_result = sampled(
-        results.select(
-            F.lit(None).cast("string").alias("requisition_id"),
-            F.col("lab_order_fk").alias("order"),
-        )
+    by_detail = sampled(details, "lab_order_details_pk").select(
+        "requisition_id", F.lit(None).cast("bigint").alias("order")
+    )
+    by_result = sampled(results, *_RESULT_IDENTITY).select(
+        F.lit(None).cast("string").alias("requisition_id"), F.col("lab_order_fk").alias("order")
     )
     found = large_values(by_detail.unionByName(by_result), "requisition_id", "order")
     requisition_of = {}
@@ -267,16 +281,13 @@ def _grouped_details(
 def _with_group_order(
     t: Tables, rows: DataFrame, grouping: str, system: str, name: str
 ) -> DataFrame:
-    """Look up the sort order of a report group; two orders for one group are an error."""
+    """Look up the sort order of a report group; a row whose group has two orders is an error."""
     orders = (
         t["lov_report_grouping"]
         .groupBy(F.col("report_grouping").alias(grouping), F.col("source_lab_system").alias(system))
         .agg(F.count("*").alias("_entries"), F.max("sort_order").alias(name))
-        .withColumn(
-            name,
-            F.when(F.col("_entries") == 1, F.col(name)).otherwise(
-                F.raise_error(F.lit("lov_report_grouping lists a report group twice"))
-            ),
-        )
     )
-    return rows.join(orders.select(grouping, system, name), [grouping, system], "left")
+    twice = F.raise_error(F.lit("lov_report_grouping lists a report group twice"))
+    checked = F.when(F.col("_entries") > 1, twice).otherwise(F.col(name))
+    joined = rows.join(orders, [grouping, system], "left")
+    return joined.withColumn(name, checked).drop("_entries")

@@ -48,10 +48,10 @@ def _one_entry_per_name(users: DataFrame, columns: list[str], mode: str) -> Data
 
 
 def _lookup(users: DataFrame, names: DataFrame, columns: list[str], mode: str) -> DataFrame:
-    names = names.select("user_id", F.lower("user_id").alias("account_key"))
+    names = names.select("user_id", F.lower("user_id").alias("account_key")).distinct()
     users = narrow(users, F.lower("sam_account_name"), names.select("account_key"))
     entries = _one_entry_per_name(users, columns, mode)
-    return names.distinct().join(entries, "account_key", "left").select(
+    return names.join(entries, "account_key", "left").select(
         "user_id", *[F.col(f"entry.{c}").alias(c) for c in columns]
     )
 
@@ -105,11 +105,15 @@ def primary_groups(
 
 
 def app_membership(requests: DataFrame, attribute_values: DataFrame) -> DataFrame:
-    """Whether each requested ``cn`` is a member of the application ``app``: 1 or 0."""
+    """Whether each requested ``cn`` is a member of the application ``app``: 1 or 0.
+
+    The application is looked up without regard to case, as a distinguished name is; the member's
+    name must match exactly.
+    """
     members = (
         attribute_values.filter(F.col("attribute_id").isin(_MEMBER_ATTRIBUTES))
         .select(
-            F.col("group_cn").alias("app"),
+            F.lower("group_cn").alias("app_key"),
             F.split_part("value", F.lit(","), F.lit(1)).alias("member"),
             F.lit(1).alias("found"),
         )
@@ -117,8 +121,8 @@ def app_membership(requests: DataFrame, attribute_values: DataFrame) -> DataFram
     )
     wanted = requests.select("cn", "app").distinct()
     return (
-        wanted.withColumn("member", F.concat(F.lit("CN="), "cn"))
-        .join(members, ["app", "member"], "left")
+        wanted.withColumns({"member": F.concat(F.lit("CN="), "cn"), "app_key": F.lower("app")})
+        .join(members, ["app_key", "member"], "left")
         .select("cn", "app", F.coalesce("found", F.lit(0)).alias("is_member"))
     )
 
@@ -126,9 +130,9 @@ def app_membership(requests: DataFrame, attribute_values: DataFrame) -> DataFram
 def access_report(
     users: DataFrame, attribute_values: DataFrame, requests: DataFrame
 ) -> DataFrame:
-    """Answer to each request of a ``user_id`` for an ``app``."""
+    """Answer to each request of a ``user_id`` for an ``app``; a missing id is an invalid one."""
     accounts = _lookup(users, requests, ["cn"], "first")
-    asked = requests.select("user_id", "app").distinct().join(accounts, "user_id")
+    asked = requests.select("user_id", "app").distinct().join(accounts, "user_id", "left")
     membership = app_membership(asked.filter(F.col("cn").isNotNull()), attribute_values)
     found = F.concat(F.lit("Matching entry found for: "), "cn", F.lit(" in the SSO: "), "app")
     missing = F.concat(F.lit("Sorry no matching entry for: "), "cn", F.lit(" in the SSO-"), "app")

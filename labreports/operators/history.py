@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.plans.scope import Related, requisition_scope
+from labreports.plans.skew import own_shuffle
 from labreports.sources.warehouse import Tables
 
 _TEST = ["accession_number", "order_test_code"]
@@ -16,8 +17,9 @@ def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFra
     """One message per requisition, accession and test of ``details``.
 
     Orders and events each shrink to what a line shows before they meet, so
-    repeated events are never paired with repeated orders. The lines stay where
-    the join put them; collecting a message needs no further shuffle.
+    repeated events are never paired with repeated orders. The join has a shuffle
+    of its own on both sides, so that adaptive execution can split a hot pair, and
+    its lines are made distinct ahead of the next shuffle.
     """
     zones = t["dim_lab"].select(
         F.col("lab_pk").alias("lab_fk"), rules.label(F.col("lab_id"), rules.LAB_ZONE).alias("zone")
@@ -52,7 +54,8 @@ def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFra
     )
     message = F.array_join(F.array_sort(F.collect_list("line")), ",")
     return (
-        orders.join(events, _TEST)
+        own_shuffle(orders, _TEST)
+        .join(own_shuffle(events, _TEST).drop(*_TEST), "_on")
         .select("requisition_id", *_TEST, rules.history_line().alias("line"))
         .distinct()
         .groupBy("requisition_id", *_TEST)

@@ -71,7 +71,8 @@ def order_summary(
     drawn = of_patients.narrow(
         t["dim_lab_order"], "spectra_mrn_assc_fk", "spectra_mrn_assc_fk"
     ).filter(drawn_on.between(F.lit(from_date), F.lit(as_of)))
-    related = scope.related(drawn, ["lab_order_pk", "requisition_id"])
+    # The window alone limits details, tubes and results to the orders drawn in it.
+    related = scope.related(drawn, ["lab_order_pk", "requisition_id"], limited=True)
 
     facilities = t["dim_facility"].select(
         F.col("facility_pk").alias("facility_fk"), "corporate_acronym", "display_name"
@@ -102,7 +103,9 @@ def order_summary(
         )
     )
     large = LargeGroups.of(
-        sampled(drawn.select("spectra_mrn_assc_fk")).join(patients, "spectra_mrn_assc_fk"),
+        sampled(drawn, "lab_order_pk")
+        .select("spectra_mrn_assc_fk")
+        .join(patients, "spectra_mrn_assc_fk"),
         "spectra_mrn",
     )
     rows = number_rows(rows, "spectra_mrn", _ORDER, "sl_no", large)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey
-from labreports.plans.scope import Scope
+from labreports.plans.scope import Scope, few_rows, is_one_of
 from labreports.plans.skew import LargeGroups, group_total, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
@@ -22,8 +24,8 @@ _ACCOUNT_TYPES = [
 ]
 _ACCOUNT_STATUSES = ["ACTIVE", "IN PROGRESS", "TRANSFERRED"]
 _DOB_FORMAT = "MMddyyyy"
-#: Length of the name prefix that searches are joined on.
-_PREFIX = 3
+#: Letters of a name that searches are looked up by; the whole pattern is checked afterwards.
+_BLOCK = 3
 
 
 def name_pattern(name: Column) -> Column:
@@ -46,7 +48,8 @@ def patient_search(
     ``searches`` has ``search_id``, ``name``, ``facility_id`` and ``dob`` (text,
     month, day and year as eight digits); an empty one does not filter.
     """
-    matches = _matches(t["dim_patient"], searches)
+    asked = _Searches(searches)
+    matches = asked.matches(t["dim_patient"])
     last_labs = t["agg_patient_max_general_lab_mv"].join(
         t["dim_date"].withColumnRenamed("date_pk", "collection_date_fk"), "collection_date_fk"
     )
@@ -83,7 +86,7 @@ def patient_search(
             "mrn_number": F.col("spectra_mrn").cast("bigint"),
         }
     )
-    large = LargeGroups.of(_matches(sampled(t["dim_patient"]), searches), "search_id")
+    large = LargeGroups.of(asked.matches(sampled(t["dim_patient"], "patient_pk")), "search_id")
     rows, keys = _with_sort_keys(rows, sort_field, descending)
     rows = number_rows(rows, "search_id", keys, "sl_no", large)
     rows = group_total(rows, ["search_id"], F.count("spectra_mrn"), "total_entity_cnt", large)
@@ -109,13 +112,10 @@ def patient_search(
     )
 
 
-def _matches(patients: DataFrame, searches: DataFrame) -> DataFrame:
-    """Pairs of search and patient that agree on name, facility and birth date.
-
-    Each search looks patients up by the one key that narrows most: facility,
-    birth date, or the start of the name. Only a search with none of these (a
-    pattern that starts with a wildcard, or no filter) meets every patient.
-    """
+def _terms(searches: DataFrame) -> DataFrame:
+    """Each search with what it filters by, and the one key that it looks patients up by: the
+    facility, the birth date, the start of the name, or else three letters that the name holds.
+    Only a search with none of these has to meet every patient."""
     pattern = name_pattern(F.col("name"))
     dob_text = F.when(F.length("dob") > 0, F.col("dob"))
     terms = searches.select(
@@ -132,42 +132,81 @@ def _matches(patients: DataFrame, searches: DataFrame) -> DataFrame:
             | F.col("at_facility").isNotNull(),
         }
     )
-    long_start = F.length("start") >= _PREFIX
-    terms = terms.withColumns(
-        {
-            "by": F.when(F.col("at_facility").isNotNull(), "facility")
-            .when(F.col("dob_text").isNotNull(), "born")
-            .when(long_start, "start")
-            .otherwise("all"),
-            "value": F.when(F.col("at_facility").isNotNull(), F.col("at_facility").cast("string"))
-            .when(F.col("dob_text").isNotNull(), F.col("born").cast("string"))
-            .when(long_start, F.substring("start", 1, _PREFIX))
-            .otherwise(""),
-        }
-    )
-    upper_name = F.upper("full_name")
-    keys = F.array(
-        F.struct(F.lit("facility").alias("by"), F.col("facility_fk").cast("string").alias("value")),
-        F.struct(F.lit("born").alias("by"), F.col("dob").cast("string").alias("value")),
-        F.struct(F.lit("start").alias("by"), F.substring(upper_name, 1, _PREFIX).alias("value")),
-        F.struct(F.lit("all").alias("by"), F.lit("").alias("value")),
-    )
-    found = (
-        patients.withColumns({"upper_name": upper_name, "key": F.explode(keys)})
-        .withColumns({"by": F.col("key.by"), "value": F.col("key.value")})
-        .drop("key")
-        .join(terms, ["by", "value"])
-    )
-    like = F.when(F.col("plain"), F.startswith("upper_name", "start")).otherwise(
-        F.like("upper_name", F.replace("pattern", F.lit("\\"), F.lit("\\\\")))
+    runs = F.regexp_extract_all("pattern", F.lit(f"[^%_]{{{_BLOCK},}}"), F.lit(0))
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run), run.alias("run"))))
+    terms = terms.withColumn("piece", F.substring(longest["run"], 1, _BLOCK))
+    by = (
+        F.when(F.col("at_facility").isNotNull(), "facility")
+        .when(F.col("dob_text").isNotNull(), "born")
+        .when(F.length("start") >= _BLOCK, "start")
+        .when(F.col("piece").isNotNull(), "piece")
+        .otherwise("all")
     )
-    return found.filter(
-        (F.col("pattern").isNull() | like)
-        & (F.col("at_facility").isNull() | (F.col("facility_fk") == F.col("at_facility")))
-        & (F.col("dob_text").isNull() | (F.to_date("dob") == F.col("born")))
+    terms = terms.withColumn("by", by)
+    return terms.withColumn(
+        "value",
+        F.when(F.col("by") == "facility", F.col("at_facility").cast("string"))
+        .when(F.col("by") == "born", F.col("born").cast("string"))
+        .when(F.col("by") == "start", F.substring("start", 1, _BLOCK))
+        .when(F.col("by") == "piece", F.col("piece"))
+        .otherwise(""),
     )
 
 
+class _Searches:
+    """The searches of a call, and which kinds of key they use if they are few."""
+
+    kinds = ("facility", "born", "start", "piece", "all")
+
+    def __init__(self, searches: DataFrame):
+        self.terms = _terms(searches)
+        few = few_rows(self.terms.select("by", "at_facility", "born"))
+        self._few = few
+        if few is not None:
+            self.kinds = tuple(kind for kind in self.kinds if any(row.by == kind for row in few))
+
+    def _narrowed(self, patients: DataFrame, kind: str) -> DataFrame:
+        """Few facilities or birth dates reach the scan."""
+        if self._few is None or kind not in ("facility", "born"):
+            return patients
+        if kind == "facility":
+            return patients.filter(
+                is_one_of(F.col("facility_fk"), [row.at_facility for row in self._few])
+            )
+        return patients.filter(is_one_of(F.col("dob"), [row.born for row in self._few]))
+
+    def matches(self, patients: DataFrame) -> DataFrame:
+        """Pairs of search and patient that agree on name, facility and birth date."""
+        named = patients.withColumn("upper_name", F.upper("full_name"))
+        letters = F.sequence(F.lit(1), F.length("upper_name") - (_BLOCK - 1))
+        pieces = F.array_distinct(
+            F.transform(letters, lambda at: F.substr("upper_name", at, F.lit(_BLOCK)))
+        )
+        value = {
+            "facility": F.col("facility_fk").cast("string"),
+            "born": F.col("dob").cast("string"),
+            "start": F.substring("upper_name", 1, _BLOCK),
+            "piece": F.explode(F.when(F.length("upper_name") >= _BLOCK, pieces)),
+            "all": F.lit(""),
+        }
+        like = F.when(F.col("plain"), F.startswith("upper_name", "start")).otherwise(
+            F.like("upper_name", F.replace("pattern", F.lit("\\"), F.lit("\\\\")))
+        )
+        agree = (
+            (F.col("pattern").isNull() | like)
+            & (F.col("at_facility").isNull() | (F.col("facility_fk") == F.col("at_facility")))
+            & (F.col("dob_text").isNull() | (F.to_date("dob") == F.col("born")))
+        )
+        found = [
+            self._narrowed(named, kind)
+            .withColumn("value", value[kind])
+            .join(self.terms.filter(F.col("by") == kind), "value")
+            .filter(agree)
+            for kind in self.kinds or ("all",)
+        ]
+        return reduce(DataFrame.unionByName, found)
+
+
 def _with_sort_keys(
     rows: DataFrame, sort_field: str | None, descending: bool
 ) -> tuple[DataFrame, list[SortKey]]:

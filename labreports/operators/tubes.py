@@ -54,7 +54,7 @@ def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
         .groupBy(*_ACCESSION)
         .agg(F.max("order_test_name").alias("condition"))
     )
-    large = LargeGroups.of(sampled(details.select("requisition_id")), "requisition_id")
+    large = LargeGroups.of(sampled(details, "lab_order_details_pk"), "requisition_id")
     rows = left_join_many(accessions, containers, _ACCESSION, large)
     rows = rows.join(conditions, _ACCESSION, "left")
     order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")

@@ -2,7 +2,8 @@
 
 A report for one requisition must not shuffle the warehouse. When the caller
 names few keys they become an IN list, which reaches the parquet scan and skips
-row groups there. More keys than that stay a DataFrame and are joined.
+row groups there. More keys than that stay a DataFrame, and every large table is
+narrowed by a semi join with them.
 """
 
 from __future__ import annotations
@@ -25,9 +26,12 @@ def is_one_of(column: Column, values) -> Column:
 
 
 def narrow(rows: DataFrame, column: Column, keys: DataFrame) -> DataFrame:
-    """Drop rows that cannot join any of ``keys``, if the keys are few; else change nothing."""
+    """Drop rows that cannot join any of ``keys``: by an IN list if the keys are few, else by a join."""
     few = few_rows(keys)
-    return rows if few is None else rows.filter(is_one_of(column, [row[0] for row in few]))
+    if few is not None:
+        return rows.filter(is_one_of(column, [row[0] for row in few]))
+    wanted = keys.select(F.col(keys.columns[0]).alias("_wanted")).distinct()
+    return rows.join(wanted, column == F.col("_wanted"), "left_semi")
 
 
 class Scope:
@@ -49,25 +53,33 @@ class Scope:
             return rows.filter(is_one_of(F.col(column), self._few))
         return rows.join(self._keys.withColumnRenamed("_key", column), column, "left_semi")
 
-    def related(self, kept: DataFrame, columns: list[str]) -> Related:
-        """Key values of the rows kept, looked up only if the scope's own keys are few."""
-        return Related(few_rows(kept.select(*columns)) if self._few is not None else None)
+    def related(self, kept: DataFrame, columns: list[str], limited: bool = False) -> Related:
+        """Key values of the rows kept. ``limited`` says that ``kept`` is a part of its table even
+        where the scope names no keys."""
+        if self._keys is None and not limited:
+            return Related(None, None)
+        keys = kept.select(*columns)
+        return Related(keys, few_rows(keys) if self._few is not None else None)
 
 
 class Related:
-    """Narrows the tables that are joined to a report's scope.
+    """Narrows the tables that are joined to a report's scope, at any number of keys.
 
-    Only rows that the join itself would drop are removed, so nothing need be
-    done: without a scope, or when the related keys are many.
+    Only rows that the join itself would drop are removed: by an IN list that reaches the scan while
+    the keys are few, and by a semi join otherwise. Without a scope nothing is done.
     """
 
-    def __init__(self, rows: list | None):
-        self._rows = rows
+    def __init__(self, keys: DataFrame | None, few: list | None):
+        self._keys = keys
+        self._few = few
 
     def narrow(self, rows: DataFrame, column: str, key: str) -> DataFrame:
-        if self._rows is None:
+        if self._keys is None:
             return rows
-        return rows.filter(is_one_of(F.col(column), [row[key] for row in self._rows]))
+        if self._few is not None:
+            return rows.filter(is_one_of(F.col(column), [row[key] for row in self._few]))
+        wanted = self._keys.select(F.col(key).alias(column)).distinct()
+        return rows.join(wanted, column, "left_semi")
 
 
 def requisition_scope(requisitions: DataFrame | None) -> Scope:

@@ -6,13 +6,17 @@ small, so that is what runs by default. A sample of the keys, taken first,
 shows whether any group is too large for one task; if so:
 
 * a count is aggregated (which combines before the shuffle) and joined back,
-* numbering cuts each large group into slices along its sort order, numbers
-  within the slices, and adds the size of the earlier slices; copies of one
-  row are counted, numbered together and written out again,
+* numbering takes the large groups apart from the others, cuts each into slices
+  along its sort order, numbers within the slices, and adds the size of the
+  earlier slices; copies of one row are counted, numbered together and written
+  out again. All other groups keep the plain plan,
 * the outer join becomes an inner join, which adaptive execution can split on
   either side, plus the rows that have no match.
 
-Both ways give the same rows.
+Both ways give the same rows, as long as rows that tie in the sort order agree in
+all columns. The sample is drawn by a hash of the rows' own values, so it does not
+depend on how a table is laid out in files, and what it found for a table is
+remembered for later calls in the session.
 """
 
 from __future__ import annotations
@@ -33,28 +37,39 @@ SEEN = 3
 SLICES = 256
 #: Copies of one row that one task writes out.
 COPIES_PER_PIECE = 1_000_000
-#: Cuts are sent to every task while there are at most this many of them.
-BROADCAST_CUTS = 200_000
+#: Large groups that are split at most, the largest first.
+MOST = 4096
 
 
 def _sample_every(spark: SparkSession) -> int:
     return int(spark.conf.get(SAMPLE_EVERY_CONF, str(SAMPLE_EVERY)))
 
 
-def sampled(rows: DataFrame) -> DataFrame:
+def sampled(rows: DataFrame, *identity: str) -> DataFrame:
+    """One row in ``sampleEvery``, by a hash of the columns that tell rows apart (default: all)."""
     every = _sample_every(rows.sparkSession)
-    return rows if every == 1 else rows.sample(1.0 / every, seed=every)
+    place = F.pmod(F.xxhash64(*(identity or rows.columns)), F.lit(every))
+    return rows if every == 1 else rows.filter(place == 0)
+
+
+#: What samples have found, by the meaning of their plan.
+_found: dict[tuple, list[tuple]] = {}
 
 
 def large_values(sample: DataFrame, *keys: str) -> list[tuple]:
     """Key values seen often in a sample, each followed by its estimated row count.
 
-    At most one in ``SEEN * sampleEvery`` rows can be listed, so the list stays
-    small however large the tables are.
+    The ``MOST`` largest are listed; whatever else there is has fewer rows than
+    each of those and keeps the plain plan.
     """
-    every = _sample_every(sample.sparkSession)
-    found = sample.groupBy(*keys).count().filter(F.col("count") >= SEEN).collect()
-    return [(*row[:-1], row["count"] * every) for row in found]
+    spark = sample.sparkSession
+    every = _sample_every(spark)
+    known = (spark.sparkContext.applicationId, every, sample.semanticHash(), keys)
+    if known not in _found:
+        counts = sample.groupBy(*keys).count().filter(F.col("count") >= SEEN)
+        rows = counts.orderBy(F.desc("count"), *keys).limit(MOST).collect()
+        _found[known] = [(*row[:-1], row["count"] * every) for row in rows]
+    return _found[known]
 
 
 class LargeGroups:
@@ -83,6 +98,23 @@ class LargeGroups:
     def frame(self) -> DataFrame:
         return self._spark.createDataFrame(self._table)
 
+    def holds(self, key: Column) -> Column:
+        """Whether a row belongs to one of the groups."""
+        values = self._table.column(0).to_pylist()
+        return F.coalesce(key.isin(values), F.lit(False))
+
+
+def own_shuffle(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_on``, the columns as one join key that nothing before has been shuffled by.
+
+    Adaptive execution splits a hot key only where the join has shuffles of its own. Rows with a
+    null in the key are dropped, as an inner join drops them.
+    """
+    present = F.lit(True)
+    for column in on:
+        present = present & F.col(column).isNotNull()
+    return rows.filter(present).withColumn("_on", F.struct(*on))
+
 
 def group_total(
     rows: DataFrame, keys: list[str], total: Column, name: str, large: LargeGroups
@@ -99,9 +131,18 @@ def number_rows(
     rows: DataFrame, group: str, keys: list[SortKey], name: str, large: LargeGroups
 ) -> DataFrame:
     """Number the rows of each group 1, 2, 3... in the order of ``keys``."""
+    window = Window.partitionBy(group).orderBy(*orderings(keys))
+    number = F.row_number().over(window).cast("bigint")
     if not (large.any and large.count):
-        window = Window.partitionBy(group).orderBy(*orderings(keys))
-        return rows.withColumn(name, F.row_number().over(window).cast("bigint"))
+        return rows.withColumn(name, number)
+    in_large = large.holds(F.col(group))
+    ordinary = rows.filter(~in_large).withColumn(name, number)
+    return ordinary.unionByName(_number_large(rows.filter(in_large), group, keys, name, large))
+
+
+def _number_large(
+    rows: DataFrame, group: str, keys: list[SortKey], name: str, large: LargeGroups
+) -> DataFrame:
     # Copies of a row cannot be told apart by any slice, so they are numbered as
     # one row that stands for many.
     copies = rows.groupBy(*rows.columns).agg(F.count("*").alias("_copies"))
@@ -117,7 +158,7 @@ def number_rows(
     up_to = F.sum("_copies").over(running.rowsBetween(Window.unboundedPreceding, 0))
     numbered = (
         sliced.withColumn("_up_to", up_to)
-        .join(_small(earlier, large), [group, "_slice"], "left")
+        .join(earlier, [group, "_slice"], "left")
         .withColumn("_last", F.col("_up_to") + F.coalesce("_earlier", F.lit(0)))
     )
     return _one_row_per_copy(numbered, rows.columns, name)
@@ -135,11 +176,6 @@ def _one_row_per_copy(numbered: DataFrame, columns: list[str], name: str) -> Dat
     )
 
 
-def _small(rows: DataFrame, large: LargeGroups) -> DataFrame:
-    """Rows of at most about ``SLICES`` per large group, broadcast if that is not much."""
-    return F.broadcast(rows) if large.count * SLICES <= BROADCAST_CUTS else rows
-
-
 def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups) -> DataFrame:
     """Give each row of a large group its slice along the sort order; other groups stay whole."""
     place = F.struct(*[F.col(k.column) for k in keys])
@@ -153,7 +189,7 @@ def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups
     )
     passed = F.filter("_cuts", lambda cut: _before(cut, F.col("_place"), keys))
     return (
-        placed.join(_small(cuts, large), group, "left")
+        placed.join(cuts, group, "left")
         .withColumn("_in_large_group", F.col("_cuts").isNotNull())
         .withColumn("_slice", F.when(F.col("_in_large_group"), F.size(passed)).otherwise(0))
         .drop("_cuts", "_place")

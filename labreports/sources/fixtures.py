@@ -83,7 +83,7 @@ FIXTURE_SQL = {
         select l_orderkey as lab_order_fk,
             {_DETAIL_KEY} as lab_order_details_fk,
             l_partkey as result_test_fk,
-            case when (l_partkey + rep) % 13 = 0 then 'COLLB'
+            case when l_partkey % 3 = 0 then 'RT-tied' when (l_partkey + rep) % 13 = 0 then 'COLLB'
                  else concat('RT', cast((l_partkey + rep) % 13 as string)) end as result_test_code,
             case when l_partkey % 9 = 0 then 'Collection Time' when l_partkey % 9 = 1 then null
                  else concat('Result ', cast(l_partkey % 9 as string), '.', cast(rep as string))
@@ -107,7 +107,7 @@ FIXTURE_SQL = {
             concat('Drug ', cast(l_suppkey % 3 as string)) as micro_sensitivity_name,
             case l_suppkey % 3 when 0 then 'S' when 1 then 'R' end as micro_sensitivity_flag,
             case when l_partkey % 2 = 0 then 'SE' else 'SW' end as source_lab_system,
-            rep + 1 as result_sequence
+            case when l_partkey % 3 = 0 then cast(null as int) else rep + 1 end as result_sequence
         from {{lineitem}} join (select 0 as rep union all select 1 as rep) reps
             on l_quantity > 10 + 20 * rep""",
     "dim_order_test": """
@@ -250,7 +250,7 @@ FIXTURE_SQL = {
         from {{nation}} join (select 0 as rep union all select 1 as rep) reps
             on n_nationkey % 6 <> 5 and (rep = 0 or n_nationkey % 6 = 4)""",
     "dir_attribute_value": """
-        select concat('APP', cast(app as string)) as group_cn,
+        select concat(case when app = 1 then 'App' else 'APP' end, cast(app as string)) as group_cn,
             case when c_custkey % 11 = 0 then 'description' else 'member' end as attribute_id,
             concat('CN=', c_name, ',OU=Users,DC=example,DC=org') as value
         from {customer} join (select 0 as app union all select 1 as app union all select 2 as app)

@@ -42,11 +42,11 @@ def directory(make_tables):
         ],
         dir_group=[group("staff", 513), group("left", 600), group("right", 600)],
         dir_attribute_value=[
-            value("BUFFER", "member", "CN=Ann A,OU=Users"),
-            value("BUFFER", "member", "CN=Ann A,OU=Users"),
-            value("BUFFER", "member", "CN=Bob Ace,OU=Users"),
-            value("BUFFER", "description", "CN=Cat C,OU=Users"),
-            value("BUFFER", "name", "CN=Dan D"),
+            value("LEDGER", "member", "CN=Ann A,OU=Users"),
+            value("LEDGER", "member", "CN=Ann A,OU=Users"),
+            value("LEDGER", "member", "CN=Bob Ace,OU=Users"),
+            value("LEDGER", "description", "CN=Cat C,OU=Users"),
+            value("LEDGER", "name", "CN=Dan D"),
         ],
     )
 
@@ -101,23 +101,25 @@ def test_group_by_sid_needs_exactly_one(spark, directory):
 def test_app_membership(spark, directory):
     people = ["Ann A", "Bob A", "Cat C", "Dan D"]
     asked = spark.createDataFrame(
-        [(cn, app) for cn in people for app in ("BUFFER", "PLAC")], "cn string, app string"
+        [(cn, app) for cn in people for app in ("LEDGER", "ROSTER")], "cn string, app string"
     )
     rows = as_dicts(lab.app_membership(asked, directory["dir_attribute_value"]))
     assert {(r["cn"], r["app"]) for r in rows if r["is_member"] == 1} == {
-        ("Ann A", "BUFFER"),
-        ("Dan D", "BUFFER"),
+        ("Ann A", "LEDGER"),
+        ("Dan D", "LEDGER"),
     }
     assert len(rows) == 8
 
 
 def test_access_report(spark, directory):
     asked = spark.createDataFrame(
-        [("ann", "BUFFER"), ("bob", "BUFFER"), ("joe", "BUFFER")], "user_id string, app string"
+        [("ann", "ledger"), ("bob", "LEDGER"), ("joe", "LEDGER"), (None, "LEDGER")],
+        "user_id string, app string",
     )
     report = lab.access_report(directory["dir_user"], directory["dir_attribute_value"], asked)
     assert by_user(report, "message") == {
-        "ann": "MATCHING ENTRY FOUND FOR: ANN A IN THE SSO: BUFFER",
-        "bob": "SORRY NO MATCHING ENTRY FOR: BOB A IN THE SSO-BUFFER",
+        "ann": "MATCHING ENTRY FOUND FOR: ANN A IN THE SSO: LEDGER",
+        "bob": "SORRY NO MATCHING ENTRY FOR: BOB A IN THE SSO-LEDGER",
         "joe": "Sorry your User-id (network-id) is invalid...",
+        None: "Sorry your User-id (network-id) is invalid...",
     }
