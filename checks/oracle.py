@@ -551,6 +551,15 @@ _ACCESS_REPORT = _query(
     ["access_requests"],
 )
 
+_ASKED = "where upper(requisition_id) in (select upper(requisition_id) from urgent_requisitions)"
+
+
+def _scoped(query: str) -> str:
+    """A report limited to the requisitions asked for, whose keys are in lower case."""
+    asked = request_cte("urgent_requisitions")
+    return f"with {asked}\nselect * from ({query}) report {_ASKED}"
+
+
 ORACLE_SQL = {
     "tube_summary": _TUBE_SUMMARY,
     "tubes_not_received": _TUBES_NOT_RECEIVED,
@@ -559,6 +568,9 @@ ORACLE_SQL = {
         _ORDER_TABLES, _ORDER_ROWS, "select * from numbered where sl_no between 2 and 4"
     ),
     "status_history_messages": _STATUS_HISTORY_MESSAGES,
+    "status_history_requested": _scoped(_STATUS_HISTORY_MESSAGES),
+    "routine_test_details_requested": _scoped(_ROUTINE),
+    "requisition_header_requested": _scoped(_REQUISITION_HEADER),
     "routine_test_details": _ROUTINE,
     "micro_test_details": _MICRO,
     "report_group_details": _grouped(_GROUP_ORDER),

@@ -10,6 +10,9 @@ from labreports.sources.fixtures import SOURCES
 _DOB = "cast('1940-01-01' as date) + cast(c_custkey % 20000 as int)"
 
 REQUEST_SQL = {
+    "urgent_requisitions": """
+        select lower(concat('R', cast(o_orderkey as string))) as requisition_id
+        from {orders} where o_orderpriority = '1-URGENT'""",
     "name_searches": """
         select distinct c_mktsegment as search_id, lower(substr(c_mktsegment, 1, 5)) as name,
             cast(0 as bigint) as facility_id, '' as dob

@@ -63,3 +63,35 @@ def test_split_plan_gives_the_same_rows(spark, hot_tables, name):
     assert "_slice" in split._jdf.queryExecution().analyzed().toString()
     assert "_slice" not in plain._jdf.queryExecution().analyzed().toString()
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_tied_results_are_numbered_alike_in_any_input_order_and_plan(spark, small_tables):
+    """Results of one culture that differ in organism, drug and isolate only."""
+    tied = F.col("result_sequence").isNull()
+    same = {
+        name: F.when(tied, F.lit("x")).otherwise(F.col(name))
+        for name in ("result_test_code", "result_test_name", "textual_result", "textual_result_full")
+    }
+    results = small_tables["results"].withColumns(same)
+    seen = []
+    for every, order in ((None, F.asc), (None, F.desc), ("1", F.asc)):
+        t = {**small_tables, "results": results.orderBy(order("micro_isolate"), order("lab_order_fk"))}
+        if every:
+            spark.conf.set(SAMPLE_EVERY_CONF, every)
+        try:
+            seen.append(sorted(map(str, lab.micro_test_details(t).collect())))
+        finally:
+            spark.conf.unset(SAMPLE_EVERY_CONF)
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+
+
+def test_only_rows_of_large_groups_are_sliced(spark):
+    from labreports.functions.ordering import SortKey
+    from labreports.plans.skew import LargeGroups, number_rows
+
+    rows = spark.range(100).select(F.concat(F.lit("g"), F.col("id") % 4).alias("grp"), "id")
+    numbered = number_rows(rows, "grp", [SortKey("id")], "n", LargeGroups(spark, "grp", [("g1", 25)]))
+    text = numbered._jdf.queryExecution().optimizedPlan().toString()
+    ordinary = text.split("Union")[1].split("_slice")[0]
+    assert "NOT" in ordinary and "Aggregate" not in ordinary.split("Range")[0]
+    assert numbered.count() == 100

@@ -6,8 +6,10 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import labreports as lab
+from labreports.plans.scope import few_rows
 from labreports.sources.fixtures import FIXTURE_SQL
 from labreports.sources.warehouse import SCHEMAS, jdbc_tables, parquet_tables
 
@@ -71,6 +73,83 @@ def test_one_requisition_is_pushed_to_every_large_scan(spark, stored):
             assert re.search(r"(In|EqualTo)\((requisition_id|lab_order_details_fk|accession_number),", pushed)
 
 
+def scanned_large_tables(text):
+    """The scans of tables that hold a row per detail, result or event."""
+    large = ("textual_result", "status_date_time", "priority", "order_detail_status")
+    scans = re.findall(r"FileScan parquet \[[^\n]*", text)
+    return [scan for scan in scans if any(word in scan.split("]")[0] for word in large)]
+
+
+@pytest.mark.parametrize("asked", ["many requisitions", "one with many details"])
+def test_many_keys_narrow_every_large_table_by_a_semi_join(spark, stored, asked, monkeypatch):
+    monkeypatch.setattr(few_rows, "__defaults__", (3,))
+    keys = stored["dim_lab_order"].select("requisition_id")
+    if asked == "one with many details":
+        counts = stored["dim_lab_order_details"].groupBy("requisition_id").count()
+        keys = counts.orderBy(F.desc("count"), "requisition_id").limit(1).select("requisition_id")
+    text = plan(lab.routine_test_details(stored, keys))
+    assert text.count("LeftSemi") >= len(scanned_large_tables(text)) - 1
+    everything = {str(r) for r in lab.routine_test_details(stored).collect()}
+    wanted = {r[0] for r in keys.collect()}
+    got = lab.routine_test_details(stored, keys).collect()
+    assert {str(r) for r in got} <= everything
+    assert {r["requisition_id"] for r in got} <= wanted
+
+
+def test_the_window_narrows_details_and_results(stored):
+    text = plan(lab.order_summary(stored, dt.date(1995, 1, 1), dt.date(1995, 1, 7)))
+    assert text.count("LeftSemi") >= 3
+
+
+def test_few_facilities_and_birth_dates_reach_the_scan(spark, stored):
+    def search(facility, dob):
+        asked = spark.createDataFrame(
+            [("s", "", facility, dob)], "search_id string, name string, facility_id int, dob string"
+        )
+        return plan(lab.patient_search(stored, asked))
+
+    pushed = lambda text, name: re.search(rf"PushedFilters: \[[^\]]*EqualTo\({name},", text)
+    assert pushed(search(3, None), "facility_fk")
+    assert pushed(search(0, "01021940"), "dob")
+
+
+def test_a_contains_search_has_no_constant_key(spark, stored):
+    asked = spark.createDataFrame(
+        [("s", " ldin cust", 0, None)], "search_id string, name string, facility_id int, dob string"
+    )
+    text = plan(lab.patient_search(stored, asked))
+    assert "Generate explode(CASE WHEN" in text and "'' AS value" not in text
+
+
+def test_a_hot_history_key_is_split(spark, stored):
+    """The join of orders and events has shuffles of its own, which adaptive execution can split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    t = dict(stored)
+    first = t["dim_lab_order_details"].select("accession_number", "order_test_code").first()
+    hot = F.col("status_date_time").isNotNull() & (F.hash("status_date_time") % 2 == 0)
+    for name, value in zip(("accession_number", "order_test_code"), first):
+        t["status_history"] = t["status_history"].withColumn(
+            name, F.when(hot, value).otherwise(F.col(name))
+        )
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        messages = lab.status_history_messages(t)
+        messages.collect()
+        assert "SortMergeJoin(skew=true)" in plan(messages)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_scans_read_only_the_columns_used(stored):
     text = plan(lab.tubes_not_received(stored["dim_lab_order_details"]))
     read = re.search(r"ReadSchema: struct<(.*?)>", text).group(1)
