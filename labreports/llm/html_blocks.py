@@ -13,7 +13,10 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "textarea tfoot th thead tr ul".split()
 )
-_SILENT = "script style noscript template title head svg math object iframe canvas audio video"
+_SILENT = (
+    "script style noscript template title head svg math object iframe canvas audio video textarea select"
+)
+_SECTIONS = frozenset("article aside dialog footer form header main menu nav search".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -41,6 +44,7 @@ class Block:
     text: str
     tag: str
     above: frozenset[str]  # tags, "role=..." and the words of class and id names
+    near: frozenset[str]  # the same of the innermost element that says what it is
     linked: int  # characters inside links
 
 
@@ -48,11 +52,12 @@ class Block:
 class _Open:
     tag: str
     above: frozenset[str]
+    near: frozenset[str]
 
 
 @dataclass
 class _Reader:
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", frozenset())])
+    stack: list[_Open] = field(default_factory=lambda: [_Open("", frozenset(), frozenset())])
     pieces: list[str] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     links: int = 0
@@ -69,7 +74,7 @@ class _Reader:
             text = " ".join("".join(self.pieces).split())
             if text:
                 top = self.stack[-1]
-                self.blocks.append(Block(text, top.tag, top.above, self.linked))
+                self.blocks.append(Block(text, top.tag, top.above, top.near, self.linked))
             self.pieces, self.linked = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -102,8 +107,11 @@ class _Reader:
                     names.add("hidden")
                 else:
                     names.update(f".{part.lower()}" for part in _PART.findall(value))
-        above = self.stack[-1].above
-        self.stack.append(_Open(tag, above if names <= above else above | names))
+        top = self.stack[-1]
+        telling = len(names) > 1 or tag in _SECTIONS
+        near = frozenset(f"near={name}" for name in names) if telling else top.near
+        above = top.above if names <= top.above else top.above | names
+        self.stack.append(_Open(tag, above, near))
 
     def close(self, tag: str) -> None:
         if tag == "a":

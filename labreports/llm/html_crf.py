@@ -32,7 +32,7 @@ def block_features(block: Block) -> frozenset[str]:
     }
     if "©" in block.text or "(c)" in block.text.lower():
         own.add("copyright")
-    return block.above.union(own)
+    return block.above.union(block.near, own)
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def _gradient(x, y, present, weights, steps, start):
     return gradient, (seen - pair).sum((0, 1)), gap[:, 0].sum(0)
 
 
-def fit_blocks(pages: list[tuple[str, list[bool]]], rounds: int = 120, decay: float = 0.02) -> BlockModel:
+def fit_blocks(pages: list[tuple[str, list[bool]]], rounds: int = 200, decay: float = 0.05) -> BlockModel:
     """Maximise the penalised likelihood of labelled pages by AdaGrad."""
     found = [([block_features(b) for b in leaf_blocks(page)], labels) for page, labels in pages]
     found = [(features, labels) for features, labels in found if features]

@@ -1,0 +1,38 @@
+from __future__ import annotations
+
+import pytest
+
+from tests.conftest import SMALL
+
+# Names that operators use inside, to see that they don't clash.
+CLASHING = "key position a b fp row starts flags lines score found spans hash node root leaf".split()
+LONG = "lorem ipsum dolor " * 20_000
+
+
+@pytest.fixture
+def documents(spark):
+    """Build documents with extra columns of clashing names from (id, text) pairs."""
+
+    def build(rows):
+        extra = ", ".join(f"`{name}` string" for name in CLASHING)
+        schema = f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}"
+        data = [
+            (doc, text, None, "src0", None if text is None else len(text), *CLASHING)
+            for doc, text in rows
+        ]
+        return spark.createDataFrame(data, schema)
+
+    return build
+
+
+ODD = [(1, None), (2, ""), (3, "   \n\t\n "), (4, LONG), (4, LONG), (5, "one"), (None, "no id"), (6, None)]
+
+
+@pytest.fixture
+def odd(documents):
+    return documents(ODD)
+
+
+@pytest.fixture(scope="session")
+def small_documents(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")

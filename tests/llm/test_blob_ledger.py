@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import random
+import re
+
+from labreports.llm.blob_ledger import RULES, Rule, findings, scan_unseen
+from tests.llm.conftest import LONG
+
+_WORDS = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY"]
+
+
+def plain(text):
+    """Base spans by start and kind, from the plain patterns."""
+    words = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))
+    words += "|[aA][pP][iI]_?[kK][eE][yY]"
+    assign = rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [(m.start(), 0, "assign", m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 8]
+    spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(spans)
+
+
+def found(versions, ledger, rules=RULES):
+    return {
+        r.doc_id: [(s.start, s.order, s.rule, s.end) for s in r.found]
+        for r in findings(versions, "doc_id", ledger, rules).collect()
+    }
+
+
+def test_against_the_plain_patterns(documents):
+    chance = random.Random(3)
+    parts = [*_WORDS, ":", "=", " ", '"', "'", "AKIA", "ABCDEF1234567890", "0123456789abcdef", "é😀", "x", "\n"]
+    rows = [(k, "".join(chance.choice(parts) for _ in range(chance.randrange(16)))) for k in range(500)]
+    docs = documents(rows)
+    got = found(docs, scan_unseen(docs, "doc_id"))
+    assert got == {doc: plain(text) for doc, text in rows} and any(got.values())
+
+
+def test_only_unseen_pairs_are_scanned(spark, documents):
+    old = documents([(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "AKIA" + "A" * 16)])
+    ledger = scan_unseen(old, "doc_id")
+    assert ledger.count() == 2 and scan_unseen(old, "doc_id", ledger).count() == 0
+    new = old.union(documents([(4, "ghp_" + "a" * 36), (5, "token=abcdefgh1")]))
+    more = scan_unseen(new, "doc_id", ledger).collect()
+    assert len(more) == 1 and len(more[0].scans) == len(RULES)
+    changed = (*RULES[:1], Rule("access", 2, "AKIA[A-Z0-9]++", least=24, literal="AKIA"), *RULES[2:])
+    again = scan_unseen(old, "doc_id", ledger, changed)
+    assert [[s.rule for s in r.scans] for r in again.collect()] == [["access"], ["access"]]
+    assert found(old, ledger.union(again), changed)[3] == []
+    assert found(old, ledger.union(again))[3] == [(0, 1, "access", 20)]
+
+
+def test_added_rules(documents):
+    text = "-----BEGIN RSA PRIVATE KEY-----\nghp_" + "q7" * 20 + " xoxb-123456789012 eyJhbGciOi1.eyJzdWIiOi1.abcdefgh-_1"
+    docs = documents([(1, text)])
+    names = [rule for _, _, rule, _ in found(docs, scan_unseen(docs, "doc_id"))[1]]
+    assert names == ["private_key", "host_token", "chat_token", "signed_token"]
+
+
+def test_odd_rows(documents):
+    rows = [(1, None), (2, ""), (3, LONG + "token=12345678"), (4, "token=12345678"), (4, "token=12345678"), (None, "token=12345678")]
+    docs = documents(rows)
+    got = findings(docs, "doc_id", scan_unseen(docs, "doc_id")).collect()
+    assert sorted((str(r.doc_id), len(r.found)) for r in got) == [("1", 0), ("2", 0), ("3", 1), ("4", 1), ("4", 1), ("None", 1)]
+    empty = docs.limit(0)
+    assert scan_unseen(empty, "doc_id").count() == 0 and findings(empty, "doc_id", scan_unseen(docs, "doc_id")).count() == 0

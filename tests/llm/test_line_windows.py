@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+from labreports.llm.line_windows import dedup_lines
+from tests.llm.conftest import CLASHING, ODD
+
+
+def expected(rows, width=3):
+    """Later occurrences of windows, in the order of id and position."""
+    seen, out = {}, {}
+    for doc, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for k in range(len(lines) - width + 1):
+            window = tuple(lines[k : k + width])
+            if seen.setdefault(window, (doc, k)) != (doc, k):
+                gone |= set(range(k, k + width))
+        out[doc] = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+    return out
+
+
+def texts(frame):
+    return {row.doc_id: row.text for row in frame.collect()}
+
+
+def test_small_documents_against_plain_python(small_documents):
+    rows = [(r.doc_id, r.text) for r in small_documents.select("doc_id", "text").collect()]
+    got = texts(dedup_lines(small_documents))
+    assert got == expected(rows)
+    assert any(got[doc] != text for doc, text in rows)
+
+
+def test_overlapping_windows_are_merged_and_a_copy_stays(documents):
+    rows = [
+        (1, "a\nb\nc\nd\ne"),
+        (2, "x\na\nb\nc\nd\ny"),
+        (3, "q\nq\nq\nq\nq"),
+        (4, "a\nb"),
+        (5, "c\nd\ne"),
+    ]
+    got = texts(dedup_lines(documents(rows)))
+    assert got == expected(rows)
+    assert got == {1: "a\nb\nc\nd\ne", 2: "x\ny", 3: "q", 4: "a\nb", 5: ""}
+
+
+def test_blank_lines_and_white_space_at_line_ends(documents):
+    got = texts(dedup_lines(documents([(1, "a\n\nb \n  \nc"), (2, "z\na\nb\n\nc\t\n")])))
+    assert got == {1: "a\n\nb \n  \nc", 2: "z"}
+
+
+def test_odd_rows(odd):
+    result = dedup_lines(odd)
+    assert set(CLASHING) < set(result.columns)
+    got = sorted((str(r.doc_id), r.text) for r in result.collect() if r.text is not None)
+    assert got == sorted((str(d), t) for d, t in ODD if t is not None)
+    assert result.where("text is null").count() == 2
+    assert dedup_lines(odd.limit(0)).count() == 0
+
+
+def test_same_place_repeated_is_no_later_occurrence(documents):
+    result = dedup_lines(documents([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc")]))
+    assert [r.text for r in result.collect()] == ["a\nb\nc"] * 3

@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import hashlib
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from labreports.llm.sentencepieces import MergeVocabulary, encode_pieces
+from tests.llm.conftest import CLASHING
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(MODEL, "rb") as file:
+        return MergeVocabulary(file.read())
+
+
+PARTS = st.sampled_from("a b the ing ▁ é 日本 ﬁ 😀 <s> </s> <0x0A> \x00 ​ 1 ..".split(" ") + [" ", "  ", "\n", "\r\n", "\t"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.lists(PARTS, max_size=20).map("".join), st.text(max_size=30)))
+def test_like_the_library(text):
+    with open(MODEL, "rb") as file:
+        own = test_like_the_library.own = getattr(test_like_the_library, "own", None) or MergeVocabulary(file.read())
+    text = text.encode("utf-8", "replace").decode()
+    ids = own.encode(text)
+    assert ids == own.library.encode(text, add_eos=True)
+    assert own.decode(ids) == own.library.decode(ids)
+
+
+@pytest.mark.parametrize("text", ["ab" * 30_000, " " * 5_000, "x", "\n" * 100, "word" * 9 + "s"])
+def test_long_stretches(vocabulary, text):
+    ids = vocabulary.encode(text)
+    assert ids == vocabulary.library.encode(text, add_eos=True)
+    assert vocabulary.decode(ids) == text
+
+
+def test_both_agendas_agree(vocabulary):
+    for word in ("▁internationalization", "▁" * 9, "antidisestablishmentarianism", "▁ab1.2c"):
+        assert vocabulary._merge_short(word) == vocabulary._merge_long(word)
+
+
+def test_odd_rows(odd):
+    result = encode_pieces(odd, MODEL, with_decoded=True, check_every=1)
+    assert set(CLASHING) < set(result.columns) and "text" not in result.columns
+    rows = result.collect()
+    assert len(rows) == odd.count()
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[1].n_tokens == by_id[2].n_tokens == 1 and by_id[1].decoded == ""
+    assert by_id[5].decoded == "one"
+    for row in rows:
+        assert row.n_tokens == len(row.ids)
+        assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, row.ids)).encode()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(row.decoded.encode()).hexdigest()
+    assert encode_pieces(odd.limit(0), MODEL).count() == 0
