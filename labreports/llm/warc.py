@@ -11,6 +11,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,7 +121,7 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Write one capture for each row of ``pages`` (``page_id, url, html``) to archives below
     ``path``, which every executor can reach. Spark's text writer ends each record with the two
-    line breaks of the format; an archive is bounded by its number of records."""
+    line breaks of the format; an archive is gzipped and bounded by its number of records."""
     captures = with_revisits(pages, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +133,19 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     captures.mapInArrow(run, "value string").write.option("lineSep", _END).option(
         "maxRecordsPerFile", 4096
-    ).text(path)
+    ).option("compression", "gzip").text(path)
+
+
+def archive_bytes(data: bytes) -> bytes:
+    """The records of an archive: gzipped as a whole, record by record, or not at all."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("cut gzip archive")
+        data = member.unused_data
+    return b"".join([*out, data])
 
 
 _HEADER = re.compile(r"([^:\r\n]+):[ \t]*([^\r\n]*)")
@@ -170,7 +183,7 @@ def read_records(spark: SparkSession, path: str, with_blocks: bool = True) -> Da
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for headers, block in parse_records(content):
+                for headers, block in parse_records(archive_bytes(content)):
                     kind, size, digest = headers["warc-type"], None, None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]

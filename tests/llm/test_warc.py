@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pytest
 
-from labreports.llm.warc import assemble, parse_records, read_records, write_archives
+from labreports.llm.warc import archive_bytes, assemble, parse_records, read_records, write_archives
 
 LONG_PAGE = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 20_000
 
@@ -49,7 +50,9 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
 
 def test_archives_are_plain_warc(spark, tmp_path):
     round_trip(spark, tmp_path, [(1, "http://a", "x", None, None)])
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "archives").glob("part-*")))
+    files = [p.read_bytes() for p in sorted((tmp_path / "archives").glob("part-*"))]
+    data = archive_bytes(b"".join(files))
+    assert archive_bytes(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and archive_bytes(data) == data
     kinds = [headers["warc-type"] for headers, _ in parse_records(data)]
     assert kinds == ["response", "request", "metadata"] and data.endswith(b"\r\n\r\n")
     with pytest.raises(ValueError):
