@@ -159,12 +159,16 @@ def near_duplicates(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     rooted = checkpointed(rooted)
-    joined = rooted.where("fp <> root").select("root").distinct()
     least = (
-        rooted.join(joined, "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
+        rooted.groupBy("root")
+        .agg(F.min("first").alias("least"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select(own_exchange("root").alias("group"), "least")
     )
-    named = rooted.join(least, "root", "left").select(
-        own_exchange("fp").alias("key"), F.coalesce("least", "first").alias("component_id")
+    named = (
+        rooted.withColumn("group", own_exchange("root"))
+        .join(least, "group", "left")
+        .select(own_exchange("fp").alias("key"), F.coalesce("least", "first").alias("component_id"))
     )
     return (
         marked.withColumn("key", own_exchange("fp"))
