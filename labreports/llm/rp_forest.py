@@ -169,7 +169,10 @@ def nearest(
     counts = placed.groupBy("tree", "leaf").count().collect()
     slices = {(r.tree, r.leaf): -(-r["count"] // _SLICE_ROWS) for r in counts}
     asked = rows.where("asked").select("id", "v").distinct()
-    blocks = max(1, -(-asked.count() // _QUERY_ROWS))
+    questions = asked.count()
+    blocks = max(1, -(-questions // _QUERY_ROWS))
+    # Few small rows with much work each: more partitions than their bytes call for.
+    asked = asked.repartition(-(-questions // 128) or 1, "id")
     table = vectors.sparkSession.sparkContext.broadcast(slices)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,10 +191,9 @@ def nearest(
 
     wanted = asked.mapInPandas(walk, f"tree int, leaf int, slice int, id {kind}, v {vector}")
     wanted = wanted.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks)))
-    sizes = F.create_map(*[F.lit(x) for key, n in slices.items() if n > 1 for x in (f"{key[0]} {key[1]}", n)])
-    parts = F.coalesce(F.element_at(sizes, F.concat_ws(" ", "tree", "leaf")), F.lit(1)) if any(
-        n > 1 for n in slices.values()
-    ) else F.lit(1)
+    cut = [x for key, n in slices.items() if n > 1 for x in (f"{key[0]} {key[1]}", n)]
+    sizes = F.create_map(*map(F.lit, cut)) if cut else F.create_map(F.lit(""), F.lit(1))
+    parts = F.coalesce(F.element_at(sizes, F.concat_ws(" ", "tree", "leaf")), F.lit(1))
     members = placed.withColumn("slice", F.pmod(F.xxhash64("ids"), parts).cast("int")).withColumn(
         "block", F.explode(F.array(*[F.lit(k) for k in range(blocks)]))
     )
