@@ -227,17 +227,23 @@ def assemble(records: DataFrame) -> DataFrame:
     Copies of a record, as retries of a crawl leave them, count once. Records of other kinds, and
     requests or metadata whose capture is missing, give no row.
     """
-    main = records.where(F.col("kind").isin("response", "revisit")).dropDuplicates(["record_id"])
-    main = main.drop("concurrent_to")
-
-    def beside(kind: str) -> DataFrame:
-        part = records.where((F.col("kind") == kind) & F.col("concurrent_to").isNotNull())
-        fields = F.struct("record_id", "block")
-        return part.groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(fields).alias(kind))
-
-    return main.join(beside("request"), "record_id", "left").join(
-        beside("metadata"), "record_id", "left"
+    is_main = F.col("kind").isin("response", "revisit")
+    beside = F.col("kind").isin("request", "metadata")
+    # The three kinds meet on one key in one shuffle, and the records are read once.
+    capture = F.when(is_main, F.col("record_id")).when(beside, F.col("concurrent_to"))
+    row = F.struct(*[c for c in records.columns if c not in ("concurrent_to", "record_id")])
+
+    def part(kind: str) -> Column:
+        record = F.struct("record_id", "block")
+        return F.min(F.when(F.col("kind") == kind, record)).alias(kind)
+
+    joined = (
+        records.withColumn("capture", capture)
+        .where("capture is not null")
+        .groupBy(F.col("capture").alias("record_id"))
+        .agg(F.min(F.when(is_main, row)).alias("main"), part("request"), part("metadata"))
     )
+    return joined.where("main is not null").select("record_id", "main.*", "request", "metadata")
 
 
 def captured(column: str, kind: str = "long") -> Column:
