@@ -175,13 +175,3 @@ def near_duplicates(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
         .join(named, "key")
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
-
-
-def one_of_each(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group of near duplicates.
-
-    Rows that share an id are one document and stay or go together; rows with a null id stay.
-    """
-    named = near_duplicates(docs, cell_rows)
-    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
