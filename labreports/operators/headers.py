@@ -22,16 +22,28 @@ def counted_details(t: Tables, related: Related) -> DataFrame:
     return details.filter(~F.col("test_category").isin(_NOT_COUNTED))
 
 
-def results_per_detail(
-    t: Tables, related: Related, kept: Column | None, aggregates: dict[str, Column]
+def with_results(
+    details: DataFrame, results: DataFrame, of_detail: dict[str, Column], of_result: dict[str, Column]
 ) -> DataFrame:
-    """Results reduced to one row per order and detail before they are joined."""
-    results = related.narrow(t["results"], "lab_order_fk", "lab_order_pk")
-    if kept is not None:
-        results = results.filter(kept)
-    return results.groupBy(
-        "lab_order_fk", F.col("lab_order_details_fk").alias("lab_order_details_pk")
-    ).agg(*[column.alias(name) for name, column in aggregates.items()])
+    """One row per order and detail, aggregated over its copies and its results.
+
+    Details and results meet in one aggregate that combines ahead of its shuffle, so neither is
+    shuffled and sorted for a join. Results without a detail are dropped. Columns whose names end
+    in ``copies`` or ``count`` are summed, others take their maximum.
+    """
+    results = results.withColumnRenamed("lab_order_details_fk", "lab_order_details_pk").filter(
+        F.col("lab_order_fk").isNotNull() & F.col("lab_order_details_pk").isNotNull()
+    )
+    rows = details.select(
+        *_RESULT_OF, F.lit(True).alias("_is_detail"), *[c.alias(n) for n, c in of_detail.items()]
+    ).unionByName(
+        results.select(*_RESULT_OF, *[c.alias(n) for n, c in of_result.items()]),
+        allowMissingColumns=True,
+    )
+    names = [*of_detail, *of_result]
+    totals = [(F.sum if n.endswith(("copies", "count")) else F.max)(n).alias(n) for n in names]
+    grouped = rows.groupBy(*_RESULT_OF).agg(F.max("_is_detail").alias("_is_detail"), *totals)
+    return grouped.filter("_is_detail").drop("_is_detail")
 
 
 def is_abnormal(flag: str) -> Column:
@@ -58,18 +70,18 @@ def order_indicators(t: Tables, related: Related, collected_by: bool = False) ->
     """Per order: tests, reportable cancellation, abnormal result, who collected.
 
     The cancellation depends on details alone, and the other two on the few
-    results that are abnormal or name the collector, so only those are joined.
+    results that are abnormal or name the collector, so only those are read.
     """
     kept = is_abnormal("derived_abnormal_flag")
-    aggregates = {"abnormal": F.max(F.coalesce(kept, F.lit(False)))}
+    of_result = {"abnormal": F.coalesce(kept, F.lit(False))}
     if collected_by:
         names_collector = F.col("result_test_code") == rules.COLLECTED_BY_CODE
         kept = kept | names_collector
-        aggregates["collb"] = F.max(F.when(names_collector, F.col("textual_result")))
-    results = results_per_detail(t, related, kept, aggregates)
+        of_result["collb"] = F.when(names_collector, F.col("textual_result"))
+    results = related.narrow(t["results"], "lab_order_fk", "lab_order_pk").filter(kept)
     details = with_reportable_cancellation(t, counted_details(t, related))
-    # One row per detail on both sides: copies of a detail count once.
-    details = details.groupBy(*_RESULT_OF).agg(F.max("cancelled").alias("cancelled"))
+    # One row per detail: copies of a detail count once.
+    per_detail = with_results(details, results, {"cancelled": F.col("cancelled")}, of_result)
     totals = [
         F.count("lab_order_details_pk").alias("test_count"),
         F.max("cancelled").alias("cancelled_test_ind"),
@@ -77,11 +89,7 @@ def order_indicators(t: Tables, related: Related, collected_by: bool = False) ->
     ]
     if collected_by:
         totals.append(F.max("collb").alias("collb"))
-    return (
-        details.join(results, _RESULT_OF, "left")
-        .groupBy(F.col("lab_order_fk").alias("lab_order_pk"))
-        .agg(*totals)
-    )
+    return per_detail.groupBy(F.col("lab_order_fk").alias("lab_order_pk")).agg(*totals)
 
 
 def _header_rows(t: Tables, orders: DataFrame) -> DataFrame:
@@ -220,30 +228,23 @@ def requisition_demographics(t: Tables, requisitions: DataFrame | None = None) -
     are sums over details paired with their results.
     """
     orders, related = _scoped_orders(t, requisitions)
-    results = results_per_detail(
-        t,
-        related,
-        None,
+    per_detail = with_results(
+        counted_details(t, related),
+        related.narrow(t["results"], "lab_order_fk", "lab_order_pk"),
         {
-            "result_count": F.count("*"),
-            "abnormal_count": F.sum(F.when(is_abnormal("abnormal_flag"), 1).otherwise(0)),
+            "copies": F.lit(1),
+            "cancelled_copies": F.when(F.col("order_detail_status") == "X", 1).otherwise(0),
+        },
+        {
+            "result_count": F.lit(1),
+            "abnormal_count": F.when(is_abnormal("abnormal_flag"), 1).otherwise(0),
         },
-    )
-    details = (
-        counted_details(t, related)
-        .groupBy(*_RESULT_OF)
-        .agg(
-            F.count("*").alias("copies"),
-            F.sum(F.when(F.col("order_detail_status") == "X", 1).otherwise(0)).alias("cancelled"),
-        )
     )
     pairs = F.coalesce("result_count", F.lit(1))
     totals = (
-        details.join(results, _RESULT_OF, "left")
-        .groupBy(F.col("lab_order_fk").alias("lab_order_pk"))
-        .agg(
+        per_detail.groupBy(F.col("lab_order_fk").alias("lab_order_pk")).agg(
             F.count("lab_order_details_pk").alias("test_count"),
-            F.sum(F.col("cancelled") * pairs).alias("cancelled_test_ind"),
+            F.sum(F.col("cancelled_copies") * pairs).alias("cancelled_test_ind"),
             F.sum(F.col("copies") * F.coalesce("abnormal_count", F.lit(0))).alias(
                 "alert_exception_ind"
             ),
