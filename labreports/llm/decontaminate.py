@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labreports.llm.common import checkpointed, own_exchange, text_of
+from labreports.llm.common import checkpointed, own_exchange, text_of, written
 
 # Punctuation and blanks beyond ASCII; all other characters beyond ASCII belong to words.
 _WIDE_BREAKS = re.compile("[\u0080-\u00bf\u2000-\u206f\u3000-\u303f]+")
@@ -156,7 +156,11 @@ def _blocks(data: bytes, overlap: int) -> Iterator[bytes]:
 
 def _document_shingles(docs: DataFrame, shingles: DataFrame, width: int) -> DataFrame:
     """``doc_id, shingle`` of documents that hold a sketch member: the shingles that may be those
-    of items. The two bit tables let a few others through, which the join on text removes."""
+    of items. The two bit tables let a few others through, which the join on text removes.
+
+    A text of several pieces hands on the shingles of all pieces once one holds a sketch member.
+    Rows whose id is repeated hand on theirs whatever they hold, as another row may hold it.
+    """
     spans = sorted(row.span for row in shingles.select("span").distinct().collect())
     sketch = _bit_table(shingles.where("in_sketch").select("hash"))
     anywhere = _bit_table(shingles.select("hash"))
@@ -167,8 +171,8 @@ def _document_shingles(docs: DataFrame, shingles: DataFrame, width: int) -> Data
         slot = hashes & mask
         return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & 1) > 0
 
-    def search(hasher: ShingleHashes, owners: list, parts: list[bytes]) -> Iterator[tuple]:
-        """Search texts laid end to end; each may be a whole text or a piece of a long one."""
+    def search(hasher: ShingleHashes, owners: list, parts: list[bytes], every: bool) -> Iterator[tuple]:
+        """Search texts laid end to end; with ``every``, also those without a sketch member."""
         sketch, anywhere = tables.value
         data = b"\n".join(parts)
         firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])
@@ -177,36 +181,50 @@ def _document_shingles(docs: DataFrame, shingles: DataFrame, width: int) -> Data
         for span in spans:
             hashes = hasher.shingles(codes, span)
             whole = owner[: len(hashes)] == owner[span - 1 :]
-            marked = np.flatnonzero(held(sketch, hashes) & whole)
-            if not marked.size:
-                continue
-            chosen = np.zeros(len(parts), bool)
-            chosen[owner[marked]] = True
+            chosen = np.full(len(parts), every)
+            if not every:
+                marked = np.flatnonzero(held(sketch, hashes) & whole)
+                if not marked.size:
+                    continue
+                chosen[owner[marked]] = True
             for at in np.flatnonzero(held(anywhere, hashes) & whole & chosen[owner[: len(hashes)]]):
                 words = data[starts[at] : ends[at + span - 1]].split()
                 yield owners[owner[at]], b" ".join(words).decode("utf-8")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame], every: bool) -> Iterator[pd.DataFrame]:
         hasher = ShingleHashes(2 * _BLOCK)
         for batch in batches:
             owners, parts, size, found = [], [], 0, []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                for part in _blocks(normal_bytes(text), width - 1):
-                    if len(part) > 2 * _BLOCK:
-                        hasher = ShingleHashes(len(part))
-                    if parts and size + len(part) > _BLOCK:
-                        found += search(hasher, owners, parts)
-                        owners, parts, size = [], [], 0
-                    owners.append(doc)
-                    parts.append(part)
-                    size += len(part) + 1
+                data = normal_bytes(text)
+                if len(data) > 2 * _BLOCK:
+                    pieces = list(_blocks(data, width - 1))
+                    longest = max(map(len, pieces))
+                    if longest > 2 * _BLOCK:
+                        hasher = ShingleHashes(longest)
+                    if every or any(True for piece in pieces for _ in search(hasher, [doc], [piece], False)):
+                        for piece in pieces:
+                            found += search(hasher, [doc], [piece], True)
+                    continue
+                if parts and size + len(data) > _BLOCK:
+                    found += search(hasher, owners, parts, every)
+                    owners, parts, size = [], [], 0
+                owners.append(doc)
+                parts.append(data)
+                size += len(data) + 1
             if parts and spans:
-                found += search(hasher, owners, parts)
+                found += search(hasher, owners, parts, every)
             rows = pd.DataFrame(list(dict.fromkeys(found)), columns=["doc_id", "shingle"])
             yield rows.astype({"doc_id": batch["doc_id"].dtype})
 
     rows = docs.where("doc_id is not null").select("doc_id", text_of("text").alias("text"))
-    return rows.mapInPandas(run, f"doc_id {ids}, shingle string")
+    schema = f"doc_id {ids}, shingle string"
+    found = rows.mapInPandas(lambda batches: run(batches, False), schema)
+    repeated = written(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return found
+    again = rows.join(repeated, "doc_id", "left_semi")
+    return found.union(again.mapInPandas(lambda batches: run(batches, True), schema))
 
 
 def benchmark_leaks(

@@ -62,6 +62,20 @@ def test_threshold_short_items_and_word_forms(spark, documents):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "6", "None"]
 
 
+def test_an_item_in_several_pieces_or_rows_of_a_document(spark, documents):
+    words = [f"w{k}" for k in range(24)]
+    item = " ".join(words)
+    filler = "filler " * (_BLOCK // 6)
+    halves = [" ".join(words[:cut]) for cut in range(5, 24)]
+    rests = [" ".join(words[cut - 4 :]) for cut in range(5, 24)]
+    docs = [(k, f"{a} {filler} {filler} {b}") for k, (a, b) in enumerate(zip(halves, rests)) if k % 6 == 1]
+    docs += [(100 + k, f"x {text} y") for pair in (halves, rests) for k, text in enumerate(pair)]
+    docs.append((200, f"{filler} {' '.join(words[:19])} {filler}"))
+    frame = spark.createDataFrame([(10, item)], "item_id bigint, text string")
+    expected = {(doc, 10): (20, 20) for doc, _ in docs if doc < 200}
+    assert found(benchmark_leaks(documents(docs), frame)) == expected
+
+
 @pytest.mark.parametrize("count", range(1, 200))
 def test_a_sketch_can_not_be_missed(count):
     lacking = count - -(-8 * count // 10)  # shingles that an item may lack at 0.8
