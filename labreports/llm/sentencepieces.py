@@ -172,15 +172,15 @@ def encode_pieces(
     model_path: str | Path,
     with_ids: bool = True,
     with_decoded: bool = False,
-    check_every: int = 32,
+    check_every: int = 1,
 ) -> DataFrame:
     """Encode and decode every whole text; add ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and
     on request ``ids`` and ``decoded``. The columns of ``docs`` other than the text stay (those with
     the names of results are replaced).
 
-    Null counts as empty, and an empty text has the end id only. Every ``check_every``-th text of
-    an Arrow batch is also given to the sentencepiece library, both ways, and any difference stops
-    the job; 0 turns this off. Each row is handled by itself, without a shuffle. The model file (half
+    Null counts as empty, and an empty text has the end id only. Every text, or every
+    ``check_every``-th of an Arrow batch, is also given to the sentencepiece library, both ways, and
+    any difference stops the job; 0 turns this off. Each row is handled by itself, without a shuffle. The model file (half
     a megabyte) is read on the driver and travels with the task.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())

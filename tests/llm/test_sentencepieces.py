@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 
 import public_tokenizers
 import pytest
@@ -58,3 +59,7 @@ def test_odd_rows(odd):
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, row.ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(row.decoded.encode()).hexdigest()
     assert encode_pieces(odd.limit(0), MODEL).count() == 0
+
+
+def test_every_text_is_checked_unless_told_otherwise():
+    assert inspect.signature(encode_pieces).parameters["check_every"].default == 1
