@@ -2,8 +2,8 @@
 
 Encoding keeps an agenda of adjacent symbol pairs ordered by score, the leftmost first among equals,
 and merges from its top. The vocabulary decides where texts can be cut: no merge ever crosses the
-front of a blank mark if no piece has one after another character, so words are encoded once for
-each Arrow batch and task. Texts are checked against the sentencepiece library as they pass.
+front of a blank mark if no piece has one after another character, so a word is encoded once in each
+worker process. Texts are checked against the sentencepiece library as they pass.
 """
 
 from __future__ import annotations
@@ -183,12 +183,16 @@ def encode_pieces(
     any difference stops the job; 0 turns this off. Each row is handled by itself, without a shuffle. The model file (half
     a megabyte) is read on the driver and travels with the task.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+    shared = docs.sparkSession.sparkContext.broadcast({"model": Path(model_path).read_bytes()})
     results = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     results += ", ids array<int>" * with_ids + ", decoded string" * with_decoded
 
     def prepare():
-        vocabulary = MergeVocabulary(model.value)
+        # A worker process keeps the value of a broadcast, so all its tasks share the words met.
+        kept = shared.value
+        if "vocabulary" not in kept:
+            kept["vocabulary"] = MergeVocabulary(kept["model"])
+        vocabulary = kept["vocabulary"]
 
         def encoded(texts: list[str]) -> list[list]:
             ids = list(map(vocabulary.encode, texts))

@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
 
     ``component_id`` is the smallest document id reachable over links of fingerprints that differ
     in two bits at most. Null text counts as empty; empty texts have the fingerprint zero and are
-    linked like any other. Rows with a null id are left out, as they can't be named; repeated rows
+    linked like any other. A long text is taken whole, in pieces of 65,536 words. Rows with a null id are left out, as they can't be named; repeated rows
     come back as often as they were given. Equal fingerprints meet once only: copies are counted
     before the shuffle and the join back to documents can be split.
     """
@@ -175,3 +175,15 @@ def near_duplicates(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
         .join(named, "key")
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
+
+
+def one_of_each(docs: DataFrame, cell_rows: int = 4096) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group of near duplicates.
+
+    Rows that share an id are one document and stay or go together: an id goes if any of its rows is
+    linked to a smaller id. Rows with a null id stay. Of all texts without words one document stays,
+    as their fingerprints are equal. An empty table gives no rows.
+    """
+    named = near_duplicates(docs, cell_rows)
+    gone = named.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
