@@ -15,7 +15,7 @@ from labreports.llm.decontaminate import without_leaks
 from labreports.llm.line_windows import dedup_lines
 from labreports.llm.quality import fit_quality, score_quality
 from labreports.llm.sentencepieces import encode_pieces
-from labreports.llm.similar import one_of_each
+from labreports.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates: documents whose
-    five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """Keep the document with the smallest id of each group that the SimHash operator finds:
+    fingerprints over three-word shingles that differ in two bits at most."""
     return one_of_each(docs)
 
 
