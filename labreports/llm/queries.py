@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from labreports.llm.blob_ledger import BASE, RULES, findings, scan_unseen
 from labreports.llm.common import new_folder, table, written
 from labreports.llm.decontaminate import benchmark_leaks
+from labreports.llm.filter_audit import filter_audit
 from labreports.llm.html_crf import main_text
 from labreports.llm.line_windows import dedup_lines
+from labreports.llm.maxent_lm import model_scores
 from labreports.llm.pii import KINDS, joined, personal_data
 from labreports.llm.quality import fit_quality, fold, score_quality
 from labreports.llm.rp_forest import nearest
 from labreports.llm.sentencepieces import encode_pieces
 from labreports.llm.simhash import near_duplicates
+from labreports.llm.spelling import spelling_variants
 from labreports.llm.warc import assemble, captured, read_records, write_archives
 
 
@@ -107,6 +110,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_sentencepiece": op2_sentencepiece,
@@ -118,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_language_model": op11_language_model,
+    "op12_spelling": op12_spelling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _LINE_DEDUP = r"""
@@ -258,7 +276,127 @@ group by d.doc_id
 """
 
 
+_SPELLING = r"""
+with recursive crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1
+                then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as entry
+  from (select unnest(range(256)) as i)
+),
+run as (
+  select coalesce(cast(doc_id as varchar), '') as doc,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents where text is not null
+),
+counted as (select doc, run, count(*) as times from run where length(run) >= 6 group by doc, run),
+marked as (
+  select run, times, xor(list_reduce(
+           [cast('0x' || hex(encode(doc || ':' || run))[2 * k + 1 : 2 * k + 2] as bigint)
+            for k in range(octet_length(encode(doc || ':' || run)))],
+           lambda c, b: xor(c >> 8, entry[1 + (xor(c, b) & 255)]), 4294967295), 4294967295) as h
+  from counted, crc_table
+),
+word as (
+  select word, cast(sum(times) as bigint) as n
+  from (select times, case when h % 199 = 0
+                then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                else run end as word from marked)
+  where length(word) >= 6 group by word having sum(times) >= 5
+),
+hole as (
+  select word, n, k, substr(word, 1, k) as head, substr(word, k + 2) as tail
+  from (select word, n, unnest(range(length(word))) as k from word)
+),
+near as (
+  select a.word, b.word as other, b.n as other_n
+  from hole a join hole b using (head, tail) where a.word <> b.word
+  union select a.word, b.word, b.n from hole a join word b on b.word = a.head || a.tail
+  union select b.word, a.word, a.n from hole a join word b on b.word = a.head || a.tail
+),
+best as (
+  select word, count(*) as n_near, max(other_n) as top,
+         arg_min(other, (-other_n, other)) as other
+  from near group by word
+),
+form as (
+  select word.word, n, coalesce(n_near, 0) as n_near,
+         case when top >= 5 * n then other end as form, case when top >= 5 * n then top end as form_n
+  from word left join best on best.word = word.word
+),
+chain as (
+  select word, word as root from form
+  union all
+  select chain.word, form.form from chain join form on form.word = chain.root
+  where form.form is not null
+)
+select form.word, form.form, chain.root, form.n, form.n_near, form.form_n
+from form join chain on chain.word = form.word
+join form last on last.word = chain.root and last.form is null
+"""
+
+_FILTER_AUDIT = r"""
+with text as (
+  select d.doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+         coalesce((select max(case when quality = 1 then 1 else 0 end) from labels l
+                   where l.doc_id = d.doc_id), 0) as good,
+         coalesce((select max(case when toxic = 1 then 1 else 0 end) from labels l
+                   where l.doc_id = d.doc_id), 0) as toxic
+  from documents d
+),
+word as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) as capitals,
+         min(doc_id) over (partition by text) as least
+  from text
+),
+failed as (
+  select part, good, toxic,
+         [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+          100 * capitals > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+          coalesce(doc_id > least, false)] as fails
+  from word
+),
+counted as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic
+  from failed group by part, fails
+),
+letter as (select unnest([1, 2, 3, 4, 5]) as f, unnest(['A', 'B', 'C', 'D', 'E']) as name),
+orders as (
+  select a.name || b.name || c.name || d.name || e.name as filter_order,
+         [a.f, b.f, c.f, d.f, e.f] as applied
+  from letter a join letter b on b.f <> a.f join letter c on c.f not in (a.f, b.f)
+  join letter d on d.f not in (a.f, b.f, c.f) join letter e on e.f not in (a.f, b.f, c.f, d.f)
+),
+step as (select filter_order, applied, unnest([1, 2, 3, 4, 5]) as step from orders),
+met as (
+  select part, filter_order, s.step, applied[s.step] as f, c.n, c.good, c.toxic,
+         fails[applied[s.step]] as hit,
+         list_bool_or([false] || [fails[x] for x in applied[1:s.step - 1]]) as gone,
+         len([x for x in fails if x]) = 1 as single
+  from counted c, step s
+),
+rows as (
+  select part, filter_order, step, f,
+         coalesce(sum(n) filter (not gone and not hit), 0) as kept,
+         coalesce(sum(n) filter (not gone and hit), 0) as removed,
+         coalesce(sum(n) filter (gone and hit), 0) as redundant,
+         coalesce(sum(n) filter (hit and single), 0) as unique_fails,
+         coalesce(sum(good) filter (not gone and hit), 0) as good_lost,
+         coalesce(sum(toxic) filter (not gone and hit), 0) as toxic_lost
+  from met group by part, filter_order, step, f
+)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept,
+       cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from rows
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_spelling": _SPELLING,
+    "op13_filter_audit": _FILTER_AUDIT,
     "op8_secrets": _secrets_sql(),
     "op9_warc": _WARC,
     "op1_decontamination": _SHINGLES,

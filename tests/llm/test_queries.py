@@ -19,12 +19,13 @@ COLUMNS = {
     "op6_main_text": ["page_id", "url", "text", "n_chars"],
     "op7_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op10_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op11_language_model": "doc_id held_out n_tokens n_known train_tokens base_score score".split(),
 }
 
 
 def test_every_operator_is_registered():
     names = registered.queries()
-    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(COLUMNS) | set(ORACLE_SQL) == set(QUERIES)
 
 
