@@ -11,6 +11,7 @@ from labreports.operators.directory import (
     account_attributes,
     account_lookup,
     app_membership,
+    directory_with_keys,
     group_by_sid,
     primary_groups,
     with_primary_group_sid,
@@ -31,6 +32,7 @@ __all__ = [
     "account_attributes",
     "account_lookup",
     "app_membership",
+    "directory_with_keys",
     "environment_requisition_header",
     "group_by_sid",
     "jdbc_tables",

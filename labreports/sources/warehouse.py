@@ -81,11 +81,27 @@ SCHEMAS = {
 }
 
 
-def parquet_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """One parquet table per name under ``root``, read with its fixed schema."""
+#: Columns that a directory stored with its keys has besides.
+DIRECTORY_KEYS = {
+    "dir_user": "account_key string",
+    "dir_group": "sid string",
+    "dir_attribute_value": "app_key string",
+}
+
+
+def parquet_tables(
+    spark: SparkSession, root: str, directory_keys: bool = False
+) -> dict[str, DataFrame]:
+    """One parquet table per name under ``root``, read with its fixed schema.
+
+    ``directory_keys`` says that the directory was stored by ``directory_with_keys``.
+    """
+    schemas = dict(SCHEMAS)
+    if directory_keys:
+        schemas |= {name: f"{SCHEMAS[name]}, {key}" for name, key in DIRECTORY_KEYS.items()}
     return {
         name: spark.read.schema(schema).parquet(f"{root}/{name}")
-        for name, schema in SCHEMAS.items()
+        for name, schema in schemas.items()
     }
 
 

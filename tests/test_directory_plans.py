@@ -1,0 +1,129 @@
+"""One request reads one application, one group and one account, whatever the directory holds."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import labreports as lab
+from labreports.plans.scope import few_rows
+from labreports.sources.warehouse import SCHEMAS, parquet_tables
+
+TABLES = ("dir_user", "dir_group", "dir_attribute_value")
+
+
+@pytest.fixture(scope="module")
+def plain(spark, small_tables, tmp_path_factory):
+    root = tmp_path_factory.mktemp("directory")
+    for name in TABLES:
+        small_tables[name].write.parquet(f"{root}/{name}")
+    return {name: spark.read.parquet(f"{root}/{name}") for name in TABLES}
+
+
+@pytest.fixture(scope="module")
+def keyed(spark, plain, tmp_path_factory):
+    root = tmp_path_factory.mktemp("keyed")
+    for name, frame in lab.directory_with_keys(plain).items():
+        frame.write.parquet(f"{root}/{name}")
+    for name in set(SCHEMAS) - set(TABLES):
+        spark.createDataFrame([], SCHEMAS[name]).write.parquet(f"{root}/{name}")
+    return parquet_tables(spark, str(root), directory_keys=True)
+
+
+def optimized(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def physical(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def lines_below(text, node, wanted):
+    """Whether ``wanted`` stands below (after, and deeper than) the first ``node``."""
+    lines = text.split("\n")
+    at = next(k for k, line in enumerate(lines) if re.search(node, line))
+    return any(re.search(wanted, line) for line in lines[at + 1 :])
+
+
+@pytest.fixture
+def asked(spark, plain):
+    user = plain["dir_user"].orderBy("sam_account_name").first()
+    app = plain["dir_attribute_value"].orderBy("group_cn").first().group_cn
+    return {
+        "access": spark.createDataFrame([(user.sam_account_name, app)], "user_id string, app string"),
+        "member": spark.createDataFrame([(user.cn, app)], "cn string, app string"),
+        "names": spark.createDataFrame([(user.sam_account_name,)], "user_id string"),
+        "sids": lab.with_primary_group_sid(plain["dir_user"])
+        .selectExpr("primary_group_sid as sid")
+        .orderBy("sid")
+        .limit(1),
+    }
+
+
+REQUESTS = {
+    "access": lambda t, a: lab.access_report(t["dir_user"], t["dir_attribute_value"], a["access"]),
+    "member": lambda t, a: lab.app_membership(a["member"], t["dir_attribute_value"]),
+    "lookup": lambda t, a: lab.account_lookup(t["dir_user"], a["names"]),
+    "group": lambda t, a: lab.group_by_sid(t["dir_group"], a["sids"]),
+    "primary": lambda t, a: lab.primary_groups(t["dir_user"], t["dir_group"], a["names"]),
+}
+
+
+@pytest.mark.parametrize("name", ["access", "member"])
+def test_values_of_other_applications_are_left_out_before_the_distinct(plain, asked, name):
+    text = optimized(REQUESTS[name](plain, asked))
+    values = text[text.index("app_key", text.index("Join")) :]
+    assert lines_below(values, "Aggregate.*app_key", r"Filter.*lower\(group_cn")
+
+
+@pytest.mark.parametrize("name", ["access", "member"])
+def test_many_applications_narrow_the_values_by_a_semi_join(plain, asked, name, monkeypatch):
+    monkeypatch.setattr(few_rows, "__defaults__", (0,))
+    text = optimized(REQUESTS[name](plain, asked))
+    values = text[text.index("app_key", text.index("Join")) :]
+    assert lines_below(values, "Aggregate.*app_key", r"Join LeftSemi.*lower\(group_cn")
+
+
+def test_users_are_read_once_for_an_access_report(plain, asked):
+    assert len(re.findall("FileScan.*sam_account_name", physical(REQUESTS["access"](plain, asked)))) == 1
+
+
+def test_groups_are_narrowed_before_they_are_aggregated(plain, asked, monkeypatch):
+    assert lines_below(optimized(REQUESTS["group"](plain, asked)), "Aggregate.*matches", r"Filter.*object_sid")
+    monkeypatch.setattr(few_rows, "__defaults__", (0,))
+    assert lines_below(optimized(REQUESTS["group"](plain, asked)), "Aggregate.*matches", "Join LeftSemi")
+
+
+def test_all_primary_groups_read_each_table_once(plain):
+    text = physical(lab.primary_groups(plain["dir_user"], plain["dir_group"]))
+    assert text.count("FileScan") == 2 and "LeftSemi" not in text
+
+
+@pytest.mark.parametrize(
+    "name, key",
+    [("access", "account_key"), ("access", "app_key"), ("lookup", "account_key"), ("group", "sid")],
+)
+def test_stored_keys_reach_the_scan(keyed, asked, name, key):
+    text = physical(REQUESTS[name](keyed, asked))
+    assert re.search(rf"PushedFilters: .*(In|EqualTo)\({key},.*ReadSchema", text)
+
+
+@pytest.mark.parametrize("few", [None, 0])
+@pytest.mark.parametrize("name", REQUESTS)
+def test_all_ways_give_the_same_rows(plain, keyed, asked, name, few, monkeypatch):
+    expected = sorted(map(str, REQUESTS[name](plain, asked).collect()))
+    if few is not None:
+        monkeypatch.setattr(few_rows, "__defaults__", (few,))
+    for tables in (plain, keyed):
+        assert sorted(map(str, REQUESTS[name](tables, asked).collect())) == expected
+    assert expected
+
+
+def test_all_primary_groups_by_name_and_at_once(plain):
+    users, groups = plain["dir_user"], plain["dir_group"]
+    names = users.filter("object_class = 'user'").selectExpr("sam_account_name as user_id")
+    one_by_one = lab.primary_groups(users, groups, names)
+    assert sorted(map(str, lab.primary_groups(users, groups).collect())) == sorted(
+        map(str, one_by_one.collect())
+    )
