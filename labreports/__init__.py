@@ -24,6 +24,7 @@ from labreports.operators.headers import (
 from labreports.operators.history import status_history_messages
 from labreports.operators.orders import order_summary
 from labreports.operators.patients import patient_details, patient_search
+from labreports.operators.statistics import large_keys, patient_keys
 from labreports.operators.tubes import tube_summary, tubes_not_received
 from labreports.sources.warehouse import jdbc_tables, parquet_tables
 
@@ -36,10 +37,12 @@ __all__ = [
     "environment_requisition_header",
     "group_by_sid",
     "jdbc_tables",
+    "large_keys",
     "micro_test_details",
     "order_summary",
     "parquet_tables",
     "patient_details",
+    "patient_keys",
     "patient_search",
     "primary_groups",
     "report_group_details",

@@ -16,6 +16,7 @@ from labreports.plans.skew import (
     left_join_many,
     number_rows,
     sampled,
+    stored_values,
 )
 from labreports.sources.warehouse import Tables
 
@@ -144,19 +145,26 @@ def _with_patient_group(t: Tables, details: DataFrame, related: Related) -> Data
     )
 
 
-def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> LargeGroups:
-    """Requisitions that many details or many results belong to.
-
-    Results are counted by order, and only the large orders are looked up. An
-    order that is not found still has to pass the join.
-    """
+def requisition_sample(details: DataFrame, results: DataFrame) -> DataFrame:
+    """Sampled details by requisition, and sampled results by order."""
     by_detail = sampled(details, "lab_order_details_pk").select(
         "requisition_id", F.lit(None).cast("bigint").alias("order")
     )
     by_result = sampled(results, *_RESULT_IDENTITY).select(
         F.lit(None).cast("string").alias("requisition_id"), F.col("lab_order_fk").alias("order")
     )
-    found = large_values(by_detail.unionByName(by_result), "requisition_id", "order")
+    return by_detail.unionByName(by_result)
+
+
+def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> LargeGroups:
+    """Requisitions that many details or many results belong to.
+
+    Results are counted by order, and only the large orders are looked up. An
+    order that is not found still has to pass the join.
+    """
+    found = stored_values(t, "rows_of_requisition")
+    if found is None:
+        found = large_values(requisition_sample(details, results), "requisition_id", "order")
     requisition_of = {}
     orders = [order for _, order, _ in found if order is not None]
     if orders:

@@ -12,7 +12,7 @@ from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.headers import order_indicators
 from labreports.operators.tubes import tubes_not_received
 from labreports.plans.scope import Scope
-from labreports.plans.skew import LargeGroups, number_rows, sampled
+from labreports.plans.skew import LargeGroups, number_rows, sampled, stored_values
 from labreports.sources.warehouse import Tables
 
 _ROW = [
@@ -40,6 +40,12 @@ _ORDER = [
 ]
 
 
+def order_sample(orders: DataFrame, patients: DataFrame) -> DataFrame:
+    """Sampled orders by patient number."""
+    own = sampled(orders, "lab_order_pk").select("spectra_mrn_assc_fk")
+    return own.join(patients, "spectra_mrn_assc_fk").select("spectra_mrn")
+
+
 def order_summary(
     t: Tables,
     from_date: dt.date,
@@ -103,10 +109,7 @@ def order_summary(
         )
     )
     large = LargeGroups.of(
-        sampled(drawn, "lab_order_pk")
-        .select("spectra_mrn_assc_fk")
-        .join(patients, "spectra_mrn_assc_fk"),
-        "spectra_mrn",
+        order_sample(drawn, patients), "spectra_mrn", stored_values(t, "orders_of_patient")
     )
     rows = number_rows(rows, "spectra_mrn", _ORDER, "sl_no", large)
     rows = _with_requisition_count(rows, large)

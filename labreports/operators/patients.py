@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
-from labreports.functions.ordering import SortKey
-from labreports.plans.scope import Scope, few_rows, is_one_of
-from labreports.plans.skew import LargeGroups, group_total, number_rows, sampled
+from labreports.functions.ordering import SortKey, ascending
+from labreports.plans.scope import Scope, few_rows, is_one_of, narrow
+from labreports.plans.skew import LargeGroups, group_total, least_large, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
 # Accounts that make a facility's patients searchable.
@@ -26,6 +26,10 @@ _ACCOUNT_STATUSES = ["ACTIVE", "IN PROGRESS", "TRANSFERRED"]
 _DOB_FORMAT = "MMddyyyy"
 #: Letters of a name that searches are looked up by; the whole pattern is checked afterwards.
 _BLOCK = 3
+#: Letters that this many names hold are looked up in twos.
+COMMON = 1 << 20
+_KINDS = ("facility", "born", "start", "piece", "pair", "all")
+_BY_NAME = ("start", "piece")
 
 
 def name_pattern(name: Column) -> Column:
@@ -41,14 +45,20 @@ def name_pattern(name: Column) -> Column:
 
 
 def patient_search(
-    t: Tables, searches: DataFrame, sort_field: str | None = None, descending: bool = False
+    t: Tables,
+    searches: DataFrame,
+    sort_field: str | None = None,
+    descending: bool = False,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Patients that match each search, numbered in the order asked for.
 
     ``searches`` has ``search_id``, ``name``, ``facility_id`` and ``dob`` (text,
-    month, day and year as eight digits); an empty one does not filter.
+    month, day and year as eight digits); an empty one does not filter. ``keys``
+    is a stored ``patient_keys``; with it a search is looked up by its rarest key
+    and no sample is drawn unless a key is common.
     """
-    asked = _Searches(searches)
+    asked = _Searches(searches, t["dim_patient"], keys)
     matches = asked.matches(t["dim_patient"])
     last_labs = t["agg_patient_max_general_lab_mv"].join(
         t["dim_date"].withColumnRenamed("date_pk", "collection_date_fk"), "collection_date_fk"
@@ -86,38 +96,62 @@ def patient_search(
             "mrn_number": F.col("spectra_mrn").cast("bigint"),
         }
     )
-    large = LargeGroups.of(asked.matches(sampled(t["dim_patient"], "patient_pk")), "search_id")
-    rows, keys = _with_sort_keys(rows, sort_field, descending)
-    rows = number_rows(rows, "search_id", keys, "sl_no", large)
+    large = asked.large_groups(t["dim_patient"])
+    rows, order = _with_sort_keys(rows, sort_field, descending)
+    shown = [c for c in _SEARCH_COLUMNS if c != "spectra_mrn"]
+    # Rows that tie in the whole order agree in all columns that are shown.
+    used = [key.column for key in order]
+    order = [*order, *ascending(*[c for c in ["mrn_number", *shown] if c not in used])]
+    rows = rows.select("search_id", *[key.column for key in order], "spectra_mrn")
+    rows = number_rows(rows, "search_id", order, "sl_no", large)
     rows = group_total(rows, ["search_id"], F.count("spectra_mrn"), "total_entity_cnt", large)
-    return rows.select(
-        "search_id",
-        "sl_no",
-        "total_entity_cnt",
-        "corp_name",
-        "facility_name",
-        "facility_id",
-        "fmc_number",
-        "full_name",
-        "dob",
-        "gender",
-        "last_general_lab_date",
-        "modality",
-        F.col("mrn_number").alias("spectra_mrn"),
-        "external_mrn",
-        "physician_name",
-        "lab",
-        "patient_type",
-        "facility_fk",
-    )
+    rows = rows.withColumn("spectra_mrn", F.col("mrn_number"))
+    return rows.select("search_id", "sl_no", "total_entity_cnt", *_SEARCH_COLUMNS)
+
+
+_SEARCH_COLUMNS = [
+    "corp_name",
+    "facility_name",
+    "facility_id",
+    "fmc_number",
+    "full_name",
+    "dob",
+    "gender",
+    "last_general_lab_date",
+    "modality",
+    "spectra_mrn",
+    "external_mrn",
+    "physician_name",
+    "lab",
+    "patient_type",
+    "facility_fk",
+]
+
+
+def name_start() -> Column:
+    """The first letters of ``upper_name``."""
+    return F.substring("upper_name", 1, _BLOCK)
+
+
+def name_pieces() -> Column:
+    """All groups of three letters in a row that ``upper_name`` holds; null if it is shorter."""
+    letters = F.sequence(F.lit(1), F.length("upper_name") - (_BLOCK - 1))
+    pieces = F.transform(letters, lambda at: F.substr("upper_name", at, F.lit(_BLOCK)))
+    return F.when(F.length("upper_name") >= _BLOCK, F.array_distinct(pieces))
 
 
 def _terms(searches: DataFrame) -> DataFrame:
-    """Each search with what it filters by, and the one key that it looks patients up by: the
-    facility, the birth date, the start of the name, or else three letters that the name holds.
-    Only a search with none of these has to meet every patient."""
+    """Each search with what it filters by, and the key that it looks patients up by: the facility,
+    the birth date, the start of the name, or else three letters that the name holds, of which the
+    rarest are chosen later. Only a search with none of these has to meet every patient."""
     pattern = name_pattern(F.col("name"))
     dob_text = F.when(F.length("dob") > 0, F.col("dob"))
+    runs = F.regexp_extract_all("pattern", F.lit(f"[^%_]{{{_BLOCK},}}"), F.lit(0))
+
+    def pieces_of(run: Column) -> Column:
+        places = F.sequence(F.lit(1), F.length(run) - (_BLOCK - 1))
+        return F.transform(places, lambda at: F.substr(run, at, F.lit(_BLOCK)))
+
     terms = searches.select(
         "search_id",
         pattern.alias("pattern"),
@@ -128,18 +162,16 @@ def _terms(searches: DataFrame) -> DataFrame:
         {
             "start": F.regexp_extract("pattern", "^[^%_]*", 0),
             "plain": F.col("pattern").rlike("^[^%_]*%$"),
+            "pieces": F.array_distinct(F.flatten(F.transform(runs, pieces_of))),
             "filtered": F.coalesce("pattern", "dob_text").isNotNull()
             | F.col("at_facility").isNotNull(),
         }
     )
-    runs = F.regexp_extract_all("pattern", F.lit(f"[^%_]{{{_BLOCK},}}"), F.lit(0))
-    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run), run.alias("run"))))
-    terms = terms.withColumn("piece", F.substring(longest["run"], 1, _BLOCK))
     by = (
         F.when(F.col("at_facility").isNotNull(), "facility")
         .when(F.col("dob_text").isNotNull(), "born")
         .when(F.length("start") >= _BLOCK, "start")
-        .when(F.col("piece").isNotNull(), "piece")
+        .when(F.size("pieces") > 0, "piece")
         .otherwise("all")
     )
     terms = terms.withColumn("by", by)
@@ -148,22 +180,98 @@ def _terms(searches: DataFrame) -> DataFrame:
         F.when(F.col("by") == "facility", F.col("at_facility").cast("string"))
         .when(F.col("by") == "born", F.col("born").cast("string"))
         .when(F.col("by") == "start", F.substring("start", 1, _BLOCK))
-        .when(F.col("by") == "piece", F.col("piece"))
-        .otherwise(""),
+        .when(F.col("by") == "all", ""),
     )
 
 
 class _Searches:
-    """The searches of a call, and which kinds of key they use if they are few."""
+    """The searches of a call with the key that each looks patients up by.
+
+    A search for letters inside a name takes the rarest three of its pattern: how many names hold
+    them is counted for the letters asked for, or read from the stored ``keys``. If even those are
+    common, it takes the two rarest at once. With stored keys, so does a search whose first letters
+    are common. Searches without a key are dealt in copies against as many splits of the patients,
+    so that no task meets all of them.
+    """
 
-    kinds = ("facility", "born", "start", "piece", "all")
+    def __init__(self, searches: DataFrame, patients: DataFrame, keys: DataFrame | None):
+        terms = _terms(searches)
+        self._spark, self._keys = searches.sparkSession, keys
+        few = few_rows(terms.select("by", "value", "at_facility", "born", "pattern", "pieces"))
+        self._few, self._pairs = few, []
+        if few is None:
+            self.terms = self._with_rarest(terms, patients)
+            kinds = ("facility", "born", "start", "piece", "all")
+        else:
+            chosen = self._chosen(few, patients)
+            self.terms = self._with_chosen(terms, chosen)
+            used = {chosen.get(row.pattern, (row.by,))[0] if row.by in _BY_NAME else row.by for row in few}
+            kinds = tuple(kind for kind in (*_KINDS,) if kind in used)
+        self.kinds = kinds or ("all",)
 
-    def __init__(self, searches: DataFrame):
-        self.terms = _terms(searches)
-        few = few_rows(self.terms.select("by", "at_facility", "born"))
-        self._few = few
-        if few is not None:
-            self.kinds = tuple(kind for kind in self.kinds if any(row.by == kind for row in few))
+    def _counts(self, patients: DataFrame, pieces: DataFrame) -> DataFrame:
+        """``by, value, n`` for the pieces asked for."""
+        if self._keys is not None:
+            return self._keys
+        names = patients.select(F.upper("full_name").alias("upper_name"))
+        held = narrow(
+            names.select(F.explode(name_pieces()).alias("value")), F.col("value"), pieces
+        )
+        counted = held.groupBy("value").agg(F.count("*").alias("n"))
+        return counted.select(F.lit("piece").alias("by"), "value", "n")
+
+    def _with_rarest(self, terms: DataFrame, patients: DataFrame) -> DataFrame:
+        """Of very many searches, each pattern takes its rarest piece."""
+        asked = terms.filter(F.col("by") == "piece").select("pattern", "pieces").distinct()
+        pieces = asked.select("pattern", F.explode("pieces").alias("value"))
+        counts = self._counts(patients, pieces.select("value").distinct())
+        counts = counts.filter(F.col("by") == "piece").select("value", "n")
+        rarest = (
+            pieces.join(counts, "value", "left")
+            .groupBy("pattern")
+            .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "value"))["value"].alias("rarest"))
+        )
+        joined = terms.join(rarest, "pattern", "left")
+        return joined.withColumn("value", F.when(F.col("by") == "piece", F.col("rarest")).otherwise(F.col("value")))
+
+    def _chosen(self, few: list, patients: DataFrame) -> dict[str, tuple[str, str]]:
+        """Kind and value of the key of each pattern that has no other than letters of the name."""
+        by_name = [row for row in few if row.by == "piece" or self._keys is not None and row.by == "start"]
+        pieces = {piece for row in by_name for piece in row.pieces}
+        if not by_name:
+            return {}
+        if len(pieces) == 1 and self._keys is None:
+            return {row.pattern: ("piece", *pieces) for row in by_name}
+        asked = self._spark.createDataFrame([(piece,) for piece in sorted(pieces)], "value string")
+        starts = sorted({row.value for row in by_name if row.by == "start"})
+        counts = self._counts(patients, asked)
+        wanted = is_one_of(F.col("value"), [*pieces, *starts]) & F.col("by").isin("piece", "start")
+        found = {(row.by, row.value): row.n for row in counts.filter(wanted).collect()}
+        chosen = {}
+        for row in by_name:
+            rarest = sorted((found.get(("piece", piece), 0), piece) for piece in row.pieces)
+            if row.by == "start" and found.get(("start", row.value), 0) < max(COMMON, rarest[0][0] + 1):
+                chosen[row.pattern] = ("start", row.value)
+            elif rarest[0][0] >= COMMON and len(rarest) > 1:
+                pair = sorted(piece for _, piece in rarest[:2])
+                chosen[row.pattern] = ("pair", "".join(pair))
+                self._pairs += pair
+            else:
+                chosen[row.pattern] = ("piece", rarest[0][1])
+        return chosen
+
+    def _with_chosen(self, terms: DataFrame, chosen: dict[str, tuple[str, str]]) -> DataFrame:
+        if not chosen:
+            return terms
+        rows = [(pattern, by, value) for pattern, (by, value) in chosen.items()]
+        table = self._spark.createDataFrame(rows, "pattern string, chosen_by string, chosen string")
+        named = F.col("by").isin(*_BY_NAME) & F.col("chosen_by").isNotNull()
+        return (
+            terms.join(table, "pattern", "left")
+            .withColumn("value", F.when(named, F.col("chosen")).otherwise(F.col("value")))
+            .withColumn("by", F.when(named, F.col("chosen_by")).otherwise(F.col("by")))
+            .drop("chosen", "chosen_by")
+        )
 
     def _narrowed(self, patients: DataFrame, kind: str) -> DataFrame:
         """Few facilities or birth dates reach the scan."""
@@ -175,20 +283,41 @@ class _Searches:
             )
         return patients.filter(is_one_of(F.col("dob"), [row.born for row in self._few]))
 
+    def _value(self, kind: str) -> Column:
+        """What a patient is found by; several values are several rows."""
+        if kind == "pair":
+            # Both pieces are common, so few pieces make pairs; each pair is written once.
+            asked = F.array(*map(F.lit, sorted(set(self._pairs))))
+            held = F.array_sort(F.array_intersect(F.coalesce(name_pieces(), F.array().cast("array<string>")), asked))
+            return F.explode(
+                F.flatten(
+                    F.transform(
+                        held,
+                        lambda a: F.transform(F.filter(held, lambda b: b > a), lambda b: F.concat(a, b)),
+                    )
+                )
+            )
+        return {
+            "facility": F.col("facility_fk").cast("string"),
+            "born": F.col("dob").cast("string"),
+            "start": name_start(),
+            "piece": F.explode(name_pieces()),
+            "all": F.pmod(F.xxhash64("patient_pk"), F.lit(self._splits())).cast("string"),
+        }[kind]
+
+    def _splits(self) -> int:
+        return int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _of_kind(self, kind: str) -> DataFrame:
+        terms = self.terms.filter(F.col("by") == kind)
+        if kind == "all":
+            splits = F.sequence(F.lit(0), F.lit(self._splits() - 1)).cast("array<string>")
+            return terms.withColumn("value", F.explode(splits))
+        return terms
+
     def matches(self, patients: DataFrame) -> DataFrame:
         """Pairs of search and patient that agree on name, facility and birth date."""
         named = patients.withColumn("upper_name", F.upper("full_name"))
-        letters = F.sequence(F.lit(1), F.length("upper_name") - (_BLOCK - 1))
-        pieces = F.array_distinct(
-            F.transform(letters, lambda at: F.substr("upper_name", at, F.lit(_BLOCK)))
-        )
-        value = {
-            "facility": F.col("facility_fk").cast("string"),
-            "born": F.col("dob").cast("string"),
-            "start": F.substring("upper_name", 1, _BLOCK),
-            "piece": F.explode(F.when(F.length("upper_name") >= _BLOCK, pieces)),
-            "all": F.lit(""),
-        }
         like = F.when(F.col("plain"), F.startswith("upper_name", "start")).otherwise(
             F.like("upper_name", F.replace("pattern", F.lit("\\"), F.lit("\\\\")))
         )
@@ -199,13 +328,24 @@ class _Searches:
         )
         found = [
             self._narrowed(named, kind)
-            .withColumn("value", value[kind])
-            .join(self.terms.filter(F.col("by") == kind), "value")
+            .withColumn("value", self._value(kind))
+            .join(self._of_kind(kind), "value")
             .filter(agree)
-            for kind in self.kinds or ("all",)
+            for kind in self.kinds
         ]
         return reduce(DataFrame.unionByName, found)
 
+    def large_groups(self, patients: DataFrame) -> LargeGroups:
+        """Searches with very many matches. Stored keys show that a search has fewer rows than that."""
+        if self._keys is not None:
+            large = F.coalesce("n", F.lit(0)) >= least_large(self._spark)
+            asked = self.terms.select("by", "value").distinct()
+            held = asked.join(self._keys, ["by", "value"], "left")
+            # Without a key, or with two common ones, a search may match very many patients.
+            if not held.filter(large | F.col("by").isin("pair", "all")).limit(1).count():
+                return LargeGroups(self._spark, "search_id", [])
+        return LargeGroups.of(self.matches(sampled(patients, "patient_pk")), "search_id")
+
 
 def _with_sort_keys(
     rows: DataFrame, sort_field: str | None, descending: bool

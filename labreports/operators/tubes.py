@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import ascending
 from labreports.plans.scope import requisition_scope
-from labreports.plans.skew import LargeGroups, left_join_many, number_rows, sampled
+from labreports.plans.skew import (
+    LargeGroups,
+    left_join_many,
+    number_rows,
+    sampled,
+    stored_values,
+)
 from labreports.sources.warehouse import Tables
 
 # Categories left out. A null category is left out as well.
@@ -24,6 +30,10 @@ def _count_of(*statuses: str):
     return F.sum(F.when(F.col("clinical_status").isin(*statuses), 1).otherwise(0))
 
 
+def detail_sample(details: DataFrame) -> DataFrame:
+    return sampled(details, "lab_order_details_pk").select("requisition_id")
+
+
 def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     """One row per accession and container of a requisition, in accession order."""
     scope = requisition_scope(requisitions)
@@ -54,7 +64,9 @@ def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
         .groupBy(*_ACCESSION)
         .agg(F.max("order_test_name").alias("condition"))
     )
-    large = LargeGroups.of(sampled(details, "lab_order_details_pk"), "requisition_id")
+    large = LargeGroups.of(
+        detail_sample(details), "requisition_id", stored_values(t, "details_of_requisition")
+    )
     rows = left_join_many(accessions, containers, _ACCESSION, large)
     rows = rows.join(conditions, _ACCESSION, "left")
     order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")

@@ -16,12 +16,14 @@ shows whether any group is too large for one task; if so:
 Both ways give the same rows, as long as rows that tie in the sort order agree in
 all columns. The sample is drawn by a hash of the rows' own values, so it does not
 depend on how a table is laid out in files, and what it found for a table is
-remembered for later calls in the session.
+remembered for later calls in the session. A caller may also take it once, store
+it (``large_keys``) and add it to the tables; then no sample is drawn.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,6 +37,8 @@ SAMPLE_EVERY = 1 << 18
 SEEN = 3
 #: About this many slices are cut from a large group.
 SLICES = 256
+#: Sort keys that a cut holds in any case.
+LEADING = 4
 #: Copies of one row that one task writes out.
 COPIES_PER_PIECE = 1_000_000
 #: Large groups that are split at most, the largest first.
@@ -45,6 +49,11 @@ def _sample_every(spark: SparkSession) -> int:
     return int(spark.conf.get(SAMPLE_EVERY_CONF, str(SAMPLE_EVERY)))
 
 
+def least_large(spark: SparkSession) -> int:
+    """About as many rows as the smallest group has that a sample calls large."""
+    return SEEN * _sample_every(spark)
+
+
 def sampled(rows: DataFrame, *identity: str) -> DataFrame:
     """One row in ``sampleEvery``, by a hash of the columns that tell rows apart (default: all)."""
     every = _sample_every(rows.sparkSession)
@@ -72,6 +81,33 @@ def large_values(sample: DataFrame, *keys: str) -> list[tuple]:
     return _found[known]
 
 
+#: The table of stored findings, if the caller's tables hold one (``large_keys``), and its columns.
+LARGE_KEYS = "large_keys"
+LARGE_KEYS_SCHEMA = "statistic string, key string, order bigint, n bigint"
+
+
+def stored_values(t: Mapping[str, DataFrame], statistic: str) -> list[tuple] | None:
+    """What a stored table lists under ``statistic``, as key, order and rows; None without a table."""
+    table = t.get(LARGE_KEYS)
+    if table is None:
+        return None
+    rows = table.filter(F.col("statistic") == statistic).limit(2 * MOST).collect()
+    return [(row["key"], row["order"], row["n"]) for row in rows]
+
+
+def as_stored(sample: DataFrame, statistic: str, key: str, order: str | None = None) -> DataFrame:
+    """The rows of a stored table that ``large_values`` would find in ``sample``."""
+    columns = [key] if order is None else [key, order]
+    counts = sample.groupBy(*columns).count().filter(F.col("count") >= SEEN)
+    every = _sample_every(sample.sparkSession)
+    return counts.orderBy(F.desc("count"), *columns).limit(MOST).select(
+        F.lit(statistic).alias("statistic"),
+        F.col(key).cast("string").alias("key"),
+        (F.lit(None) if order is None else F.col(order)).cast("bigint").alias("order"),
+        (F.col("count") * every).cast("bigint").alias("n"),
+    )
+
+
 class LargeGroups:
     """Groups of ``key`` too large for one task, with their estimated row counts.
 
@@ -92,8 +128,13 @@ class LargeGroups:
         self._spark = spark
 
     @classmethod
-    def of(cls, sample: DataFrame, key: str) -> LargeGroups:
-        return cls(sample.sparkSession, key, large_values(sample, key))
+    def of(cls, sample: DataFrame, key: str, stored: list[tuple] | None = None) -> LargeGroups:
+        """From a stored statistic if there is one, else from the sample."""
+        if stored is None:
+            found = large_values(sample, key)
+        else:
+            found = [(value, n) for value, _, n in stored]
+        return cls(sample.sparkSession, key, found)
 
     def frame(self) -> DataFrame:
         return self._spark.createDataFrame(self._table)
@@ -177,7 +218,12 @@ def _one_row_per_copy(numbered: DataFrame, columns: list[str], name: str) -> Dat
 
 
 def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups) -> DataFrame:
-    """Give each row of a large group its slice along the sort order; other groups stay whole."""
+    """Give each row of a large group its slice along the sort order; other groups stay whole.
+
+    Slices end at sampled rows. A cut holds the leading sort keys only, and all keys just where
+    sampled rows agree in the leading ones, so that long texts behind them rarely travel. The slice of
+    a row is found by halving, so it takes about eight comparisons.
+    """
     place = F.struct(*[F.col(k.column) for k in keys])
     placed = rows.withColumn("_place", place)
     every = F.greatest(F.col("_rows") / SLICES, F.lit(1)).cast("bigint")
@@ -185,17 +231,70 @@ def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups
         placed.join(large.frame(), group)
         .filter(F.pmod(F.xxhash64("_place"), every) == 0)
         .groupBy(group)
-        .agg(F.collect_set("_place").alias("_cuts"))
+        .agg(F.collect_set("_place").alias("_places"))
+        .select(group, _ordered(F.col("_places"), keys).alias("_ordered"))
+        .select(group, _cuts(F.col("_ordered"), keys).alias("_cuts"))
     )
-    passed = F.filter("_cuts", lambda cut: _before(cut, F.col("_place"), keys))
     return (
         placed.join(cuts, group, "left")
         .withColumn("_in_large_group", F.col("_cuts").isNotNull())
-        .withColumn("_slice", F.when(F.col("_in_large_group"), F.size(passed)).otherwise(0))
+        .withColumn(
+            "_slice",
+            F.when(F.col("_in_large_group"), _passed(F.col("_cuts"), F.col("_place"), keys)).otherwise(0),
+        )
         .drop("_cuts", "_place")
     )
 
 
+def _ordered(places: Column, keys: list[SortKey]) -> Column:
+    def compared(a: Column, b: Column) -> Column:
+        return F.when(_before(a, b, keys), -1).when(_before(b, a, keys), 1).otherwise(0)
+
+    return F.array_sort(places, compared)
+
+
+def _cuts(ordered: Column, keys: list[SortKey]) -> Column:
+    """Sampled places in their order, as their leading keys and, where those tie, all keys."""
+
+    def leading(place: Column) -> Column:
+        return F.struct(*[place[key.column].alias(key.column) for key in keys[:LEADING]])
+
+    def cut(place: Column, at: Column) -> Column:
+        own = leading(place)
+        ties = own.eqNullSafe(leading(F.get(ordered, at - 1))) & (at > 0)
+        ties = ties | (own.eqNullSafe(leading(F.get(ordered, at + 1))) & (at + 1 < F.size(ordered)))
+        return F.struct(own.alias("lead"), F.when(ties, place).alias("all"))
+
+    return F.transform(ordered, cut)
+
+
+def _passed(cuts: Column, place: Column, keys: list[SortKey]) -> Column:
+    """How many of the sorted cuts stand before a place, by halving the range that is left."""
+    lead = keys[:LEADING]
+
+    def stands_before(cut: Column) -> Column:
+        return _before(cut["lead"], place, lead) | (
+            _same(cut["lead"], place, lead)
+            & F.coalesce(_before(cut["all"], place, keys), F.lit(False))
+            & cut["all"].isNotNull()
+        )
+
+    def halved(low: Column, step: Column) -> Column:
+        fits = low + step <= F.size(cuts)
+        return F.when(fits & stands_before(F.get(cuts, low + step - 1)), low + step).otherwise(low)
+
+    # Cuts are sampled, so there may be more than SLICES; twice eight steps find any of 65,535.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(16))])
+    return F.aggregate(F.filter(steps, lambda step: step <= F.size(cuts)), F.lit(0), halved)
+
+
+def _same(a: Column, b: Column, keys: list[SortKey]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same = same & a[key.column].eqNullSafe(b[key.column])
+    return same
+
+
 def _before(a: Column, b: Column, keys: list[SortKey]) -> Column:
     """Whether place ``a`` sorts strictly before place ``b``."""
     before = F.lit(False)

@@ -104,3 +104,45 @@ def test_large_groups_are_found_in_a_sample(spark, rows):
 
 def test_ordinary_groups_are_not_found(rows):
     assert not LargeGroups.of(sampled(rows), "grp").any
+
+
+def test_cuts_are_passed_by_halving(spark):
+    """The slice of a row is the number of cuts before it, as plain counting gives it."""
+    from labreports.plans.skew import _before, _cuts, _ordered, _passed
+
+    keys = [SortKey("a", descending=True), SortKey("b"), SortKey("c"), SortKey("d"), SortKey("e")]
+    frame = spark.range(400).select(
+        F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("a"),
+        F.lit("x").alias("b"),
+        F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("c"),
+        F.lit(1).alias("d"),
+        F.concat(F.lit("t"), F.col("id") * 37 % 400).alias("e"),
+    )
+    place = F.struct(*[F.col(k.column) for k in keys])
+    places = frame.filter("length(e) = 3").agg(F.collect_set(place).alias("places"))
+    cuts = places.select("places", _ordered(F.col("places"), keys).alias("ordered")).select(
+        "places", "ordered", _cuts(F.col("ordered"), keys).alias("cuts")
+    )
+    joined = frame.withColumn("place", place).crossJoin(F.broadcast(cuts))
+    counted = F.size(F.filter("places", lambda cut: _before(cut, F.col("place"), keys)))
+    rows = joined.select(
+        _passed(F.col("cuts"), F.col("place"), keys).alias("halved"), counted.alias("counted"), "cuts"
+    ).collect()
+    assert len(rows) == 400 and all(r.halved == r.counted for r in rows)
+    assert len({r.halved for r in rows}) > 50
+    assert all(cut["all"] is not None for cut in rows[0].cuts)  # leading keys tie everywhere here
+
+
+def test_cuts_hold_later_keys_only_where_leading_ones_tie(spark):
+    from labreports.plans.skew import _cuts, _ordered
+
+    keys = [SortKey(name) for name in "abcde"]
+    frame = spark.createDataFrame(
+        [(1, 0, 0, 0, "long"), (2, 0, 0, 0, "first"), (2, 0, 0, 0, "second"), (None, 0, 0, 0, "last")],
+        "a int, b int, c int, d int, e string",
+    )
+    places = frame.agg(F.collect_set(F.struct(*"abcde")).alias("places"))
+    ordered = places.select(_ordered(F.col("places"), keys).alias("ordered"))
+    cuts = ordered.select(_cuts(F.col("ordered"), keys).alias("cuts")).first().cuts
+    assert [cut["lead"]["a"] for cut in cuts] == [1, 2, 2, None]
+    assert [cut["all"] and cut["all"]["e"] for cut in cuts] == [None, "first", "second", None]

@@ -1,0 +1,60 @@
+"""A stored statistic of large keys takes the place of the samples that reports draw."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+
+import labreports as lab
+from labreports.operators import details
+from labreports.plans import skew
+from labreports.plans.skew import LARGE_KEYS_SCHEMA, SAMPLE_EVERY_CONF
+
+DAYS = (dt.date(1995, 1, 1), dt.date(2001, 8, 1))
+REPORTS = {
+    "tubes": lab.tube_summary,
+    "micro": lab.micro_test_details,
+    "orders": lambda t: lab.order_summary(t, *DAYS),
+}
+
+
+@pytest.fixture(scope="module")
+def stored(spark, small_tables):
+    """Taken by a sample so dense that many keys look large."""
+    spark.conf.set(SAMPLE_EVERY_CONF, "2")
+    try:
+        rows = lab.large_keys(small_tables).collect()
+    finally:
+        spark.conf.unset(SAMPLE_EVERY_CONF)
+    return spark.createDataFrame(rows, LARGE_KEYS_SCHEMA)
+
+
+def test_it_lists_what_the_reports_would_find(spark, small_tables, stored):
+    names = {r.statistic for r in stored.collect()}
+    assert names == {"rows_of_requisition", "details_of_requisition", "orders_of_patient"}
+    spark.conf.set(SAMPLE_EVERY_CONF, "2")
+    try:
+        sample = details.requisition_sample(small_tables["dim_lab_order_details"], small_tables["results"])
+        found = skew.large_values(sample, "requisition_id", "order")
+    finally:
+        spark.conf.unset(SAMPLE_EVERY_CONF)
+    known = skew.stored_values({"large_keys": stored}, "rows_of_requisition")
+    assert set(known) == set(found)
+    assert skew.stored_values({}, "rows_of_requisition") is None
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_no_sample_is_drawn_and_the_rows_are_the_same(small_tables, stored, name, monkeypatch):
+    plain = sorted(map(str, REPORTS[name](small_tables).collect()))
+
+    def refuse(*_):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(skew, "large_values", refuse)
+    monkeypatch.setattr(details, "large_values", refuse)
+    split = REPORTS[name]({**small_tables, "large_keys": stored})
+    assert "_slice" in split._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(str, split.collect())) == plain
+    nothing = stored.limit(0)
+    assert sorted(map(str, REPORTS[name]({**small_tables, "large_keys": nothing}).collect())) == plain
