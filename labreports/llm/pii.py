@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -226,9 +227,11 @@ def _examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, float), np.array(labels, float)
 
 
+@lru_cache(maxsize=4)
 def fit_pii(examples: int = 4_000, precision: float = 0.995, seed: int = 5) -> PiiModel:
     """Boosted trees and a threshold for each kind: the lowest at which the wanted share of the
-    selected held-out examples is personal data. Both sets are bounded by ``examples``."""
+    selected held-out examples is personal data. Both sets are bounded by ``examples``. A session fits
+    once for each set of arguments."""
     x, y = _examples(examples, seed)
     trees = fit_boosted(x, y)
     held, truth = _examples(examples // 2, seed + 1)
@@ -249,11 +252,14 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: PiiModel) ->
         return []
     odds = model.trees.predict(np.array([features(text, *span) for span in proposed], float))
     over = odds - np.array([model.thresholds[kind] for kind, _, _ in proposed])
-    taken, added = sorted((s, e) for _, s, e in base), []
+    # One byte for each place of the text says whether a span covers it.
+    covered, added = bytearray(len(text)), []
+    for _, start, end in base:
+        covered[start:end] = b"\1" * (end - start)
     for at in np.argsort(-over, kind="stable"):
         kind, start, end = proposed[at]
-        if over[at] >= 0 and all(end <= s or e <= start for s, e in taken):
-            taken.append((start, end))
+        if over[at] >= 0 and covered.find(1, start, end) < 0:
+            covered[start:end] = b"\1" * (end - start)
             added.append((kind, start, end))
     return added
 
@@ -265,8 +271,9 @@ def personal_data(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """Add ``spans`` to every row: kind, start, end (code points, exclusive) and whether it is a base
     span, by kind in the order of KINDS and then by start.
 
-    Null text counts as empty and has none. Rows are handled by themselves without a shuffle, so
-    repeated rows get equal spans and an empty table gives no rows. A column ``spans`` is replaced.
+    Null text counts as empty and has none. Long texts are taken whole, in time that grows with the
+    text and its candidates. Rows are handled by themselves without a shuffle, so repeated rows get
+    equal spans and an empty table gives no rows. A column ``spans`` is replaced.
     """
     model = model or fit_pii()
 

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -38,6 +40,45 @@ def test_long_runs_take_linear_time(text, model):
     added_spans(text, base_spans(text), model)
 
 
+@pytest.mark.parametrize("text", ["555 123 4567, ", "a.b [at] c.org "])
+def test_many_candidates_take_linear_time(text, model):
+    long = text * 50_000
+    start = time.process_time()
+    found = added_spans(long, base_spans(long), model)
+    assert len(found) == 50_000 and time.process_time() - start < 60
+
+
+def test_no_added_span_overlaps_another(model):
+    chance = random.Random(3)
+    parts = ["555 123 4567", "+1 314 555 6532", "1.2.3.4", "4111111111111111", "x@y.org", "a [at] b [dot] com", " ", ". ", "1"]
+    for _ in range(300):
+        text = "".join(chance.choice(parts) for _ in range(chance.randrange(1, 30)))
+        base = base_spans(text)
+        spans = added_spans(text, base, model)
+        for k, (_, start, end) in enumerate(spans):
+            others = [(s, e) for _, s, e in base] + [(s, e) for _, s, e in spans[:k]]
+            assert start < end and all(end <= s or e <= start for s, e in others)
+
+
+def test_the_query_against_the_plain_patterns(spark):
+    from labreports.llm.queries import QUERIES
+    from tests.conftest import SMALL
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = QUERIES["op7_pii"](spark, SMALL).collect()
+    assert len(rows) == len(texts) and any(r.n_email for r in rows)
+    for row in rows:
+        base = sorted(plain(texts[row.doc_id]))
+        counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == counts
+        named = [f"{KINDS[k]}:{s}:{e}" for k, s, e in base]
+        assert row.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        spans = row.spans.split(",") if row.spans else []
+        assert set(named) <= set(spans)
+        key = [(KINDS.index(kind), int(s)) for kind, s, _ in (span.split(":") for span in spans)]
+        assert key == sorted(key)
+
+
 @pytest.mark.parametrize("text, kind, span", [
     ("call me at 555 123 4567 now", "phone", "555 123 4567"),
     ("mail john.doe [at] example [dot] com please", "email", "john.doe [at] example [dot] com"),
