@@ -12,7 +12,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -34,8 +34,8 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page_id: object) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{kind}:{page_id}')}>"
+def record_id(kind: str, name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{kind}:{name}')}>"
 
 
 def _record(headers: list[tuple[str, str]], block: str) -> str:
@@ -54,7 +54,8 @@ def capture_records(page_id: object, url: str | None, payload: str, refers_to: o
     target, size = _line(url), len(payload.encode("utf-8"))
     digest = f"sha1:{payload_digest(payload.encode('utf-8'))}"
     kind = "response" if refers_to is None else "revisit"
-    known = page_id if page_id is not None else f"{target} {digest}"
+    # A page may be captured in several versions, so its id alone doesn't name a capture.
+    known = f"{page_id if page_id is not None else target} {digest}"
     main = record_id("capture", known)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}{_END}"
     headers = [
@@ -68,7 +69,7 @@ def capture_records(page_id: object, url: str | None, payload: str, refers_to: o
     if refers_to is not None:
         headers += [
             ("WARC-Profile", _REVISIT_PROFILE),
-            ("WARC-Refers-To", record_id("capture", refers_to)),
+            ("WARC-Refers-To", record_id("capture", f"{refers_to} {digest}")),
             ("WARC-Refers-To-Page-ID", _line(str(refers_to))),
             ("WARC-Payload-Length", str(size)),
         ]
@@ -118,54 +119,104 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write_archives(
+    pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = 64 << 20
+) -> None:
     """Write one capture for each row of ``pages`` (``page_id, url, html``) to archives below
     ``path``, which every executor can reach. Spark's text writer ends each record with the two
-    line breaks of the format; an archive is gzipped and bounded by its number of records."""
+    line breaks of the format and gzips an archive. A task begins another archive once one holds
+    ``archive_bytes`` before compression, so an archive is longer by one capture at most."""
     captures = with_revisits(pages, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = zip(*(column.to_pylist() for column in batch.slice(at, 512).columns))
-                value = pa.array([_END.join(capture_records(*row)) for row in rows], pa.string())
-                yield pa.RecordBatch.from_arrays([value], ["value"])
-
-    captures.mapInArrow(run, "value string").write.option("lineSep", _END).option(
-        "maxRecordsPerFile", 4096
-    ).option("compression", "gzip").text(path)
-
-
-def archive_bytes(data: bytes) -> bytes:
-    """The records of an archive: gzipped as a whole, record by record, or not at all."""
-    out = []
+            for at in range(0, batch.num_rows, 256):
+                values, places = [], []
+                for row in zip(*(column.to_pylist() for column in batch.slice(at, 256).columns)):
+                    values.append(_END.join(capture_records(*row)))
+                    places.append(archive)
+                    held += len(values[-1])
+                    if held >= archive_bytes:
+                        archive, held = archive + 1, 0
+                columns = [pa.array(values, pa.string()), pa.array(places, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["value", "archive"])
+
+    records = captures.mapInArrow(run, "value string, archive int")
+    writer = records.write.partitionBy("archive").option("lineSep", _END)
+    writer.option("compression", "gzip").text(path)
+
+
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an archive, some at a time: gzipped as a whole, record by record, or not."""
     while data[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        if not member.eof:
-            raise ValueError("cut gzip archive")
-        data = member.unused_data
-    return b"".join([*out, data])
+        while not member.eof:
+            part = member.decompress(data, step)
+            data = member.unused_data if member.eof else member.unconsumed_tail
+            if not part and not member.eof and not data:
+                raise ValueError("cut gzip archive")
+            yield part
+    for at in range(0, len(data), step):
+        yield data[at : at + step]
 
 
 _HEADER = re.compile(r"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = data[at:end].decode("utf-8")
-        headers = {name.lower(): value for name, value in _HEADER.findall(head)}
-        start = end + 4
-        at = start + int(headers["content-length"])
-        block = data[start:at]
-        if len(block) != int(headers["content-length"]) or data[at : at + 4] != b"\r\n\r\n":
+class _Bytes:
+    """What is left of a stream of bytes, read on demand."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self._parts, self._held, self.place = parts, bytearray(), 0
+
+    def _more(self) -> bool:
+        part = next(self._parts, None)
+        if part is not None:
+            self._held += part
+        return part is not None
+
+    def ended(self) -> bool:
+        while not self._held:
+            if not self._more():
+                return True
+        return False
+
+    def take(self, size: int) -> bytes:
+        """The next bytes, fewer at the end."""
+        while len(self._held) < size and self._more():
+            pass
+        out = bytes(self._held[:size])
+        del self._held[:size]
+        self.place += len(out)
+        return out
+
+    def take_until(self, mark: bytes) -> bytes | None:
+        """The bytes before the next ``mark``, which is passed; None if there is none."""
+        looked = 0
+        while (end := self._held.find(mark, looked)) < 0:
+            looked = max(0, len(self._held) - len(mark) + 1)
+            if not self._more():
+                return None
+        out = self.take(end)
+        self.take(len(mark))
+        return out
+
+
+def parse_records(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, whose bytes come in
+    parts; one record is held at a time."""
+    archive = _Bytes(iter(parts))
+    while not archive.ended():
+        place = archive.place
+        head = archive.take_until(b"\r\n\r\n")
+        if head is None or not head.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {place}")
+        headers = {name.lower(): value for name, value in _HEADER.findall(head.decode("utf-8"))}
+        size = int(headers["content-length"])
+        block = archive.take(size)
+        if len(block) != size or archive.take(4) != b"\r\n\r\n":
             raise ValueError(f"cut record {headers.get('warc-record-id')}")
-        at += 4
         yield headers, block
 
 
@@ -177,13 +228,17 @@ _RECORD = (
 
 def read_records(spark: SparkSession, path: str, with_blocks: bool = True) -> DataFrame:
     """One row per record of the archives below ``path``. The digest and the number of payload bytes
-    are computed from the payload read (a revisit has none and keeps what its headers say)."""
+    are computed from the payload read (a revisit has none and keeps what its headers say).
+
+    An archive is held compressed, and one record of it at a time; rows leave in batches of at most
+    1,024 records or 16 MB and one record. Empty archives give no rows; a cut one is an error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for headers, block in parse_records(archive_bytes(content)):
+                rows, held = [], 0
+                for headers, block in parse_records(inflated(content)):
                     kind, size, digest = headers["warc-type"], None, None
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
@@ -206,9 +261,10 @@ def read_records(spark: SparkSession, path: str, with_blocks: bool = True) -> Da
                             block if with_blocks else None,
                         )
                     )
-                    if len(rows) >= 1024:
+                    held += len(block) if with_blocks else 0
+                    if len(rows) >= 1024 or held >= 1 << 24:
                         yield _frame(rows)
-                        rows = []
+                        rows, held = [], 0
                 yield _frame(rows)
 
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -224,8 +280,9 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit, and the ``request`` and ``metadata``
     records that are concurrent to it (null where an archive lacks them).
 
-    Copies of a record, as retries of a crawl leave them, count once. Records of other kinds, and
-    requests or metadata whose capture is missing, give no row.
+    Copies of a record, as retries of a crawl leave them, count once; of different records with one
+    id, which the format forbids, the least stays. Records of other kinds, and requests or metadata
+    whose capture is missing, give no row. Long blocks are taken whole; no records give no rows.
     """
     is_main = F.col("kind").isin("response", "revisit")
     beside = F.col("kind").isin("request", "metadata")
