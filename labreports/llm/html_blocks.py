@@ -13,9 +13,8 @@ BLOCK_TAGS = frozenset(
     "legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "textarea tfoot th thead tr ul".split()
 )
-_SILENT = (
-    "script style noscript template title head svg math object iframe canvas audio video textarea select"
-)
+_RAW = "script|style|title|textarea|iframe"
+_SILENT = "noscript|template|svg|math|object|canvas|audio|video|select"
 _SECTIONS = frozenset("article aside dialog footer form header main menu nav search".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {
@@ -27,10 +26,15 @@ _CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-_RAW = "|".join(tag for tag in _SILENT.split() if tag != "head")
+# Quotes in a tag are taken in pairs where they come in pairs, and as they are where they don't.
+_ATTRIBUTES = r"((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    rf"|<(/?)([a-z][a-z0-9:-]*){_ATTRIBUTES}>|<[!?/][^>]*>",
+    re.IGNORECASE | re.DOTALL,
+)
+_SILENT_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)({_SILENT})(?=[\s/>]){_ATTRIBUTES}>",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -125,15 +129,37 @@ class _Reader:
                 return
 
 
+def _silent_ends(page: str) -> dict[int, int]:
+    """Where each element without page text begins and ends. One that is closed by its own tag, or
+    that nothing closes, is not listed: it holds nothing."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for m in _SILENT_TAG.finditer(page):
+        tag = (m[3] or "").lower()
+        if not tag:
+            continue
+        if not m[2]:
+            if not m[4].endswith("/"):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = m.end()
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with visible text in page order. Character references are decoded, white space
     becomes one blank, and scripts, styles, comments and the page's head give nothing."""
     reader, at, in_head = _Reader(), 0, False
-    for m in _TOKEN.finditer(page):
+    silent = _silent_ends(page)
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not in_head:
             reader.text(page[at : m.start()])
-        at = m.end()
+        at = max(m.end(), silent.get(m.start(), 0))
         tag = (m[3] or "").lower()
+        if m.start() in silent:
+            if tag in BLOCK_TAGS:
+                reader.end_block()
+            continue
         if tag in ("head", "body"):
             in_head = tag == "head" and not m[2]
         if not tag or tag == "head":

@@ -8,6 +8,7 @@ and the best labels of a whole page are decoded by the Viterbi algorithm.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -115,7 +116,9 @@ def fit_blocks(pages: list[tuple[str, list[bool]]], rounds: int = 200, decay: fl
     return BlockModel(dict(zip(names, state[0].tolist())), state[1], state[2])
 
 
+@lru_cache(maxsize=2)
 def default_model(pages: int = 500, seed: int = 20) -> BlockModel:
+    """Fitted once in a session for each set of arguments."""
     random = np.random.default_rng(seed)
     return fit_blocks([labelled_page(random) for _ in range(pages)])
 

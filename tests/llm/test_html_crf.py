@@ -53,6 +53,30 @@ def test_blocks():
     assert ".side" not in blocks[4].above
 
 
+@pytest.mark.parametrize("inside", [
+    "<svg width=1/>", "<svg/>", "<svg><title>t</title><path d='x'/></svg>", "<svg><svg></svg></svg>", "<math><mi>x</mi></math>",
+    "<math/>", "<video src=x>", "<video src=x>no</video>", "<video src=x><audio>", "<audio src=y>", "<canvas>no</canvas>",
+    "<canvas>", "<object data=x>", "<object><object>no</object>no</object>", "<select><option>no</select>", "<noscript>no</noscript>",
+    "<template><p>no</p></template>", "<svg><script>'</svg>'</script></svg>", "<!-- <svg> -->", "<iframe src=x>no</iframe>",
+])
+def test_elements_without_text_cut_nothing(inside):
+    for before, behind in (("<p>One.</p>", "<p>Two.</p>"), ("<div><p>One.", "</div><p>Two."), ("<p>One.", "<p>Two.<video>Three</video>")):
+        blocks = [b.text for b in leaf_blocks(f"<body>{before}{inside}{behind}")]
+        assert blocks == ["One.", "Two."], (before, inside)
+
+
+@pytest.mark.parametrize("tag", ['<a href="x>', "<a href='x>", '<a href="x" title="y>', "<p title=it's>", '<b class=">'])
+def test_unbalanced_quotes_are_part_of_the_tag(tag):
+    text = " ".join(b.text for b in leaf_blocks(f"<p>One. {tag}Two.</p><p>Three.</p>"))
+    assert text == "One. Two. Three."
+
+
+def test_many_open_elements_take_linear_time():
+    assert [b.text for b in leaf_blocks("<svg><video>" * 20_000 + "<p>end")] == ["end"]
+    assert [b.text for b in leaf_blocks("<svg><video>" * 20_000 + "no" + "</svg>" * 3 + "<p>end")] == ["end"]
+    assert leaf_blocks("<a href='" * 3_000 + "<p>end")[-1].text.endswith("end")
+
+
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a>
 <li><a href=y>News</a></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div><article><h1>Title of it</h1>
 <p>First   paragraph &eacute;nds here.</p><div class="ad">Buy now!</div><p>Second paragraph of the text, with an end.</p>
