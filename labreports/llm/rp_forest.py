@@ -24,6 +24,11 @@ from labreports.llm.common import checkpointed
 _LEAF_ROWS = 64
 _SLICE_ROWS = 4096
 _QUERY_ROWS = 8192
+#: Queries that a task ranks at once, and pairs that it measures exactly at once.
+_ASKED_AT_ONCE = 256
+_PAIRS = 1 << 16
+#: More than rounding can part two ways to take a cosine.
+_MARGIN = 1e-9
 
 
 @dataclass(frozen=True)
@@ -90,7 +95,8 @@ def fit_forest(
     seed: int = 11,
 ) -> Forest:
     """Fit on at most about ``sample`` rows, chosen by a hash of the vector, and measure there how
-    many leaves a search must take to find ``recall`` of the ``neighbours`` nearest."""
+    many leaves a search must take to find ``recall`` of the ``neighbours`` nearest. ``vectors`` are
+    distinct, so the hash bounds the rows."""
     count = max(1, vectors.count())
     share = F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / count)
     chosen = (vectors if count <= sample else vectors.where(share)).select(column).toPandas()
@@ -125,6 +131,42 @@ def _unit(column: pd.Series) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _best_of_slice(
+    queries: pd.DataFrame, members: np.ndarray, unit: np.ndarray, ids: list, neighbours: int
+) -> list[tuple]:
+    """For each query its best members by exact cosine, ties by id, as (query, id, score).
+
+    The exact measure is taken of every member that the product of matrices doesn't put below the
+    last place by more than rounding can, so ties are all looked at.
+    """
+    own = queries["id"].to_list()
+    q = np.stack(queries["v"].to_list()).astype(np.float64)
+    norms, member_norms = np.sqrt((q * q).sum(1)), np.sqrt((members * members).sum(1))
+    near = (q / norms[:, None]) @ unit.T
+    # One place more, as one of them may be the query itself.
+    width = min(neighbours + 1, near.shape[1])
+    last = np.partition(near, near.shape[1] - width, axis=1)[:, near.shape[1] - width]
+    left, right = np.nonzero(near >= (last - _MARGIN)[:, None])
+    out = []
+    for at in range(0, len(left), _PAIRS):
+        a, b = left[at : at + _PAIRS], right[at : at + _PAIRS]
+        out.append((q[a] * members[b]).sum(1) / (norms[a] * member_norms[b]))
+    scores = np.concatenate(out) if out else np.zeros(0)
+    sizes = np.array([len(ids[b]) for b in right], np.int64)
+    pair = np.repeat(np.arange(len(left)), sizes)
+    found = np.concatenate([np.asarray(ids[b]) for b in right]) if len(right) else np.zeros(0, np.int64)
+    asked, score = left[pair], scores[pair]
+    order = np.lexsort((found, -score, asked))
+    taken: dict[int, int] = {}
+    best = []
+    for k in order.tolist():
+        query, other = int(asked[k]), found[k]
+        if other != own[query] and taken.get(query, 0) < neighbours:
+            taken[query] = taken.get(query, 0) + 1
+            best.append((own[query], other, score[k]))
+    return best
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -138,22 +180,25 @@ def nearest(
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
     with a null id or with another number of components than most of a sample have. Repeated rows
-    count once. Copies of a vector are kept once, with the smallest ids that can be in a result, as
-    larger ids lose every tie. Members of a leaf are dealt in slices, and queries in blocks, so no
-    task holds a whole group. An empty table gives no rows.
+    count once; long vectors are taken whole. Copies of a vector are kept once, with the smallest ids
+    that can be in a result, as larger ids lose every tie. Members of a leaf are dealt in slices of
+    4,096, and the queries that ask for a leaf in blocks of 8,192; a leaf's members are repeated for
+    its own blocks only, and not at all if no query asks for it. An empty table gives no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.where(usable(column) & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(column).alias("v"), is_query.alias("asked")
     )
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (common.n if common else 0))
-    forest = fit_forest(rows, "v", neighbours=neighbours, **fit)
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     first = Window.partitionBy("v").orderBy("id")
     fewest = rows.select("id", "v").distinct().withColumn("n", F.row_number().over(first))
     ids = F.array_sort(F.collect_list("id")).alias("ids")
     distinct = fewest.where(F.col("n") <= neighbours + 1).groupBy("v").agg(ids)
+    distinct = checkpointed(distinct)
+    forest = fit_forest(distinct, "v", neighbours=neighbours, **fit)
+    shared = spark.sparkContext.broadcast(forest)
     kind = vectors.schema[id_column].dataType.simpleString()
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,63 +210,56 @@ def nearest(
     schema = f"v {vector}, ids array<{kind}>, leaves array<int>"
     index = checkpointed(distinct.select("v", "ids").mapInPandas(locate, schema))
     placed = index.select("v", "ids", F.posexplode("leaves").alias("tree", "leaf"))
-    # One row per leaf of the forest at most.
-    counts = placed.groupBy("tree", "leaf").count().collect()
-    slices = {(r.tree, r.leaf): -(-r["count"] // _SLICE_ROWS) for r in counts}
     asked = rows.where("asked").select("id", "v").distinct()
     questions = asked.count()
-    blocks = max(1, -(-questions // _QUERY_ROWS))
     # Few small rows with much work each: more partitions than their bytes call for.
     asked = asked.repartition(-(-questions // 128) or 1, "id")
-    table = vectors.sparkSession.sparkContext.broadcast(slices)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            for at, unit in enumerate(_unit(batch["v"])):
-                row = batch.iloc[at]
-                keys = [
-                    (tree, leaf, part)
-                    for tree, leaf in shared.value.search(unit)
-                    for part in range(table.value.get((tree, leaf), 0))
-                ]
-                out = pd.DataFrame(keys, columns=["tree", "leaf", "slice"])
-                yield out.assign(id=row["id"], v=[row["v"]] * len(keys))
-
-    wanted = asked.mapInPandas(walk, f"tree int, leaf int, slice int, id {kind}, v {vector}")
-    wanted = wanted.withColumn("block", F.pmod(F.hash("id"), F.lit(blocks)))
-    cut = [x for key, n in slices.items() if n > 1 for x in (f"{key[0]} {key[1]}", n)]
-    sizes = F.create_map(*map(F.lit, cut)) if cut else F.create_map(F.lit(""), F.lit(1))
-    parts = F.coalesce(F.element_at(sizes, F.concat_ws(" ", "tree", "leaf")), F.lit(1))
-    members = placed.withColumn("slice", F.pmod(F.xxhash64("ids"), parts).cast("int")).withColumn(
-        "block", F.explode(F.array(*[F.lit(k) for k in range(blocks)]))
+            if len(batch):
+                taken = [list(shared.value.search(unit)) for unit in _unit(batch["v"])]
+                trees, leaves = ([[place[k] for place in own] for own in taken] for k in (0, 1))
+                yield batch.assign(trees=trees, leaves=leaves)
+
+    walked = checkpointed(
+        asked.mapInPandas(walk, f"id {kind}, v {vector}, trees array<int>, leaves array<int>")
     )
+    walked = walked.select("id", "v", F.explode(F.arrays_zip("trees", "leaves")).alias("place"))
+    walked = walked.select("id", "v", F.col("place.trees").alias("tree"), F.col("place.leaves").alias("leaf"))
+    # One row per leaf of the forest at most, of which there are a fixed number.
+    members_of = {(r.tree, r.leaf): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}
+    queries_of = {(r.tree, r.leaf): r["count"] for r in walked.groupBy("tree", "leaf").count().collect()}
+    plan = [
+        (*key, -(-members_of[key] // _SLICE_ROWS), -(-count // _QUERY_ROWS))
+        for key, count in queries_of.items()
+        if key in members_of
+    ]
+    dealt = F.broadcast(spark.createDataFrame(plan, "tree int, leaf int, slices int, blocks int"))
+
+    def place(of: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.col(count)).cast("int")
+
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    wanted = walked.join(dealt, ["tree", "leaf"]).withColumn("block", place("id", "blocks"))
+    wanted = wanted.withColumn("slice", F.explode(every))
+    members = placed.join(dealt, ["tree", "leaf"]).withColumn("slice", place("ids", "slices"))
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def rank(key, questions: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if not len(questions) or not len(found):
-            return pd.DataFrame(columns=names)
-        q, m = np.stack(questions["v"]).astype(float), np.stack(found["v"]).astype(float)
-        near = _unit(questions["v"]) @ _unit(found["v"]).T
-        width = min(neighbours + 1, near.shape[1])
-        top = np.argpartition(-near, width - 1, axis=1)[:, :width]
-        left = np.repeat(np.arange(len(q)), width)
-        right = top.ravel()
-        norms = np.sqrt((q * q).sum(1))[left] * np.sqrt((m * m).sum(1))[right]
-        scores = (q[left] * m[right]).sum(1) / norms
-        ids, own = found["ids"].to_list(), questions["id"].to_list()
-        out = [
-            (own[a], other, score)
-            for a, b, score in zip(left, right, scores)
-            for other in ids[b]
-            if other != own[a]
-        ]
-        return pd.DataFrame(out, columns=names)
+        best: list[tuple] = []
+        if len(questions) and len(found):
+            m = np.stack(found["v"].to_list()).astype(np.float64)
+            unit, ids = _unit(found["v"]), found["ids"].to_list()
+            for at in range(0, len(questions), _ASKED_AT_ONCE):
+                part = questions.iloc[at : at + _ASKED_AT_ONCE]
+                best += _best_of_slice(part, m, unit, ids, neighbours)
+        return pd.DataFrame(best, columns=["query_id", "vec_id", "score"])
 
     keys = ["tree", "leaf", "slice", "block"]
     pairs = (
-        wanted.groupBy(*keys)
+        wanted.select(*keys, "id", "v")
+        .groupBy(*keys)
         .cogroup(members.select(*keys, "v", "ids").groupBy(*keys))
         .applyInPandas(rank, f"query_id {kind}, vec_id {kind}, score double")
     )

@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from labreports.llm import rp_forest
+from labreports.llm.queries import QUERIES
 from labreports.llm.rp_forest import nearest
 
+
 def tenth():
     return F.col("vec_id") % 10 == 0
 
@@ -45,6 +48,47 @@ def test_copies_and_ties_go_to_the_smaller_id(spark):
     assert got == expected and got[0] == [1, 2, 3, 4, 5] and got[390] == [0, 1, 2, 3, 4]
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    """59 vectors at a right angle to the query, then lengths of one direction, then one-hot vectors."""
+    data = [(0, [1.0, 0.0, 0.0])] + [(40 + k, [0.0, float(k), 0.0]) for k in range(1, 60)]
+    got, expected = check(spark, data, 1.0)
+    assert got == expected and got[0] == [41, 42, 43, 44, 45]
+    data = [(0, [1.0, 1.0])] + [(90 - k, [float(2**k), float(2**k)]) for k in range(30)]
+    got, expected = check(spark, data, 1.0)
+    assert got == expected and got[0] == [61, 62, 63, 64, 65]
+    data = [(k, [float(k % 40 == j) for j in range(40)]) for k in range(200)]
+    got, expected = check(spark, data, 1.0)
+    assert got == expected
+
+
+def test_a_vector_that_many_rows_share_is_sampled_once(spark):
+    frame = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(500)] + [(500, [2.0, 1.0])], "vec_id long, embedding array<float>")
+    rows = nearest(frame, F.col("vec_id") == 500, sample=100).orderBy("rank").collect()
+    assert [r.vec_id for r in rows] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("slice_rows, query_rows, at_once", [(50, 7, 3), (4096, 8192, 256)])
+def test_slices_and_blocks_change_nothing(spark, monkeypatch, slice_rows, query_rows, at_once):
+    monkeypatch.setattr(rp_forest, "_SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(rp_forest, "_QUERY_ROWS", query_rows)
+    monkeypatch.setattr(rp_forest, "_ASKED_AT_ONCE", at_once)
+    x = np.random.default_rng(4).integers(-3, 4, size=(400, 4)).astype(float) + [0.5, 0, 0, 0]
+    got, expected = check(spark, [(k, v.tolist()) for k, v in enumerate(x)], 0.99, recall=1.0)
+    assert got == expected
+
+
+def test_recall_of_the_registered_query(spark):
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    plain = [(r.vec_id, np.asarray(r.embedding, float)) for r in rows if r.embedding]
+    expected = brute(plain, [(i, v) for i, v in plain if i % 50 == 0])
+    got = {}
+    for row in QUERIES["op4_neighbours"](spark, path).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    hits = [len(set(got[q]) & set(found)) / len(found) for q, found in expected.items()]
+    assert set(got) == set(expected) and np.mean(hits) >= 0.9
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [
