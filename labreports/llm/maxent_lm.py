@@ -1,8 +1,9 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 A token's probability is that of its class given the tokens before it, times its own within the
-class. Features of the history are the previous word, the two previous words, and words two and
-three places back (skips); each is hashed to a row of weights, one per class or per word of a class.
+class. Features of the history are the previous word and words two and three places back (skips),
+within a class the previous one and the one before it; each is hashed to a row of weights, one per class
+or per word of a class.
 The most frequent words are classes of equal size, by frequency. All other words form classes by their
 last two bytes, in which a word counts by its smoothed number of occurrences in the training texts,
 of which the corpus counts are never cut.
@@ -38,7 +39,7 @@ _START = None
 _BEFORE = 3
 _SPACE = re.compile(rb"[ \t-\r]")
 _PIECE = 1 << 16
-_BATCH = 8192
+_BATCH = 4096
 _ROUNDS = 8
 _KEPT = 250_000
 _FLOOR = np.float32(-1e30)
@@ -97,8 +98,8 @@ class Shape:
     """
 
     classes: int = 32
-    places: int = 64
-    rest: int = 32
+    places: int = 32
+    rest: int = 16
     known: int = 65_536
     longest: int = 64
     rows: int = 8192
@@ -157,16 +158,15 @@ def read_lexicon(counts: DataFrame, shape: Shape) -> Lexicon:
 
 @dataclass(frozen=True)
 class Weights:
-    """Rows of weights. A row of ``one`` belongs to a hashed word: its weights as the previous word,
-    then as a skipped one; ``pair`` to two hashed words; ``inner`` to a hashed word and a class."""
+    """Rows of weights. A row of ``outer`` belongs to a hashed word: its weights as the previous word,
+    then as a skipped one; a row of ``inner`` to a hashed word and a class."""
 
-    one: np.ndarray
-    pair: np.ndarray
+    outer: np.ndarray
     inner: np.ndarray
     outer_bias: np.ndarray
     inner_bias: np.ndarray
 
-    TABLES = ("one", "pair", "inner", "outer_bias", "inner_bias")
+    TABLES = ("outer", "inner", "outer_bias", "inner_bias")
 
     def copy(self) -> Weights:
         return Weights(*(getattr(self, name).copy() for name in self.TABLES))
@@ -184,7 +184,7 @@ def first_weights(lexicon: Lexicon) -> Weights:
     mass[shape.classes :] = lexicon.rest_tokens + 0.1 * (lexicon.rest_distinct + 1)
     bias = np.full((1, shape.width), _FLOOR, np.float32)
     bias[0, mass > 0] = np.log(mass[mass > 0] / mass.sum())
-    zeros = [np.zeros((shape.rows, n), np.float32) for n in (2 * shape.width, shape.width, shape.places)]
+    zeros = [np.zeros((shape.rows, n), np.float32) for n in (2 * shape.width, shape.places)]
     return Weights(*zeros, bias, places)
 
 
@@ -245,7 +245,8 @@ class Reader:
             rows[others] = [crc32(word) % shape.rows for word in unknown]
         return at, kinds, places, rows
 
-    def _pair_rows(self, a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
+    def _row_of(self, a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
+        """The row of a hashed word together with a class."""
         mixed = (a * np.uint32(2654435761) + b * np.uint32(factor)) * np.uint32(2246822519)
         return (mixed >> np.uint32(16)).astype(np.int64) % self.shape.rows
 
@@ -264,12 +265,10 @@ class Reader:
         targets = kind >= 0
         each = np.arange(n)
         near = rows[: n + 2]
-        shared = weights.one[near]
+        shared = weights.outer[near]
         logits = shared[2:, :width] + weights.outer_bias
         logits += shared[1:-1, width:]
         logits += shared[:-2, width:]
-        pairs = self._pair_rows(rows[2 : n + 2], rows[1 : n + 1], 40503)
-        logits += weights.pair[pairs]
         logits -= logits.max(1, keepdims=True)
         chosen = logits[each, kind].astype(np.float64)
         np.exp(logits, out=logits)
@@ -278,8 +277,8 @@ class Reader:
 
         inside = np.flatnonzero(place >= 0)
         own, at = kind[inside].astype(np.int64), place[inside]
-        first = self._pair_rows(rows[inside + 2], own.astype(np.uint32), 97)
-        second = self._pair_rows(rows[inside + 1], own.astype(np.uint32), 7919)
+        first = self._row_of(rows[inside + 2], own.astype(np.uint32), 97)
+        second = self._row_of(rows[inside + 1], own.astype(np.uint32), 7919)
         inner = weights.inner[first]
         inner += weights.inner[second]
         inner += weights.inner_bias[own]
@@ -301,8 +300,7 @@ class Reader:
             spread[2:, :width] = logits
             spread[1:-1, width:] = logits
             spread[:-2, width:] += logits
-            learn("one", *_summed(near, spread))
-            learn("pair", *_summed(pairs, logits))
+            learn("outer", *_summed(near, spread))
             learn("outer_bias", np.zeros(1, np.int64), logits.sum(0, keepdims=True), np.array([n]))
             if inside.size:
                 both = np.concatenate([first, second])
@@ -447,8 +445,7 @@ def fit_maxent(
 
 
 _SCORED = (
-    "place long, n_tokens long, n_known long, base_score double, score double, "
-    "words array<binary>, times array<long>"
+    "place long, n_tokens long, n_known long, base_score double, score double, words array<binary>"
 )
 
 
@@ -481,13 +478,13 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: MaxentModel) -> DataF
 
     fields = source.drop("text").schema.fields + StructType.fromDDL(_SCORED).fields
     scored = written(source.mapInArrow(run, StructType(fields)), "scored")
-    rare = scored.select("place", F.explode(F.arrays_zip("words", "times")).alias("w"))
-    rare = rare.select("place", "w.times", own_exchange("w.words").alias("key"))
-    counted = counts.select(own_exchange(F.col("word").alias("words")).alias("key"), "c")
+    # Their hash sorts faster than words do, and in the join it tells nearly all words apart.
+    rare = scored.select("place", F.explode("words").alias("word"))
+    rare = rare.withColumn("hash", F.xxhash64("word"))
+    counted = counts.withColumn("hash", F.xxhash64("word"))
     # A word that training has not seen adds log10(0.1), which is counted already.
-    found = rare.join(counted, "key").groupBy("place").agg(
-        F.sum("times").alias("more"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 0.1) + 1)).alias("log"),
+    found = rare.join(counted, ["hash", "word"]).groupBy("place").agg(
+        F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 0.1) + 1).alias("log")
     )
     total = F.lit(model.lexicon.tokens).cast("long")
     log, more = F.coalesce("log", F.lit(0.0)), F.coalesce("more", F.lit(0))
@@ -502,12 +499,13 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: MaxentModel) -> DataF
 
 
 def _scored(reader: Reader, weights: Weights, texts: pa.Array) -> pa.RecordBatch:
-    """Results of some texts as far as the known words tell, and the counts of their other words."""
+    """Results of some texts as far as the known words tell, and their other words."""
     n = len(texts)
     shape = reader.shape
     tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
     base, score = np.zeros(n), np.zeros(n)
-    others: list[Counter] = [Counter() for _ in range(n)]
+    rare: list[bytes] = []
+    rare_of = np.zeros(n + 1, np.int32)
 
     def take(words: list, owners: np.ndarray) -> None:
         at, kinds, places, rows = reader.arrays(words)
@@ -534,19 +532,18 @@ def _scored(reader: Reader, weights: Weights, texts: pa.Array) -> pa.RecordBatch
         add(known, (targets & (at >= 0) & reader.counted[at]).astype(float))
         add(base, np.where(targets, seen - reader.base_total, 0.0))
         add(score, logs)
-        for k in np.flatnonzero(at < 0).tolist():
-            others[owners[k]][words[k + _BEFORE]] += 1
+        others = np.flatnonzero(at < 0)
+        rare.extend(words[k] for k in (others + _BEFORE).tolist())
+        rare_of[low + 1 : high + 1] += np.bincount(local[others], minlength=size).astype(np.int32)
 
     stream = Stream(take)
     for k, text in enumerate(texts):
         stream.add(k, text.as_py() or "")
     stream.flush()
-    lists = [pa.array([list(c) for c in others], pa.list_(pa.binary()))]
-    lists.append(pa.array([list(c.values()) for c in others], pa.list_(pa.int64())))
-    columns = [*map(pa.array, (tokens, known, base, score)), *lists]
-    return pa.RecordBatch.from_arrays(
-        columns, ["n_tokens", "n_known", "base_score", "score", "words", "times"]
-    )
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(rare_of, dtype=np.int32)), pa.array(rare, pa.binary()))
+    columns = [*map(pa.array, (tokens, known, base, score)), lists]
+    names = ["n_tokens", "n_known", "base_score", "score", "words"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def model_scores(docs: DataFrame, rounds: int = 3, **fit) -> DataFrame:

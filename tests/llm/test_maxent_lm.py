@@ -105,10 +105,9 @@ def plain_token(reader, weights, before, word):
 
     outer = [
         weights.outer_bias[0, c]
-        + weights.one[rows[2], c]
-        + weights.one[rows[1], n + c]
-        + weights.one[rows[0], n + c]
-        + weights.pair[row(rows[2], rows[1], 40503), c]
+        + weights.outer[rows[2], c]
+        + weights.outer[rows[1], n + c]
+        + weights.outer[rows[0], n + c]
         for c in range(n)
     ]
     out = outer[kinds[0]] - math.log(sum(math.exp(x) for x in outer))
@@ -225,5 +224,5 @@ def test_rows_of_the_model_do_not_grow(spark):
     from pyspark.sql import functions as F
 
     model = fit_maxent(texts, counts, F.lit(0), rounds=1, shape=SMALL_SHAPE)
-    assert [getattr(model.weights, n).shape for n in Weights.TABLES] == [(64, 14), (64, 7), (64, 4), (1, 7), (3, 4)]
+    assert [getattr(model.weights, n).shape for n in Weights.TABLES] == [(64, 14), (64, 4), (1, 7), (3, 4)]
     assert len(model.lexicon.words) <= SMALL_SHAPE.known
