@@ -19,7 +19,7 @@ from sentencepiece import SentencePieceProcessor
 from labreports.llm.common import add_columns
 
 BLANK = "▁"
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 800_000
 _SHORT = 32
 _NEVER = float("-inf")
 
