@@ -101,8 +101,9 @@ def scan_unseen(
     """Ledger rows (``LEDGER_SCHEMA``) for every pair of blob and rule version that ``ledger`` lacks.
 
     ``versions`` holds a ``place`` (an id or path) and a ``text`` per row, and may hold all history;
-    append the result to the ledger. Each blob is read at its smallest place only. Blobs that have
-    nothing left to scan give no row.
+    append the result to the ledger. Each blob is read at its smallest place only, and whole however
+    long it is. Blobs that have nothing left to scan give no row. Null text is the empty blob; a null
+    place is a place like any other; repeated rows are one version; an empty table gives no rows.
     """
     keyed = blob_ids(versions.select(F.col(place).alias("place"), "text"))
     first = keyed.groupBy("blob_id").agg(F.min("place").alias("place"))

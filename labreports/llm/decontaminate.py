@@ -30,7 +30,8 @@ _NOT_WORD = bytes(32 if not word else k for k, word in enumerate(_WORD_BYTES))
 
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 21
-_FILTER_BITS = 25
+#: A bit table has 32 bits for each shingle, but no fewer than the first, nor more than the second.
+_FILTER_BITS = (25, 30)
 
 
 def normal_bytes(text: str) -> bytes:
@@ -127,11 +128,16 @@ def item_shingles(items: DataFrame, width: int, threshold: float) -> DataFrame:
     return items.select("item_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(run, schema)
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """A bit per hash value modulo 2^25: 4 MB whatever the number of items."""
-    slot = F.col("hash").bitwiseAND((1 << _FILTER_BITS) - 1)
+def _table_bits(shingles: int) -> int:
+    low, high = _FILTER_BITS
+    return min(high, max(low, (32 * shingles).bit_length()))
+
+
+def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit per hash value modulo 2^bits: 4 MB at least and 128 MB at most."""
+    slot = F.col("hash").bitwiseAND((1 << bits) - 1)
     words = hashes.select(F.shiftright(slot, 5).alias("word"), slot.bitwiseAND(31).cast("int").alias("bit"))
-    table = np.zeros(1 << (_FILTER_BITS - 5), np.uint32)
+    table = np.zeros(1 << (bits - 5), np.uint32)
     ored = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     for row in ored.toLocalIterator():
         table[row.word] = row.bits
@@ -161,11 +167,12 @@ def _document_shingles(docs: DataFrame, shingles: DataFrame, width: int) -> Data
     A text of several pieces hands on the shingles of all pieces once one holds a sketch member.
     Rows whose id is repeated hand on theirs whatever they hold, as another row may hold it.
     """
-    spans = sorted(row.span for row in shingles.select("span").distinct().collect())
-    sketch = _bit_table(shingles.where("in_sketch").select("hash"))
-    anywhere = _bit_table(shingles.select("hash"))
+    counts = shingles.groupBy("span").count().collect()
+    spans, bits = sorted(row.span for row in counts), _table_bits(sum(row["count"] for row in counts))
+    sketch = _bit_table(shingles.where("in_sketch").select("hash"), bits)
+    anywhere = _bit_table(shingles.select("hash"), bits)
     tables = docs.sparkSession.sparkContext.broadcast((sketch, anywhere))
-    mask, ids = np.uint64((1 << _FILTER_BITS) - 1), docs.schema["doc_id"].dataType.simpleString()
+    mask, ids = np.uint64((1 << bits) - 1), docs.schema["doc_id"].dataType.simpleString()
 
     def held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         slot = hashes & mask
@@ -235,7 +242,7 @@ def benchmark_leaks(
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII that aren't
     punctuation, in lower case. An item of fewer words than ``width`` is one shingle of all its
-    words. Null and empty texts and null ids take no part. Rows of ``docs`` with the same id are one
+    words. Long texts are searched whole, in pieces that share a shingle's words. Null and empty texts and null ids take no part. Rows of ``docs`` with the same id are one
     document; repeated items count once, and an item id with several texts leaks by the text with
     the largest containment. A passage may stand in a third of the documents: the join on its
     shingles can be split, and counts are combined before they are shuffled.
