@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
@@ -10,7 +10,6 @@ from labreports.functions.ordering import ascending
 from labreports.plans.scope import requisition_scope
 from labreports.plans.skew import (
     LargeGroups,
-    left_join_many,
     number_rows,
     sampled,
     stored_values,
@@ -26,50 +25,68 @@ _ACCESSION = ["requisition_id", "accession_number"]
 _CONTAINER = ["specimen_container_desc", "specimen_method_desc"]
 
 
-def _count_of(*statuses: str):
-    return F.sum(F.when(F.col("clinical_status").isin(*statuses), 1).otherwise(0))
-
-
 def detail_sample(details: DataFrame) -> DataFrame:
     return sampled(details, "lab_order_details_pk").select("requisition_id")
 
 
 def tube_summary(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
-    """One row per accession and container of a requisition, in accession order."""
+    """One row per accession and container of a requisition, in accession order.
+
+    Details are read once and counted by all that the rows tell apart. What is left of an accession
+    is as many rows as it has labs, containers and methods, so its labs and containers are lists.
+    """
     scope = requisition_scope(requisitions)
     details = scope.keep(t["dim_lab_order_details"], "requisition_id")
     category = F.col("test_category")
-    accessions = (
-        details.filter(~category.isin(_NOT_ACCESSIONED))
-        .groupBy(*_ACCESSION, "lab_fk")
-        .agg(
-            F.min("specimen_received_date_time").alias("specimen_received_date_time"),
-            F.count("*").alias("test_count"),
-            _count_of("S").alias("scheduled_count"),
-            _count_of("A", "T", "V").alias("in_process_count"),
-            _count_of("D").alias("done_count"),
-            _count_of("CM", "D", "X").alias("complete_count"),
-            _count_of("CM", "X").alias("cancel_count"),
-        )
-        .withColumn("derived_status", rules.tube_status())
+    accessioned = ~category.isin(_NOT_ACCESSIONED)
+    listed = ~category.isin(_NOT_IN_CONTAINER)
+
+    def count_of(*statuses: str) -> Column:
+        return F.count_if(accessioned & F.col("clinical_status").isin(*statuses))
+
+    counts = {
+        "test_count": F.count_if(accessioned),
+        "scheduled_count": count_of("S"),
+        "in_process_count": count_of("A", "T", "V"),
+        "done_count": count_of("D"),
+        "complete_count": count_of("CM", "D", "X"),
+        "cancel_count": count_of("CM", "X"),
+    }
+    received = "specimen_received_date_time"
+    found = details.groupBy(*_ACCESSION, "lab_fk", *_CONTAINER).agg(
+        F.min(F.when(accessioned, F.col(received))).alias(received),
+        F.max(listed).alias("listed"),
+        F.max(F.when(category == _CONDITION_CATEGORY, F.col("order_test_name"))).alias("condition"),
+        *[count.alias(name) for name, count in counts.items()],
     )
-    # A container is listed once per lab, and joined to every lab of its accession.
-    containers = (
-        details.filter(~category.isin(_NOT_IN_CONTAINER))
-        .select(*_ACCESSION, F.col("lab_fk").alias("container_lab_fk"), *_CONTAINER)
-        .distinct()
+    # A container is listed once per lab, and goes with every lab of its accession.
+    container = F.struct(*_CONTAINER, F.col("lab_fk").alias("container_lab_fk"))
+    of_lab = found.groupBy(*_ACCESSION, "lab_fk").agg(
+        F.min(received).alias(received),
+        F.max("condition").alias("condition"),
+        F.collect_list(F.when(F.col("listed"), container)).alias("containers"),
+        *[F.sum(name).alias(name) for name in counts],
+    )
+    lab = F.struct("lab_fk", received, rules.tube_status().alias("derived_status"))
+    of_accession = of_lab.groupBy(*_ACCESSION).agg(
+        F.max("condition").alias("condition"),
+        F.flatten(F.collect_list("containers")).alias("containers"),
+        F.collect_list(F.when(F.col("test_count") > 0, lab)).alias("labs"),
     )
-    conditions = (
-        details.filter(category == _CONDITION_CATEGORY)
-        .groupBy(*_ACCESSION)
-        .agg(F.max("order_test_name").alias("condition"))
+    # Without an accession number nothing is joined.
+    named = F.col("accession_number").isNotNull()
+    rows = of_accession.select(
+        *_ACCESSION,
+        F.when(named, F.col("condition")).alias("condition"),
+        F.when(named, F.col("containers")).alias("containers"),
+        F.explode("labs").alias("lab"),
     )
+    rows = rows.select(*_ACCESSION, "condition", "lab.*", F.explode_outer("containers").alias("container"))
+    rows = rows.select(*_ACCESSION, "condition", "lab_fk", received, "derived_status", "container.*")
+    order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")
     large = LargeGroups.of(
         detail_sample(details), "requisition_id", stored_values(t, "details_of_requisition")
     )
-    rows = left_join_many(accessions, containers, _ACCESSION, large)
-    rows = rows.join(conditions, _ACCESSION, "left")
-    order = ascending("accession_number", *_CONTAINER, "lab_fk", "container_lab_fk")
     return number_rows(rows, "requisition_id", order, "sort_position", large).select(
         "requisition_id",
         "sort_position",
