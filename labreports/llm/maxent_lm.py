@@ -240,9 +240,10 @@ class Reader:
         if others.size:
             shape = self.shape
             unknown = [words[k] for k in others.tolist()]
-            kinds[others] = [rest_class(word, shape) for word in unknown]
+            ends = np.array([crc32(word[-2:]) for word in unknown], np.uint32)
+            kinds[others] = shape.classes + ends % np.uint32(shape.rest)
             places[others] = -1
-            rows[others] = [crc32(word) % shape.rows for word in unknown]
+            rows[others] = np.array([*map(crc32, unknown)], np.uint32) % np.uint32(shape.rows)
         return at, kinds, places, rows
 
     def _row_of(self, a: np.ndarray, b: np.ndarray, factor: int) -> np.ndarray:
@@ -296,9 +297,10 @@ class Reader:
             logits[~targets] = 0
             inner /= inner_total
             inner[some, at] -= 1
-            spread = np.zeros((n + 2, 2 * width), np.float32)
+            spread = np.empty((n + 2, 2 * width), logits.dtype)
             spread[2:, :width] = logits
             spread[1:-1, width:] = logits
+            spread[:2, :width] = spread[[0, -1], width:] = 0
             spread[:-2, width:] += logits
             learn("outer", *_summed(near, spread))
             learn("outer_bias", np.zeros(1, np.int64), logits.sum(0, keepdims=True), np.array([n]))
@@ -342,7 +344,8 @@ class Learner:
     def step(self, name: str, rows: np.ndarray, gradient: np.ndarray, counts: np.ndarray) -> None:
         table, size = getattr(self.weights, name), self.sizes[name]
         size[rows] += np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
-        table[rows] -= gradient * (self.rate / np.sqrt(size[rows] + 1e-8))[:, None]
+        pace = (self.rate / np.sqrt(size[rows] + 1e-8)).astype(gradient.dtype)
+        table[rows] -= gradient * pace[:, None]
         self.touched[name][rows] += counts
 
     def changes(self) -> Iterator[pd.DataFrame]:
