@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.plans.scope import Scope, few_rows, is_one_of, narrow
-from labreports.plans.skew import LargeGroups, group_total, least_large, number_rows, sampled
+from labreports.plans.skew import SEEN, LargeGroups, group_total, least_large, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
 # Accounts that make a facility's patients searchable.
@@ -344,7 +344,11 @@ class _Searches:
             # Without a key, or with two common ones, a search may match very many patients.
             if not held.filter(large | F.col("by").isin("pair", "all")).limit(1).count():
                 return LargeGroups(self._spark, "search_id", [])
-        return LargeGroups.of(self.matches(sampled(patients, "patient_pk")), "search_id")
+        sample = sampled(patients, "patient_pk")
+        # A patient matches a search once, so a short sample has no search that is seen often.
+        if sample.select("patient_pk").limit(SEEN).count() < SEEN:
+            return LargeGroups(self._spark, "search_id", [])
+        return LargeGroups.of(self.matches(sample), "search_id")
 
 
 def _with_sort_keys(
