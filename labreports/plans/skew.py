@@ -39,6 +39,8 @@ SEEN = 3
 SLICES = 256
 #: Sort keys that a cut holds in any case.
 LEADING = 4
+#: Parts in which the rows of a large group meet its cuts.
+PARTS = 64
 #: Copies of one row that one task writes out.
 COPIES_PER_PIECE = 1_000_000
 #: Large groups that are split at most, the largest first.
@@ -223,8 +225,12 @@ def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups
     Slices end at sampled rows. A cut holds the leading sort keys only, and all keys just where
     sampled rows agree in the leading ones, so that long texts behind them rarely travel. The slice of
     a row is found by halving, so it takes about eight comparisons.
+
+    Rows meet the cuts of their group in parts, by a hash of their place, and not by the group alone,
+    which would bring the whole group into one task, and keep it there for the windows that follow.
     """
     place = F.struct(*[F.col(k.column) for k in keys])
+    part = F.pmod(F.xxhash64("_place"), F.lit(PARTS))
     placed = rows.withColumn("_place", place)
     every = F.greatest(F.col("_rows") / SLICES, F.lit(1)).cast("bigint")
     cuts = (
@@ -234,15 +240,17 @@ def _sliced(rows: DataFrame, group: str, keys: list[SortKey], large: LargeGroups
         .agg(F.collect_set("_place").alias("_places"))
         .select(group, _ordered(F.col("_places"), keys).alias("_ordered"))
         .select(group, _cuts(F.col("_ordered"), keys).alias("_cuts"))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
     )
     return (
-        placed.join(cuts, group, "left")
+        placed.withColumn("_part", part)
+        .join(cuts, [group, "_part"], "left")
         .withColumn("_in_large_group", F.col("_cuts").isNotNull())
         .withColumn(
             "_slice",
             F.when(F.col("_in_large_group"), _passed(F.col("_cuts"), F.col("_place"), keys)).otherwise(0),
         )
-        .drop("_cuts", "_place")
+        .drop("_cuts", "_place", "_part")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,20 @@ def test_large_group_is_cut_into_many_slices(spark, rows):
     assert sliced.filter("grp <> 'hot' and _slice <> 0").count() == 0
 
 
+def test_slices_of_a_group_are_numbered_in_tasks_of_their_own(spark, rows):
+    """Without broadcasts too: rows meet the cuts in parts, and windows have a shuffle by slice."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = number_rows(rows, "grp", KEYS, "n", LargeGroups(spark, "grp", [("hot", 1000)]))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(grp#\d+, _slice#\d+", plan)
+        assert re.search(r"hashpartitioning\(grp#\d+, _part#\d+", plan)
+        assert {r["id"]: r["n"] for r in numbered.collect()} == expected_numbers(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize("large", [[], [("hot", 1000)]])
 def test_totals(spark, rows, large):
     groups = LargeGroups(spark, "grp", large)
