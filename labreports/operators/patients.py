@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
-from labreports.plans.scope import Scope, few_rows, is_one_of, narrow
+from labreports.plans.scope import FEW, Scope, few_rows, is_one_of, narrow
 from labreports.plans.skew import SEEN, LargeGroups, group_total, least_large, number_rows, sampled
 from labreports.sources.warehouse import Tables
 
@@ -30,6 +30,8 @@ _BLOCK = 3
 COMMON = 1 << 20
 _KINDS = ("facility", "born", "start", "piece", "pair", "all")
 _BY_NAME = ("start", "piece")
+#: Up to this many groups of letters are sought in a name one by one; beyond it a name is cut into its own.
+_SOUGHT = 32
 
 
 def name_pattern(name: Column) -> Column:
@@ -140,6 +142,25 @@ def name_pieces() -> Column:
     return F.when(F.length("upper_name") >= _BLOCK, F.array_distinct(pieces))
 
 
+def _held(values: list[str]) -> Column:
+    """Those of ``values``, one group of three letters each or several together, of which ``upper_name``
+    holds all letters."""
+
+    def holds(value: Column, places: int) -> Column:
+        found = F.contains("upper_name", F.substring(value, 1, _BLOCK))
+        for k in range(1, places):
+            found = found & F.contains("upper_name", F.substring(value, 1 + k * _BLOCK, _BLOCK))
+        return found
+
+    none = F.array().cast("array<string>")
+    if not values:
+        return none
+    places = len(values[0]) // _BLOCK
+    if places == 1 and len(values) > _SOUGHT:
+        return F.filter(F.coalesce(name_pieces(), none), lambda piece: piece.isin(values))
+    return F.filter(F.array(*map(F.lit, values)), lambda value: holds(value, places))
+
+
 def _terms(searches: DataFrame) -> DataFrame:
     """Each search with what it filters by, and the key that it looks patients up by: the facility,
     the birth date, the start of the name, or else three letters that the name holds, of which the
@@ -192,31 +213,44 @@ class _Searches:
     common, it takes the two rarest at once. With stored keys, so does a search whose first letters
     are common. Searches without a key are dealt in copies against as many splits of the patients,
     so that no task meets all of them.
+
+    Only kinds of keys that a search has are joined, and of few searches only the values asked for
+    leave the scan of the patients.
     """
 
     def __init__(self, searches: DataFrame, patients: DataFrame, keys: DataFrame | None):
         terms = _terms(searches)
         self._spark, self._keys = searches.sparkSession, keys
         few = few_rows(terms.select("by", "value", "at_facility", "born", "pattern", "pieces"))
-        self._few, self._pairs = few, []
+        self._few, self._asked = few, None
         if few is None:
+            used = {"facility", "born", "start", "piece", "all"}
             self.terms = self._with_rarest(terms, patients)
-            kinds = ("facility", "born", "start", "piece", "all")
         else:
             chosen = self._chosen(few, patients)
-            self.terms = self._with_chosen(terms, chosen)
-            used = {chosen.get(row.pattern, (row.by,))[0] if row.by in _BY_NAME else row.by for row in few}
-            kinds = tuple(kind for kind in (*_KINDS,) if kind in used)
-        self.kinds = kinds or ("all",)
+            keys = {
+                chosen.get(row.pattern, (row.by, row.value)) if row.by in _BY_NAME else (row.by, row.value)
+                for row in few
+            }
+            used = {by for by, _ in keys}
+            self._asked = {
+                kind: sorted({value for by, value in keys if by == kind and value is not None})
+                for kind in _KINDS
+            }
+            # There are no more rows than that, and so Spark knows it when it chooses the joins.
+            self.terms = self._with_chosen(terms, chosen).limit(FEW)
+        self.kinds = tuple(kind for kind in _KINDS if kind in used) or ("all",)
 
     def _counts(self, patients: DataFrame, pieces: DataFrame) -> DataFrame:
         """``by, value, n`` for the pieces asked for."""
         if self._keys is not None:
             return self._keys
         names = patients.select(F.upper("full_name").alias("upper_name"))
-        held = narrow(
-            names.select(F.explode(name_pieces()).alias("value")), F.col("value"), pieces
-        )
+        few = few_rows(pieces)
+        if few is None:
+            held = narrow(names.select(F.explode(name_pieces()).alias("value")), F.col("value"), pieces)
+        else:
+            held = names.select(F.explode(_held([row.value for row in few])).alias("value"))
         counted = held.groupBy("value").agg(F.count("*").alias("n"))
         return counted.select(F.lit("piece").alias("by"), "value", "n")
 
@@ -255,7 +289,6 @@ class _Searches:
             elif rarest[0][0] >= COMMON and len(rarest) > 1:
                 pair = sorted(piece for _, piece in rarest[:2])
                 chosen[row.pattern] = ("pair", "".join(pair))
-                self._pairs += pair
             else:
                 chosen[row.pattern] = ("piece", rarest[0][1])
         return chosen
@@ -274,29 +307,21 @@ class _Searches:
         )
 
     def _narrowed(self, patients: DataFrame, kind: str) -> DataFrame:
-        """Few facilities or birth dates reach the scan."""
-        if self._few is None or kind not in ("facility", "born"):
+        """Few facilities, birth dates or starts of names reach the scan."""
+        if self._few is None or kind not in ("facility", "born", "start"):
             return patients
         if kind == "facility":
             return patients.filter(
                 is_one_of(F.col("facility_fk"), [row.at_facility for row in self._few])
             )
+        if kind == "start":
+            return patients.filter(is_one_of(name_start(), self._asked["start"]))
         return patients.filter(is_one_of(F.col("dob"), [row.born for row in self._few]))
 
     def _value(self, kind: str) -> Column:
         """What a patient is found by; several values are several rows."""
-        if kind == "pair":
-            # Both pieces are common, so few pieces make pairs; each pair is written once.
-            asked = F.array(*map(F.lit, sorted(set(self._pairs))))
-            held = F.array_sort(F.array_intersect(F.coalesce(name_pieces(), F.array().cast("array<string>")), asked))
-            return F.explode(
-                F.flatten(
-                    F.transform(
-                        held,
-                        lambda a: F.transform(F.filter(held, lambda b: b > a), lambda b: F.concat(a, b)),
-                    )
-                )
-            )
+        if kind in ("piece", "pair") and self._asked is not None:
+            return F.explode(_held(self._asked[kind]))
         return {
             "facility": F.col("facility_fk").cast("string"),
             "born": F.col("dob").cast("string"),

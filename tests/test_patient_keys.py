@@ -123,6 +123,19 @@ def test_common_letters_are_looked_up_in_twos(spark, tables, monkeypatch):
     assert met.count() == named.filter(both).count()
 
 
+@pytest.mark.parametrize("sought", [32, 0])
+def test_only_letters_asked_for_leave_the_scan(spark, tables, sought, monkeypatch):
+    """Neither the other letters of the names nor the patients themselves are shuffled for few searches."""
+    monkeypatch.setattr(search, "_SOUGHT", sought)
+    made, keys = chosen(spark, tables, [SEARCHES[0], ("una", "%una%", 0, None), SEARCHES[7]])
+    named = tables["dim_patient"].withColumn("upper_name", F.upper("full_name"))
+    met = named.select("patient_pk", made._value("piece").alias("value"))
+    assert {r.value for r in met.collect()} == {keys["hot"][1], "UNA"}
+    assert made.kinds == ("piece",)
+    plan = made.matches(tables["dim_patient"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(value" not in plan
+
+
 def test_a_common_start_gives_way_to_rarer_letters_where_keys_are_stored(spark, tables, monkeypatch):
     monkeypatch.setattr(search, "COMMON", 2)
     stored = lab.patient_keys(tables["dim_patient"])
