@@ -224,8 +224,8 @@ class _Searches:
         few = few_rows(terms.select("by", "value", "at_facility", "born", "pattern", "pieces"))
         self._few, self._asked = few, None
         if few is None:
-            used = {"facility", "born", "start", "piece", "all"}
-            self.terms = self._with_rarest(terms, patients)
+            used = {row.by for row in terms.select("by").distinct().collect()}
+            self.terms = self._with_rarest(terms, patients) if "piece" in used else terms
         else:
             chosen = self._chosen(few, patients)
             keys = {

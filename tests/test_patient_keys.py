@@ -136,6 +136,15 @@ def test_only_letters_asked_for_leave_the_scan(spark, tables, sought, monkeypatc
     assert "BroadcastHashJoin" in plan and "hashpartitioning(value" not in plan
 
 
+def test_searches_are_joined_by_the_keys_they_have(spark, tables, monkeypatch):
+    """Of very many searches too: by birth date alone, no name is cut into letters."""
+    monkeypatch.setattr(few_rows, "__defaults__", (0,))
+    made, _ = chosen(spark, tables, [("born", "", 0, "01021950"), ("too", "", 0, "01031950")])
+    assert made.kinds == ("born",)
+    made, _ = chosen(spark, tables, SEARCHES)
+    assert made.kinds == ("facility", "born", "start", "piece", "all")
+
+
 def test_a_common_start_gives_way_to_rarer_letters_where_keys_are_stored(spark, tables, monkeypatch):
     monkeypatch.setattr(search, "COMMON", 2)
     stored = lab.patient_keys(tables["dim_patient"])
