@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labreports.functions import rules
@@ -104,7 +104,7 @@ class _Report:
             }
         )
         # Built beside the join with the results, not ahead of it.
-        self._messages = history_messages(t, scoped, related)
+        self._messages = history_messages(t, scoped, related, hot=self.large.any)
 
     def drop_collected_by(self) -> None:
         """Leave out the row that only names who collected the sample."""
@@ -117,6 +117,19 @@ class _Report:
         )
         self.rows = self.rows.withColumn("textual_result_full", shown)
 
+    def _with_messages(self, rows: DataFrame) -> DataFrame:
+        """Add the history message. Rows and messages share the shuffle by requisition that the numbering
+        needs anyway, so wide rows are not shuffled for a join too; a large requisition has the join."""
+        if self.large.any:
+            return rows.join(self._messages, _MESSAGE_OF, "left")
+        both = rows.withColumn("_is_row", F.lit(True)).unionByName(
+            self._messages, allowMissingColumns=True
+        )
+        # There is one message at most; none has a null in its keys.
+        said = F.max("sh_msg").over(Window.partitionBy(*_MESSAGE_OF))
+        both = both.repartition("requisition_id").withColumn("sh_msg", said)
+        return both.filter("_is_row").drop("_is_row")
+
     def finish(self, keys: list[SortKey], columns: list[str]) -> DataFrame:
         """Add the position and the number of sibling rows."""
         used = [key.column for key in keys]
@@ -125,7 +138,7 @@ class _Report:
                 keys = [*keys, tie]
                 used.append(tie.column)
         kept = dict.fromkeys([*_MESSAGE_OF, *columns, *[key.column for key in keys]])
-        rows = self.rows.select(*kept).join(self._messages, _MESSAGE_OF, "left")
+        rows = self._with_messages(self.rows.select(*kept))
         rows = rows.withColumn("sh_msg", F.coalesce("sh_msg", F.lit("-")))
         rows = number_rows(rows, "requisition_id", keys, "sort_position", self.large)
         siblings = ["requisition_id", "order_test_name"]

@@ -13,13 +13,18 @@ from labreports.sources.warehouse import Tables
 _TEST = ["accession_number", "order_test_code"]
 
 
-def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFrame:
+def history_messages(
+    t: Tables, details: DataFrame, related: Related, hot: bool = True
+) -> DataFrame:
     """One message per requisition, accession and test of ``details``.
 
     Orders and events each shrink to what a line shows before they meet, so
     repeated events are never paired with repeated orders. The join has a shuffle
     of its own on both sides, so that adaptive execution can split a hot pair, and
     its lines are made distinct ahead of the next shuffle.
+
+    ``hot`` says that one order may have very many details. Where none has, details meet their order
+    first and are made distinct where they are, which spares them a shuffle.
     """
     zones = t["dim_lab"].select(
         F.col("lab_pk").alias("lab_fk"), rules.label(F.col("lab_id"), rules.LAB_ZONE).alias("zone")
@@ -30,17 +35,18 @@ def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFra
         .join(zones, "lab_fk")
         .drop("lab_fk")
     )
-    orders = (
-        details.select(
-            *_TEST,
-            "requisition_id",
-            "lab_order_fk",
-            F.replace("order_test_name", F.lit(","), F.lit("-")).alias("test_name"),
-            F.when(F.col("priority").isin("RTN", "Q"), F.col("priority")).alias("priority"),
-        )
-        .distinct()
-        .join(order_zones, "lab_order_fk")
+    orders = details.select(
+        *_TEST,
+        "requisition_id",
+        "lab_order_fk",
+        F.replace("order_test_name", F.lit(","), F.lit("-")).alias("test_name"),
+        F.when(F.col("priority").isin("RTN", "Q"), F.col("priority")).alias("priority"),
     )
+    if hot:
+        orders = orders.distinct().join(order_zones, "lab_order_fk")
+    else:
+        orders = orders.join(order_zones, "lab_order_fk").distinct()
+    orders = orders.drop("lab_order_fk")
     events = (
         related.narrow(t["status_history"], "accession_number", "accession_number")
         .filter(F.col("event_status_code").isin(rules.HISTORY_EVENTS))
@@ -52,12 +58,12 @@ def history_messages(t: Tables, details: DataFrame, related: Related) -> DataFra
         )
         .distinct()
     )
-    message = F.array_join(F.array_sort(F.collect_list("line")), ",")
+    message = F.array_join(F.array_sort(F.collect_set("line")), ",")
     return (
         own_shuffle(orders, _TEST)
+        .drop(*_TEST)
         .join(own_shuffle(events, _TEST).drop(*_TEST), "_on")
-        .select("requisition_id", *_TEST, rules.history_line().alias("line"))
-        .distinct()
+        .select("requisition_id", "_on.*", rules.history_line().alias("line"))
         .groupBy("requisition_id", *_TEST)
         .agg(message.alias("sh_msg"))
     )

@@ -201,3 +201,48 @@ def test_jdbc_reads_are_split():
     assert tables["results"]["dbtable"] == "dw.results"
     assert "numPartitions" not in tables["dim_lab"]
     assert set(tables) == set(SCHEMAS)
+
+
+@pytest.mark.parametrize("report", [lab.routine_test_details, lab.micro_test_details, lab.status_details])
+def test_wide_rows_are_not_shuffled_for_their_messages(small_tables, report):
+    """Rows and messages meet in the shuffle by requisition, and lines are made distinct in one."""
+    plan = report(small_tables)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert not any("order_test_code" in line for line in joins)
+    assert "line#" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_messages_are_the_same_beside_large_groups(spark, make_tables):
+    """Accessions and tests may be null, orders without a lab, events and details repeated."""
+    tests = [("A1", "T1"), ("A1", "T2"), (None, "T1"), ("A2", None), ("A1", "T1")]
+    details = [
+        {
+            "lab_order_details_pk": f"{req}-{n}",
+            "lab_order_fk": order,
+            "requisition_id": req,
+            "accession_number": accession,
+            "order_test_code": code,
+            "order_test_name": "Test",
+            "test_category": "GEN",
+            "order_test_fk": 1,
+            "priority": "RTN",
+        }
+        for req, order in (("R1", 1), ("R2", 2), ("R3", None))
+        for n, (accession, code) in enumerate(tests)
+    ]
+    event = {"order_test_code": "T1", "event_status_code": "D", "entered_by": "U1"}
+    t = make_tables(
+        dim_lab_order_details=details,
+        dim_order_test=[{"order_test_pk": 1, "micro_culture_format_flag": "N", "order_test_type": "T"}],
+        dim_lab_order=[{"lab_order_pk": 1, "requisition_id": "R1", "lab_fk": 1}, {"lab_order_pk": 2}],
+        dim_lab=[{"lab_pk": 1, "lab_id": "SE"}],
+        status_history=[event | {"accession_number": key} for key in ("A1", "A1", None)],
+    )
+    plain = sorted(map(str, lab.routine_test_details(t).collect()))
+    spark.conf.set("spark.labreports.sampleEvery", "1")
+    try:
+        split = sorted(map(str, lab.routine_test_details(t).collect()))
+    finally:
+        spark.conf.unset("spark.labreports.sampleEvery")
+    assert plain == split and len(plain) == 15
+    assert sum("sh_msg='-'" not in row for row in plain) == 2
