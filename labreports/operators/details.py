@@ -177,7 +177,10 @@ def _large_requisitions(t: Tables, details: DataFrame, results: DataFrame) -> La
     """
     found = stored_values(t, "rows_of_requisition")
     if found is None:
-        found = large_values(requisition_sample(details, results), "requisition_id", "order")
+        found = large_values(requisition_sample(details, t["results"]), "requisition_id", "order")
+        # Narrowing results to many requisitions shuffles details, so it waits for a large order.
+        if any(order is not None for _, order, _ in found):
+            found = large_values(requisition_sample(details, results), "requisition_id", "order")
     requisition_of = {}
     orders = [order for _, order, _ in found if order is not None]
     if orders:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import labreports as lab
+from labreports.operators import details
 from labreports.plans.scope import few_rows
 from labreports.sources.fixtures import FIXTURE_SQL
 from labreports.sources.warehouse import SCHEMAS, jdbc_tables, parquet_tables
@@ -246,3 +247,14 @@ def test_messages_are_the_same_beside_large_groups(spark, make_tables):
         spark.conf.unset("spark.labreports.sampleEvery")
     assert plain == split and len(plain) == 15
     assert sum("sh_msg='-'" not in row for row in plain) == 2
+
+
+@pytest.mark.parametrize("found", [[], [(None, 10, 9)]])
+def test_sampled_results_are_narrowed_only_for_large_orders(stored, found, monkeypatch):
+    """To narrow them to many requisitions, all their details have to be shuffled."""
+    monkeypatch.setattr(few_rows, "__defaults__", (3,))
+    samples = []
+    monkeypatch.setattr(details, "large_values", lambda sample, *_: samples.append(sample) or found)
+    lab.routine_test_details(stored, stored["dim_lab_order"].select("requisition_id"))
+    joins = [s._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") for s in samples]
+    assert joins[0] == 1 and len(joins) == 1 + len(found) and all(n > 1 for n in joins[1:])
