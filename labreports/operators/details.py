@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.history import history_messages
+from labreports.plans.packing import pack, unpack
 from labreports.plans.scope import Related, requisition_scope
 from labreports.plans.skew import (
     LargeGroups,
@@ -33,6 +34,28 @@ _TIES = ascending(
 _MESSAGE_OF = ["requisition_id", "accession_number", "order_test_code"]
 
 
+# Texts that every report carries from the scans to the rows.
+_DETAIL_TEXTS = [
+    "requisition_id",
+    "accession_number",
+    "order_test_code",
+    "ordered_name",
+    "order_detail_status",
+    "clinical_status",
+    "order_control_reason",
+]
+_RESULT_TEXTS = [
+    "result_test_code",
+    "result_test_name",
+    "result_order_name",
+    "textual_result",
+    "textual_result_full",
+    "unit_of_measure",
+    "reference_range",
+    "result_comment",
+    "derived_abnormal_flag",
+]
+
 # What tells results apart, for sampling.
 _RESULT_IDENTITY = [
     "lab_order_details_fk",
@@ -53,7 +76,8 @@ class _Report:
         requisitions: DataFrame | None,
         micro: str,
         excluded_categories: list[str],
-        results: DataFrame,
+        result_tests: DataFrame | None = None,
+        how: str = "inner",
         patient_group: bool = False,
     ):
         scope = requisition_scope(requisitions)
@@ -70,6 +94,9 @@ class _Report:
         details = (
             scoped.filter(rules.not_in_keeping_null(F.col("test_category"), excluded_categories))
             .withColumnRenamed("order_test_name", "ordered_name")
+            .join(t["lov_clinical_status"], "clinical_status", "left")
+            .withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
+            .transform(pack, "_detail", _DETAIL_TEXTS)
             .join(
                 tests.select(
                     F.col("order_test_pk").alias("order_test_fk"),
@@ -78,23 +105,21 @@ class _Report:
                 ),
                 "order_test_fk",
             )
-            .join(t["lov_clinical_status"], "clinical_status", "left")
-            .withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
         )
         if patient_group:
             details = _with_patient_group(t, details, related)
-        rows = left_join_many(
-            details,
-            related.narrow(results, *narrowed).withColumnsRenamed(
-                {
-                    "lab_order_details_fk": "lab_order_details_pk",
-                    "lab_order_fk": "result_order_fk",
-                    "order_test_name": "result_order_name",
-                }
-            ),
-            ["lab_order_details_pk"],
-            self.large,
+        results = related.narrow(t["results"], *narrowed).withColumnsRenamed(
+            {
+                "lab_order_details_fk": "lab_order_details_pk",
+                "lab_order_fk": "result_order_fk",
+                "order_test_name": "result_order_name",
+            }
         )
+        results = pack(results, "_result", _RESULT_TEXTS)
+        if result_tests is not None:
+            results = results.join(result_tests, "result_test_fk", how)
+        rows = left_join_many(details, results, ["lab_order_details_pk"], self.large)
+        rows = unpack(unpack(rows, "_detail", _DETAIL_TEXTS), "_result", _RESULT_TEXTS)
         self.rows = rows.withColumns(
             {
                 "order_test_name": F.coalesce("result_order_name", "ordered_name"),
@@ -122,13 +147,16 @@ class _Report:
         needs anyway, so wide rows are not shuffled for a join too; a large requisition has the join."""
         if self.large.any:
             return rows.join(self._messages, _MESSAGE_OF, "left")
-        both = rows.withColumn("_is_row", F.lit(True)).unionByName(
-            self._messages, allowMissingColumns=True
-        )
+        test = _MESSAGE_OF[1:]
+        texts = [name for name, kind in rows.dtypes if kind == "string" and name not in _MESSAGE_OF]
+        messages = pack(self._messages, "_test", test)
+        both = pack(pack(rows, "_test", test), "_texts", texts)
+        both = both.withColumn("_is_row", F.lit(True)).unionByName(messages, allowMissingColumns=True)
         # There is one message at most; none has a null in its keys.
-        said = F.max("sh_msg").over(Window.partitionBy(*_MESSAGE_OF))
+        said = F.max("sh_msg").over(Window.partitionBy("requisition_id", "_test"))
         both = both.repartition("requisition_id").withColumn("sh_msg", said)
-        return both.filter("_is_row").drop("_is_row")
+        both = both.filter("_is_row").drop("_is_row")
+        return unpack(unpack(both, "_test", test), "_texts", texts)
 
     def finish(self, keys: list[SortKey], columns: list[str]) -> DataFrame:
         """Add the position and the number of sibling rows."""
@@ -209,7 +237,7 @@ _DETAIL_COLUMNS = [
 
 def routine_test_details(t: Tables, requisitions: DataFrame | None = None) -> DataFrame:
     """Tests and results outside microbiology, by accession and test."""
-    report = _Report(t, requisitions, "N", ["PENDING"], t["results"], patient_group=True)
+    report = _Report(t, requisitions, "N", ["PENDING"], patient_group=True)
     report.drop_collected_by()
     report.fill_in_missing_results()
     return report.finish(
@@ -223,8 +251,9 @@ def micro_test_details(t: Tables, requisitions: DataFrame | None = None) -> Data
     sequences = t["dim_result_test"].select(
         F.col("result_test_pk").alias("result_test_fk"), "sequence_number"
     )
-    results = t["results"].join(sequences, "result_test_fk", "left")
-    report = _Report(t, requisitions, "Y", ["MISC", "PENDING"], results, patient_group=True)
+    report = _Report(
+        t, requisitions, "Y", ["MISC", "PENDING"], sequences, "left", patient_group=True
+    )
     is_collection_time = F.upper("original_result_test_name") == "COLLECTION TIME"
     report.rows = report.rows.withColumn(
         "seq_num", F.when(is_collection_time, 1).otherwise(F.col("sequence_number"))
@@ -268,9 +297,7 @@ def _grouped_details(
     result_tests = t["dim_result_test"].select(
         F.col("result_test_pk").alias("result_test_fk"), "sequence_number", "report_grouping"
     )
-    report = _Report(
-        t, requisitions, "N", ["PENDING"], t["results"].join(result_tests, "result_test_fk")
-    )
+    report = _Report(t, requisitions, "N", ["PENDING"], result_tests)
     report.drop_collected_by()
     report.fill_in_missing_results()
     rows = report.rows.withColumns(

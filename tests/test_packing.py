@@ -1,0 +1,71 @@
+"""Text columns that travel as one come back as they were."""
+
+from __future__ import annotations
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+import labreports as lab
+from labreports.plans.packing import pack, unpack
+
+ODD = [None, "", " ", "\x1f", "\x1e", "\x1en", "\x1ee\x1es", "a\x1fb\x1e", "n", "é\n\"',\\", "\x00"]
+
+
+def test_texts_come_back(spark):
+    rows = list(itertools.product(ODD, repeat=3))
+    frame = spark.createDataFrame(rows, "a string, b string, c string").withColumn("n", F.lit(1))
+    one = pack(frame, "one", ["a", "b", "c"])
+    assert one.columns == ["n", "one"] and one.distinct().count() == len(rows)
+    back = unpack(one, "one", ["a", "b", "c"]).select("a", "b", "c").collect()
+    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, rows))
+
+
+def test_no_packed_text_gives_nulls(spark):
+    frame = spark.createDataFrame([(1, None)], "n int, one string")
+    assert [tuple(r) for r in unpack(frame, "one", ["a", "b"]).collect()] == [(1, None, None)]
+
+
+@pytest.mark.parametrize("every", [None, "1"])
+def test_odd_texts_pass_a_report(spark, make_tables, every):
+    t = make_tables(
+        dim_lab_order_details=[
+            {
+                "lab_order_details_pk": f"d{n}",
+                "lab_order_fk": 1,
+                "requisition_id": "R\x1f1",
+                "accession_number": text,
+                "order_test_code": text,
+                "order_test_name": "Test",
+                "order_control_reason": text,
+                "test_category": "GEN",
+                "order_test_fk": 1,
+            }
+            for n, text in enumerate(ODD)
+        ],
+        dim_order_test=[{"order_test_pk": 1, "micro_culture_format_flag": "N", "order_test_type": "T"}],
+        results=[
+            {"lab_order_details_fk": f"d{n}", "result_test_fk": 1, "unit_of_measure": text, "result_comment": text}
+            for n, text in enumerate(ODD[1:], 1)
+        ],
+    )
+    if every:
+        spark.conf.set("spark.labreports.sampleEvery", every)
+    try:
+        got = lab.routine_test_details(t).collect()
+    finally:
+        spark.conf.unset("spark.labreports.sampleEvery")
+    assert {r.requisition_id for r in got} == {"R\x1f1"}
+    for column in ("accession_number", "order_control_reason", "unit_of_measure", "result_comment"):
+        assert sorted(map(repr, (r[column] for r in got))) == sorted(map(repr, ODD))
+
+
+@pytest.mark.parametrize("report", [lab.routine_test_details, lab.report_group_details])
+def test_wide_rows_are_shuffled_packed(small_tables, report):
+    text = report(small_tables)._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("_detail", "_result", "_texts"):
+        assert f" AS {name}#" in text
+    # Nothing else of a result's texts is shuffled.
+    shuffled = text.split("RepartitionByExpression")[1].split("Union")[1].split("\n")[1]
+    assert shuffled.split(" AS _texts#")[1].count("unit_of_measure") == 0
