@@ -40,6 +40,8 @@ _BEFORE = 3
 _SPACE = re.compile(rb"[ \t-\r]")
 _PIECE = 1 << 16
 _BATCH = 4096
+#: Tokens whose probabilities are computed at once: the arrays of so few stay in the cache.
+_AT_ONCE = 512
 _ROUNDS = 8
 _KEPT = 250_000
 _FLOOR = np.float32(-1e30)
@@ -191,10 +193,13 @@ def first_weights(lexicon: Lexicon) -> Weights:
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sum of the values of each, and how many there are of each.
 
-    Most rows come a few times: those are added in rounds, the few frequent ones as blocks.
+    The values may be fewer than the rows, which take them over again from the first. Most rows come
+    a few times: those are added in rounds, the few frequent ones as blocks.
     """
-    order = np.argsort(rows, kind="stable")
-    ordered, sorted_values = rows[order], values[order]
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
+    ordered = rows[order]
+    sorted_values = values.take(order if len(values) == len(rows) else order % len(values), axis=0)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(starts, append=len(ordered))
     sums = sorted_values[starts]
@@ -266,23 +271,27 @@ class Reader:
         targets = kind >= 0
         each = np.arange(n)
         near = rows[: n + 2]
-        shared = weights.outer[near]
-        logits = shared[2:, :width] + weights.outer_bias
-        logits += shared[1:-1, width:]
-        logits += shared[:-2, width:]
-        logits -= logits.max(1, keepdims=True)
-        chosen = logits[each, kind].astype(np.float64)
-        np.exp(logits, out=logits)
-        total = logits.sum(1, keepdims=True)
+        logits = np.empty((n, width), weights.outer.dtype)
+        chosen, total = np.empty(n), np.empty((n, 1), logits.dtype)
+        for low in range(0, n, _AT_ONCE):
+            high = min(low + _AT_ONCE, n)
+            shared = weights.outer.take(near[low : high + 2], axis=0)
+            part = np.add(shared[2:, :width], weights.outer_bias, out=logits[low:high])
+            part += shared[1:-1, width:]
+            part += shared[:-2, width:]
+            part -= part.max(1, keepdims=True)
+            chosen[low:high] = part[each[: high - low], kind[low:high]]
+            np.exp(part, out=part)
+            part.sum(1, keepdims=True, out=total[low:high])
         out = np.where(targets, chosen - np.log(total[:, 0].astype(np.float64)), 0.0)
 
         inside = np.flatnonzero(place >= 0)
         own, at = kind[inside].astype(np.int64), place[inside]
         first = self._row_of(rows[inside + 2], own.astype(np.uint32), 97)
         second = self._row_of(rows[inside + 1], own.astype(np.uint32), 7919)
-        inner = weights.inner[first]
-        inner += weights.inner[second]
-        inner += weights.inner_bias[own]
+        inner = weights.inner.take(first, axis=0)
+        inner += weights.inner.take(second, axis=0)
+        inner += weights.inner_bias.take(own, axis=0)
         if inside.size:
             inner -= inner.max(1, keepdims=True)
         some = np.arange(len(inside))
@@ -306,7 +315,7 @@ class Reader:
             learn("outer_bias", np.zeros(1, np.int64), logits.sum(0, keepdims=True), np.array([n]))
             if inside.size:
                 both = np.concatenate([first, second])
-                learn("inner", *_summed(both, np.concatenate([inner, inner])))
+                learn("inner", *_summed(both, inner))
                 learn("inner_bias", *_summed(own, inner))
         return out
 
@@ -516,9 +525,9 @@ def _scored(reader: Reader, weights: Weights, texts: pa.Array) -> pa.RecordBatch
         logs = np.concatenate(
             [
                 reader.log_probabilities(
-                    weights, *(a[k : k + _BATCH + _BEFORE] for a in (kinds, places, rows))
+                    weights, *(a[k : k + _AT_ONCE + _BEFORE] for a in (kinds, places, rows))
                 )
-                for k in range(0, len(owners), _BATCH)
+                for k in range(0, len(owners), _AT_ONCE)
             ]
         )
         targets, rest = kind >= 0, (kind >= 0) & (place < 0)

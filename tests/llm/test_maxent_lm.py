@@ -226,3 +226,32 @@ def test_rows_of_the_model_do_not_grow(spark):
     model = fit_maxent(texts, counts, F.lit(0), rounds=1, shape=SMALL_SHAPE)
     assert [getattr(model.weights, n).shape for n in Weights.TABLES] == [(64, 14), (64, 4), (1, 7), (3, 4)]
     assert len(model.lexicon.words) <= SMALL_SHAPE.known
+
+
+@pytest.mark.parametrize("most", [50, 70_000])
+def test_rows_take_the_values_over_again(most):
+    """Rows of two bytes and wider ones are summed alike; each row and its values stay together."""
+    random = np.random.default_rng(2)
+    rows = random.integers(0, most, 600).astype(np.uint32)
+    values = random.normal(size=(300, 4)).astype(np.float32)
+    got, sums, counts = maxent_lm._summed(rows, values)
+    expected = {}
+    for at, row in enumerate(rows.tolist()):
+        expected[row] = expected.get(row, 0) + values[at % 300].astype(float)
+    assert got.tolist() == sorted(expected) and counts.sum() == len(rows)
+    np.testing.assert_allclose(sums, [expected[row] for row in got.tolist()], rtol=1e-4, atol=1e-4)
+
+
+def test_tokens_computed_at_once_change_nothing(spark, monkeypatch):
+    rows = sentences(30)
+    reader, _ = reader_of(spark, rows)
+    weights = random_weights(reader.lexicon)
+    _, *arrays = reader.arrays([None] * 3 + pieces_of(" ".join(text for _, text in rows)))
+    seen = []
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(maxent_lm, "_AT_ONCE", at_once)
+        gradients = []
+        got = reader.log_probabilities(weights, *arrays, learn=lambda *given: gradients.append(given))
+        seen.append((got, [part for given in gradients for part in given[1:]]))
+    assert (seen[0][0] == seen[1][0]).all()
+    assert all((a == b).all() for a, b in zip(*(parts for _, parts in seen), strict=True))
