@@ -108,7 +108,10 @@ class _Report:
         )
         if patient_group:
             details = _with_patient_group(t, details, related)
-        results = related.narrow(t["results"], *narrowed).withColumnsRenamed(
+        # Without result tests the results are shuffled by detail at once.
+        results = related.narrow(
+            t["results"], *narrowed, at_once=result_tests is None
+        ).withColumnsRenamed(
             {
                 "lab_order_details_fk": "lab_order_details_pk",
                 "lab_order_fk": "result_order_fk",
@@ -177,7 +180,7 @@ class _Report:
 
 
 def _with_patient_group(t: Tables, details: DataFrame, related: Related) -> DataFrame:
-    orders = related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk")
+    orders = related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk", at_once=True)
     groups = orders.select(F.col("lab_order_pk").alias("lab_order_fk"), "patient_type").join(
         t["lov_patient_type"], "patient_type", "left"
     )

@@ -30,7 +30,7 @@ def history_messages(
         F.col("lab_pk").alias("lab_fk"), rules.label(F.col("lab_id"), rules.LAB_ZONE).alias("zone")
     )
     order_zones = (
-        related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk")
+        related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk", at_once=True)
         .select(F.col("lab_order_pk").alias("lab_order_fk"), "lab_fk")
         .join(zones, "lab_fk")
         .drop("lab_fk")
@@ -48,7 +48,7 @@ def history_messages(
         orders = orders.join(order_zones, "lab_order_fk").distinct()
     orders = orders.drop("lab_order_fk")
     events = (
-        related.narrow(t["status_history"], "accession_number", "accession_number")
+        related.narrow(t["status_history"], "accession_number", "accession_number", at_once=True)
         .filter(F.col("event_status_code").isin(rules.HISTORY_EVENTS))
         .select(
             *_TEST,

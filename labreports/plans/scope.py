@@ -8,11 +8,15 @@ narrowed by a semi join with them.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Up to this many keys are written into the plan; beyond it they are joined.
 FEW = 1000
+#: With more requisitions than this their details don't fit a broadcast of common size.
+MANY = 1 << 18
 
 
 def few_rows(rows: DataFrame, limit: int = FEW) -> list | None:
@@ -21,6 +25,10 @@ def few_rows(rows: DataFrame, limit: int = FEW) -> list | None:
     return found if len(found) <= limit else None
 
 
+def _more_than(rows: DataFrame, limit: int) -> bool:
+    return rows.limit(limit + 1).count() > limit
+
+
 def is_one_of(column: Column, values) -> Column:
     return column.isin(sorted({value for value in values if value is not None}))
 
@@ -45,6 +53,11 @@ class Scope:
         few = None if keys is None else few_rows(keys)
         self._few = None if few is None else [row[0] for row in few]
 
+    @cached_property
+    def many(self) -> bool:
+        """Whether there are more keys than ``MANY``; counted when first asked for."""
+        return self._keys is not None and self._few is None and _more_than(self._keys, MANY)
+
     def keep(self, rows: DataFrame, column: str) -> DataFrame:
         """Rows with one of the keys; without a scope, all rows that have a key."""
         if self._keys is None:
@@ -59,7 +72,7 @@ class Scope:
         if self._keys is None and not limited:
             return Related(None, None)
         keys = kept.select(*columns)
-        return Related(keys, few_rows(keys) if self._few is not None else None)
+        return Related(keys, few_rows(keys) if self._few is not None else None, self)
 
 
 class Related:
@@ -69,15 +82,20 @@ class Related:
     the keys are few, and by a semi join otherwise. Without a scope nothing is done.
     """
 
-    def __init__(self, keys: DataFrame | None, few: list | None):
+    def __init__(self, keys: DataFrame | None, few: list | None, scope: Scope | None = None):
         self._keys = keys
         self._few = few
+        self._scope = scope
 
-    def narrow(self, rows: DataFrame, column: str, key: str) -> DataFrame:
+    def narrow(self, rows: DataFrame, column: str, key: str, at_once: bool = False) -> DataFrame:
+        """``at_once`` says that the join shuffles these very rows by ``column``. Very many keys are then
+        left to that join, because a semi join ahead of it would shuffle as many rows, and the keys too."""
         if self._keys is None:
             return rows
         if self._few is not None:
             return rows.filter(is_one_of(F.col(column), [row[key] for row in self._few]))
+        if at_once and self._scope is not None and self._scope.many:
+            return rows
         wanted = self._keys.select(F.col(key).alias(column)).distinct()
         return rows.join(wanted, column, "left_semi")
 
