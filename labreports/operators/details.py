@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
-from labreports.operators.history import history_messages
+from labreports.operators.history import history_messages, may_have_large_tests
 from labreports.plans.packing import pack, unpack
 from labreports.plans.scope import Related, requisition_scope
 from labreports.plans.skew import (
@@ -132,7 +132,8 @@ class _Report:
             }
         )
         # Built beside the join with the results, not ahead of it.
-        self._messages = history_messages(t, scoped, related, hot=self.large.any)
+        split = self.large.any or may_have_large_tests(t, scoped)
+        self._messages = history_messages(t, scoped, related, hot=self.large.any, split=split)
 
     def drop_collected_by(self) -> None:
         """Leave out the row that only names who collected the sample."""

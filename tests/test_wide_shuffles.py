@@ -2,13 +2,54 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 import labreports as lab
+from labreports.operators import details, history
 from labreports.plans import scope
 from labreports.plans.scope import few_rows
 
 
+def executed(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Every table is large: no join is a broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_of_a_message_need_no_shuffle_of_their_own(small_tables, shuffled, monkeypatch):
+    """Events and lines are each shuffled once, unless a test has very many details."""
+    plain = executed(lab.status_details(small_tables))
+    rows = sorted(map(str, lab.status_details(small_tables).collect()))
+    monkeypatch.setattr(details, "may_have_large_tests", lambda *_: True)
+    split = executed(lab.status_details(small_tables))
+    assert plain.count("Exchange") == split.count("Exchange") - 2
+    assert rows == sorted(map(str, lab.status_details(small_tables).collect()))
+
+
+def test_a_large_test_is_seen(spark, make_tables):
+    pair = {"accession_number": "A1", "order_test_code": "T1"}
+    t = make_tables(
+        dim_lab_order_details=[pair | {"lab_order_details_pk": f"d{n}"} for n in range(3)]
+        + [{"lab_order_details_pk": f"e{n}", "accession_number": "A2"} for n in range(9)]
+    )
+    asked = t["dim_lab_order_details"]
+    assert not history.may_have_large_tests(t, asked)
+    spark.conf.set("spark.labreports.sampleEvery", "1")
+    try:
+        assert history.may_have_large_tests(t, asked)
+        assert not history.may_have_large_tests(t, asked.filter("accession_number = 'A2'"))
+    finally:
+        spark.conf.unset("spark.labreports.sampleEvery")
+
+
 def test_very_many_requisitions_leave_the_narrowing_to_the_joins(small_tables, monkeypatch):
     monkeypatch.setattr(few_rows, "__defaults__", (3,))
     keys = small_tables["dim_lab_order"].select("requisition_id").filter(F.hash("requisition_id") % 4 == 0)
