@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from labreports.functions import rules
 from labreports.functions.ordering import SortKey, ascending
 from labreports.operators.history import history_messages, may_have_large_tests
-from labreports.plans.packing import pack, unpack
-from labreports.plans.scope import Related, requisition_scope
+from labreports.plans.packing import pack, pack_more, unpack, unpack_first
+from labreports.plans.scope import Related, few_rows, is_one_of, requisition_scope
 from labreports.plans.skew import (
     LargeGroups,
     group_total,
@@ -34,9 +34,9 @@ _TIES = ascending(
 _MESSAGE_OF = ["requisition_id", "accession_number", "order_test_code"]
 
 
-# Texts that every report carries from the scans to the rows.
+# What every report carries from the scans to the rows, beside the requisition. Values of one test, and
+# those of one result, stand together, which compresses better.
 _DETAIL_TEXTS = [
-    "requisition_id",
     "accession_number",
     "order_test_code",
     "ordered_name",
@@ -48,10 +48,11 @@ _RESULT_TEXTS = [
     "result_test_code",
     "result_test_name",
     "result_order_name",
-    "textual_result",
-    "textual_result_full",
     "unit_of_measure",
     "reference_range",
+    "textual_result",
+    "textual_result_full",
+    "result_sequence",
     "result_comment",
     "derived_abnormal_flag",
 ]
@@ -91,12 +92,20 @@ class _Report:
             (F.col("micro_culture_format_flag") == micro)
             & rules.not_in_keeping_null(F.col("order_test_type"), rules.EXCLUDED_ORDER_TEST_TYPES)
         )
+        kept = rules.not_in_keeping_null(F.col("test_category"), excluded_categories)
+        # Each side is shuffled for its test and then by detail; the key of the second shuffle is
+        # taken out of the packed text between them.
         details = (
-            scoped.filter(rules.not_in_keeping_null(F.col("test_category"), excluded_categories))
+            t["dim_lab_order_details"]
+            .filter(kept)
             .withColumnRenamed("order_test_name", "ordered_name")
             .join(t["lov_clinical_status"], "clinical_status", "left")
             .withColumn("clinical_status", F.coalesce("clinical_status_def", "clinical_status"))
-            .transform(pack, "_detail", _DETAIL_TEXTS)
+            .transform(pack, "_detail", ["lab_order_details_pk", *_DETAIL_TEXTS])
+        )
+        details = (
+            scope.keep(details, "requisition_id")
+            .transform(pack_more, "_detail", ["requisition_id"])
             .join(
                 tests.select(
                     F.col("order_test_pk").alias("order_test_fk"),
@@ -106,8 +115,14 @@ class _Report:
                 "order_test_fk",
             )
         )
+        detail_texts = [*_DETAIL_TEXTS, "requisition_id"]
         if patient_group:
             details = _with_patient_group(t, details, related)
+        else:
+            more = ["inquiry_grouping", "test_lab_system"]
+            details = pack_more(details, "_detail", more)
+            detail_texts += more
+        details = unpack_first(details, "_detail", "lab_order_details_pk")
         # Without result tests the results are shuffled by detail at once.
         results = related.narrow(
             t["results"], *narrowed, at_once=result_tests is None
@@ -118,11 +133,29 @@ class _Report:
                 "order_test_name": "result_order_name",
             }
         )
-        results = pack(results, "_result", _RESULT_TEXTS)
-        if result_tests is not None:
+        kinds = {"result_sequence": "int"}
+        result_texts = list(_RESULT_TEXTS)
+        if not patient_group:
+            result_texts.append("source_lab_system")
+        unlisted = None
+        if result_tests is not None and how == "inner":
+            unlisted = _unlisted_tests(results, result_tests)
+        if result_tests is None or unlisted is not None:
+            results = pack(results, "_result", result_texts)
+        else:
+            results = pack(results, "_result", ["lab_order_details_pk", *result_texts])
             results = results.join(result_tests, "result_test_fk", how)
+            results = unpack_first(results, "_result", "lab_order_details_pk")
+        if unlisted is not None:
+            test = F.col("result_test_fk")
+            results = results.filter(test.isNotNull() & ~is_one_of(test, unlisted))
         rows = left_join_many(details, results, ["lab_order_details_pk"], self.large)
-        rows = unpack(unpack(rows, "_detail", _DETAIL_TEXTS), "_result", _RESULT_TEXTS)
+        if unlisted is not None:
+            rows = pack_more(rows, "_detail", ["lab_order_details_pk"])
+            detail_texts.append("lab_order_details_pk")
+            rows = _with_result_tests(rows, result_tests)
+        rows = unpack(rows, "_detail", detail_texts)
+        rows = unpack(rows, "_result", result_texts, kinds)
         self.rows = rows.withColumns(
             {
                 "order_test_name": F.coalesce("result_order_name", "ordered_name"),
@@ -152,7 +185,10 @@ class _Report:
         if self.large.any:
             return rows.join(self._messages, _MESSAGE_OF, "left")
         test = _MESSAGE_OF[1:]
-        texts = [name for name, kind in rows.dtypes if kind == "string" and name not in _MESSAGE_OF]
+        packs = ("string", "int", "bigint")
+        kinds = {name: kind for name, kind in rows.dtypes if kind in packs and name not in _MESSAGE_OF}
+        texts = list(kinds)
+        kinds = {name: kind for name, kind in kinds.items() if kind != "string"}
         messages = pack(self._messages, "_test", test)
         both = pack(pack(rows, "_test", test), "_texts", texts)
         both = both.withColumn("_is_row", F.lit(True)).unionByName(messages, allowMissingColumns=True)
@@ -160,7 +196,7 @@ class _Report:
         said = F.max("sh_msg").over(Window.partitionBy("requisition_id", "_test"))
         both = both.repartition("requisition_id").withColumn("sh_msg", said)
         both = both.filter("_is_row").drop("_is_row")
-        return unpack(unpack(both, "_test", test), "_texts", texts)
+        return unpack(unpack(both, "_test", test), "_texts", texts, kinds)
 
     def finish(self, keys: list[SortKey], columns: list[str]) -> DataFrame:
         """Add the position and the number of sibling rows."""
@@ -180,6 +216,25 @@ class _Report:
         )
 
 
+def _unlisted_tests(results: DataFrame, result_tests: DataFrame) -> list | None:
+    """The tests of results that ``result_tests`` does not list, if they are few, else None."""
+    tests = results.select("result_test_fk").filter(F.col("result_test_fk").isNotNull()).distinct()
+    few = few_rows(tests.join(result_tests.select("result_test_fk"), "result_test_fk", "left_anti"))
+    return None if few is None else [row[0] for row in few]
+
+
+def _with_result_tests(rows: DataFrame, result_tests: DataFrame) -> DataFrame:
+    """Add the columns of the results' tests to rows of which some have no result.
+
+    Those have no test, and are dealt out by their detail, so that they do not meet in one task.
+    """
+    test = F.col("result_test_fk")
+    one = F.lit(1).cast("bigint")
+    rows = rows.withColumn("_dealt", F.when(test.isNull(), F.xxhash64("_detail")).otherwise(F.pmod(test, one)))
+    tests = result_tests.withColumn("_dealt", F.pmod(test, one))
+    return rows.join(tests, ["result_test_fk", "_dealt"], "left").drop("_dealt")
+
+
 def _with_patient_group(t: Tables, details: DataFrame, related: Related) -> DataFrame:
     orders = related.narrow(t["dim_lab_order"], "lab_order_pk", "lab_order_fk", at_once=True)
     groups = orders.select(F.col("lab_order_pk").alias("lab_order_fk"), "patient_type").join(
